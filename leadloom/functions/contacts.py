@@ -63,13 +63,9 @@ def quality_score(fields: dict[str, Column] | None = None) -> Column:
 
 def email_domain(c: Column | str) -> Column:
     """Lower-case text after the last @, null without one."""
-    text = col(c)
-    return F.when(
-        text.contains("@"), F.nullif(F.lower(strip(F.substring_index(text, "@", -1))), F.lit(""))
-    )
+    return F.nullif(F.regexp_extract(F.lower(col(c)), r"@\s*([^@]*?)\s*$", 1), F.lit(""))
 
 
 def email_tld(c: Column | str) -> Column:
     """Last label of the e-mail domain, null when the domain has no dot."""
-    domain = email_domain(c)
-    return F.when(domain.contains("."), F.substring_index(domain, ".", -1))
+    return F.nullif(F.regexp_extract(F.lower(col(c)), r"@[^@]*[.]([^.@]*?)\s*$", 1), F.lit(""))

@@ -18,7 +18,6 @@ from leadloom.constants import (
     GENERIC_TLDS,
     SHARED_CALLING_CODES,
 )
-from leadloom.functions.contacts import email_tld
 from leadloom.functions.text import col, strip
 
 COUNTRY_ROWS = [tuple(line.split("|")) for line in COUNTRIES.split("\n") if line]
@@ -74,10 +73,14 @@ def country_name_key(c: Column | str) -> Column:
     return fold_diacritics(F.lower(strip(c)))
 
 
+def _one_of(c: Column, codes: list[str]) -> Column:
+    """The text when it is one of the codes, else null."""
+    return F.nullif(F.regexp_extract(c, f"^(?:{'|'.join(codes)})$", 0), F.lit(""))
+
+
 def country_from_iso(c: Column | str) -> Column:
     """The text itself when it is a known two-letter code."""
-    code = F.upper(strip(c))
-    return F.when(code.isin(COUNTRY_CODES), code)
+    return _one_of(F.upper(strip(c)), COUNTRY_CODES)
 
 
 def calling_key(phone: Column | str) -> Column:
@@ -86,35 +89,19 @@ def calling_key(phone: Column | str) -> Column:
     Calling codes are prefix-free: the first one or two digits decide how long the code is, so one
     equality join replaces a longest-prefix search.  Only `+` and `00` numbers have a calling code.
     """
-    text = strip(phone)
-    digits = F.regexp_replace(text, r"\D+", "")
-    digits = (
-        F.when(text.startswith("+"), digits)
-        .when(digits.startswith("00"), F.substring(digits, F.lit(3), F.length(digits)))
-    )
-    one = [c for c, _ in calling_code_rows() if len(c) == 1]
-    two = [c for c, _ in calling_code_rows() if len(c) == 2]
-    return (
-        F.when(F.substring(digits, 1, 1).isin(one), F.substring(digits, 1, 1))
-        .when(F.substring(digits, 1, 2).isin(two), F.substring(digits, 1, 2))
-        .otherwise(F.substring(digits, 1, 3))
-    )
+    number = F.regexp_replace(strip(phone), r"(?!^\+)\D+", "")
+    short = "|".join(c for c, _ in calling_code_rows() if len(c) < 3)
+    return F.regexp_extract(number, rf"^(?:\+|00)({short}|\d{{3}})", 1)
 
 
 def country_from_tld(tld: Column) -> Column:
     """Country of an e-mail's last domain label; generic labels say nothing."""
-    code = F.upper(tld)
-    by_code = F.when(~tld.isin(GENERIC_TLDS) & code.isin(COUNTRY_CODES), code)
-    for label, country in CCTLD_EXCEPTIONS.items():
-        by_code = F.when(tld == label, F.lit(country)).otherwise(by_code)
-    return by_code
+    telling = [code for code in COUNTRY_CODES if code.lower() not in GENERIC_TLDS]
+    country = _one_of(F.upper(tld), telling)
+    for label, code in CCTLD_EXCEPTIONS.items():
+        country = F.when(tld == label, F.lit(code)).otherwise(country)
+    return country
 
 
 def is_generic_tld(tld: Column) -> Column:
-    return tld.isin(GENERIC_TLDS)
-
-
-__all__ = [
-    "calling_code_dim", "calling_key", "country_dim", "country_from_iso", "country_from_tld",
-    "country_name_dim", "country_name_key", "email_tld", "fold_diacritics", "is_generic_tld",
-]
+    return tld.rlike(f"^(?:{'|'.join(GENERIC_TLDS)})$")

@@ -32,23 +32,29 @@ def native_description(html: Column | str) -> Column:
     )
 
 
-def native_links(html: Column | str, base: Column | str) -> Column:
-    """`array<struct<pos, href, url, text>>` of followable links, in page order."""
-    html, base = col(html), col(base)
+def native_links(html: Column | str, base: Column) -> Column:
+    """`array<struct<pos, href, url, text>>` of followable links, in page order; `base` comes from
+    `link_base`."""
+    html = col(html)
     pairs = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)).alias("href"),
         F.regexp_extract_all(html, F.lit(_LINK), F.lit(2)).alias("text"),
     )
-    links = F.transform(
+    found = F.transform(
         pairs,
         lambda p, i: F.struct(
-            i.alias("pos"),
-            strip(p["href"]).alias("href"),
-            absolute_url(base, strip(p["href"])).alias("url"),
-            native_text(p["text"]).alias("text"),
+            i.alias("pos"), strip(p["href"]).alias("href"), p["text"].alias("text")
+        ),
+    )
+    return F.transform(
+        F.filter(found, lambda x: is_followable(x["href"])),
+        lambda x: F.struct(
+            x["pos"].alias("pos"),
+            x["href"].alias("href"),
+            absolute_url(base, x["href"]).alias("url"),
+            native_text(x["text"]).alias("text"),
         ),
     )
-    return F.filter(links, lambda x: is_followable(x["href"]))
 
 
 def is_followable(href: Column) -> Column:

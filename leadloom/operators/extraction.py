@@ -38,25 +38,36 @@ def _says_something(text: Column) -> Column:
     return F.when(~nothing, text)
 
 
-def coerce_answer(answer: Column | str, taxonomy: list[str]) -> Column:
-    """Struct of well-typed fields out of a JSON answer that may be off schema or no JSON at all."""
+def add_coerced_answer(
+    df: DataFrame, taxonomy: list[str], answer: str = "answer", output: str = "extracted"
+) -> DataFrame:
+    """Add a struct of well-typed fields out of a JSON answer that may be off schema or no JSON at
+    all.  The text is parsed once, into a column of its own."""
     schema = ", ".join(f"{f} string" for f in ANSWER_FIELDS)
-    data = F.from_json(col(answer), schema)
+    first, second = (F.col(f"_data.{key}") for key in RELEVANCE_KEYS)
+
+    def text(name: str) -> Column:
+        return non_empty(F.col(f"_data.{name}")).alias(name)
 
     def member(name: str, allowed, default: str) -> Column:
-        return F.when(data[name].isin(*allowed), data[name]).otherwise(default)
-
-    relevance = F.coalesce(_says_something(data[RELEVANCE_KEYS[0]]), data[RELEVANCE_KEYS[1]])
-    return F.struct(
-        non_empty(data["company_website"]).alias("company_website"),
-        non_empty(data["company_description"]).alias("company_description"),
-        member("industry", taxonomy, "Unknown").alias("industry"),
-        _number(data["industry_confidence"]).alias("industry_confidence"),
-        non_empty(data["sub_category"]).alias("sub_category"),
-        member("company_size", COMPANY_SIZES, "unknown").alias("company_size"),
-        non_empty(data["person_linkedin"]).alias("person_linkedin"),
-        non_empty(data["company_linkedin"]).alias("company_linkedin"),
-        _number(relevance).alias("relevance_score"),
+        value = F.col(f"_data.{name}")
+        return F.when(value.isin(*allowed), value).otherwise(default).alias(name)
+
+    return (
+        df.withColumn("_data", F.from_json(answer, schema))
+        .withColumn("_relevance", F.coalesce(_says_something(first), second))
+        .withColumn(output, F.struct(
+            text("company_website"),
+            text("company_description"),
+            member("industry", taxonomy, "Unknown"),
+            _number(F.col("_data.industry_confidence")).alias("industry_confidence"),
+            text("sub_category"),
+            member("company_size", COMPANY_SIZES, "unknown"),
+            text("person_linkedin"),
+            text("company_linkedin"),
+            _number(F.col("_relevance")).alias("relevance_score"),
+        ))
+        .drop("_data", "_relevance")
     )
 
 
@@ -141,11 +152,12 @@ def add_extraction(
     output: str = "extracted",
 ) -> DataFrame:
     """The coerced answer, or the stand-in where the answer is missing or no JSON object."""
-    with_stand_in = add_stand_in_extraction(df, taxonomy, site, "_stand_in")
-    return with_stand_in.withColumn(
-        output,
-        F.when(is_answer(answer), coerce_answer(answer, taxonomy)).otherwise(F.col("_stand_in")),
-    ).drop("_stand_in")
+    both = add_coerced_answer(
+        add_stand_in_extraction(df, taxonomy, site, "_stand_in"), taxonomy, answer, "_coerced"
+    )
+    return both.withColumn(
+        output, F.when(is_answer(answer), F.col("_coerced")).otherwise(F.col("_stand_in"))
+    ).drop("_coerced", "_stand_in")
 
 
 def evidence_record(parts: dict[str, Column], extracted: str = "extracted") -> Column:

@@ -17,20 +17,23 @@ def lookup_join(
     key: str,
     spread_by: list[str],
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
     counts: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join `left` to `right`, which holds each key at most once.
 
-    Keys with more than `rows_per_task` rows on the left are cut into splits: left rows pick a split
-    by a hash of `spread_by` (stable when a lost task is run again), right rows are repeated once
-    per split.  The list of such keys is broadcast; it has at most `rows / rows_per_task` entries by
-    construction.  Left rows without a key match nothing and are spread out too.
+    Without `counts` this is a plain join: adaptive execution sees the shuffled sizes and splits the
+    partition of a hot key, or of the rows without a key, over several tasks, and no input is read
+    twice.
 
-    `counts` may pass a ready `key, n` table; otherwise the keys are counted, combined map-side.
+    A caller that has counted the keys anyway passes `counts` (`key, n`).  Keys with more than
+    `rows_per_task` rows are then cut into splits before the shuffle: left rows pick a split by a
+    hash of `spread_by` (stable when a lost task is run again), right rows are repeated once per
+    split.  The list of such keys is broadcast; it has at most `rows / rows_per_task` entries by
+    construction.  Left rows without a key match nothing and are spread out too.
     """
     if counts is None:
-        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        return left.join(right, key, how)
     hot = F.broadcast(
         counts.where(F.col("n") > rows_per_task).select(
             key, F.ceil(F.col("n") / rows_per_task).cast("int").alias("_splits")

@@ -16,9 +16,9 @@ from leadloom.constants import (
 )
 from leadloom.functions import markup
 from leadloom.functions.text import any_match, col
-from leadloom.functions.urls import canonical_url, url_host, url_path
+from leadloom.functions.urls import canonical_url, link_base, url_host, url_path
 from leadloom.operators.dedup import first_rows
-from leadloom.operators.joins import ROWS_PER_TASK, lookup_join
+from leadloom.operators.joins import lookup_join
 
 LINKS_TYPE = "array<struct<pos:int,href:string,url:string,text:string>>"
 
@@ -64,12 +64,12 @@ def native_pages(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Same columns from patterns only; entities stay encoded."""
-    return pages.select(
+    return pages.withColumn("_base", link_base(url)).select(
         key, url,
         markup.native_title(html).alias("title"),
         markup.native_description(html).alias("description"),
         markup.native_text(html).alias("text"),
-        markup.native_links(html, url).cast(LINKS_TYPE).alias("links"),
+        markup.native_links(html, F.col("_base")).cast(LINKS_TYPE).alias("links"),
     )
 
 
@@ -165,7 +165,7 @@ def site_records(pages: DataFrame, key: str = "page_id", url: str = "url") -> Da
 
 
 def add_about_pages(
-    sites: DataFrame, key: str = "page_id", rows_per_task: int = ROWS_PER_TASK
+    sites: DataFrame, key: str = "page_id", counts: DataFrame | None = None
 ) -> DataFrame:
     """Add the text of each site's about page and the profiles only found there.
 
@@ -178,7 +178,7 @@ def add_about_pages(
     )
     joined = lookup_join(
         sites.withColumn("about_norm", canonical_url("about_url")), about, "about_norm",
-        spread_by=[key], rows_per_task=rows_per_task,
+        spread_by=[key], counts=counts,
     )
     empty = F.expr("cast(map() as map<string,string>)")
     return joined.withColumns({
@@ -191,17 +191,17 @@ def add_about_pages(
 
 def join_sites(
     leads: DataFrame, sites: DataFrame, website: str = "website_csv",
-    spread_by: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK,
+    spread_by: list[str] | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Leads with the site record of their own website as struct `site`, and `has_scraped_data`.
 
-    Many leads may share one website: that address is split over tasks.
+    Many leads may share one website: see `lookup_join` for how such an address is split.
     """
     record = F.struct(*[c for c in sites.columns if c != "url_norm"])
     right = sites.select("url_norm", record.alias("site"))
     keyed = leads.withColumn("url_norm", canonical_url(website))
     joined = lookup_join(
-        keyed, right, "url_norm", spread_by=spread_by or ["email"], rows_per_task=rows_per_task
+        keyed, right, "url_norm", spread_by=spread_by or ["email"], counts=counts
     )
     return joined.withColumn(
         "has_scraped_data", F.coalesce(F.col("site.status") == "ok", F.lit(False))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import strip
-from leadloom.functions.urls import url_host, url_path, url_query
-from leadloom.operators.joins import ROWS_PER_TASK, lookup_join
+from leadloom.functions.urls import url_host
+from leadloom.operators.joins import lookup_join
 
 
 def robots_rules(bodies: DataFrame, user_agent: str) -> DataFrame:
@@ -79,20 +79,17 @@ def robots_rules(bodies: DataFrame, user_agent: str) -> DataFrame:
 
 def with_robots_verdict(
     pages: DataFrame, rules: DataFrame, url: str = "url", spread_by: list[str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add `robots_allowed`: the first rule whose prefix starts the path decides; no rule allows.
 
     A host's rules stay one array, so no page x rule pairs are produced.
     """
     keyed = pages.withColumn("host", F.lower(url_host(url)))
-    joined = lookup_join(
-        keyed, rules, "host", spread_by=spread_by or [url], rows_per_task=rows_per_task
-    )
-    query = url_query(url)
-    target = F.concat(
-        F.coalesce(F.nullif(url_path(url), F.lit("")), F.lit("/")),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+    joined = lookup_join(keyed, rules, "host", spread_by=spread_by or [url], counts=counts)
+    # path and query, a slash for an empty path
+    target = F.regexp_replace(
+        F.regexp_extract(F.col(url), r"^[^:/?#]+://[^/?#]*([^#]*)", 1), r"^(?!/)|\?$", "/"
     )
     hit = F.get(
         F.filter("rules", lambda r: (r["prefix"] == "*") | target.startswith(r["prefix"])),

@@ -15,7 +15,7 @@ RESULTS_TYPE = "array<struct<title:string,link:string,snippet:string>>"
 def quoted_term(c: Column | str) -> Column:
     """The text in double quotes, inner quotes removed; null when nothing is left."""
     text = strip(F.replace(col(c), F.lit('"'), F.lit("")))
-    return F.when(text != "", F.concat(F.lit('"'), text, F.lit('"')))
+    return F.nullif(F.regexp_replace(text, "(?s)^(.+)$", '"$1"'), F.lit(""))
 
 
 def add_search_plan(df: DataFrame, output: str = "plan") -> DataFrame:
@@ -23,30 +23,31 @@ def add_search_plan(df: DataFrame, output: str = "plan") -> DataFrame:
 
     A company whose site was read needs no company search; a person needs a name.
     """
-    name, company = filled("name"), filled("company_name")
-    place = F.coalesce(filled("country"), filled("city"))
-    scraped = F.coalesce(F.col("has_scraped_data"), F.lit(False))
+    prepared = df.withColumns({
+        "_company": quoted_term("company_name"),
+        "_place": F.coalesce(filled("country"), filled("city")),
+    })
     company_query = F.when(
-        ~scraped, F.nullif(F.concat_ws(" ", quoted_term(company), place), F.lit(""))
+        ~F.coalesce(F.col("has_scraped_data"), F.lit(False)),
+        F.nullif(F.concat_ws(" ", "_company", "_place"), F.lit("")),
     )
     person_query = F.when(
-        name.isNotNull(),
-        F.concat_ws(" ", F.lit("site:linkedin.com"), quoted_term(name), quoted_term(company)),
+        strip("name") != "",
+        F.concat_ws(" ", F.lit("site:linkedin.com"), quoted_term("name"), "_company"),
     )
     params = F.map_filter(
         F.create_map(
-            F.lit("gl"), F.lower(filled("search_locale")),
-            F.lit("hl"), F.lower(filled("language")),
+            F.lit("gl"), F.lower(strip("search_locale")), F.lit("hl"), F.lower(strip("language"))
         ),
-        lambda _, v: v.isNotNull(),
+        lambda _, v: v != "",
     )
-    return df.withColumn(
+    return prepared.withColumn(
         output,
         F.struct(
             company_query.alias("company_query"), person_query.alias("person_query"),
             params.alias("params"),
         ),
-    )
+    ).drop("_company", "_place")
 
 
 def _result(title: Column, link: Column, snippet: Column) -> Column:
@@ -55,16 +56,20 @@ def _result(title: Column, link: Column, snippet: Column) -> Column:
 
 def stand_in_results(df: DataFrame, plan: str = "plan") -> DataFrame:
     """Repeatable search results derived from the lead, for runs without a search service."""
-    company = non_empty("company_name")
-    label = F.coalesce(company, F.lit("Unknown Co"))
-    slug = F.lower(F.coalesce(company, F.lit("example")))
-    place = F.coalesce(non_empty("country"), non_empty("city"), F.lit("their city"))
+    company, name = non_empty("company_name"), non_empty("name")
+    prepared = df.withColumns({
+        "_label": F.coalesce(company, F.lit("Unknown Co")),
+        "_slug": F.lower(F.coalesce(company, F.lit("example"))),
+        "_place": F.coalesce(non_empty("country"), non_empty("city"), F.lit("their city")),
+        "_person": F.when(F.col(f"{plan}.person_query").isNotNull(), name),
+    })
+    label, slug, person = F.col("_label"), F.col("_slug"), F.col("_person")
     none = F.array().cast(RESULTS_TYPE)
     about = _result(
         F.concat(label, F.lit(" | About Us")),
         F.concat(F.lit("https://www."), F.replace(slug, F.lit(" "), F.lit("")), F.lit(".example")),
         F.concat(
-            label, F.lit(" is a B2B supplier based in "), place,
+            label, F.lit(" is a B2B supplier based in "), F.col("_place"),
             F.lit(", serving industrial customers."),
         ),
     )
@@ -75,23 +80,20 @@ def stand_in_results(df: DataFrame, plan: str = "plan") -> DataFrame:
         ),
         F.concat(F.lit("View "), label, F.lit(" on LinkedIn.")),
     )
-    name = non_empty("name")
-    person = _result(
-        F.concat(name, F.lit(" - "), label),
+    member = _result(
+        F.concat(person, F.lit(" - "), label),
         F.concat(
             F.lit("https://www.linkedin.com/in/"),
-            F.replace(F.lower(name), F.lit(" "), F.lit("-")),
+            F.replace(F.lower(person), F.lit(" "), F.lit("-")),
         ),
-        F.concat(name, F.lit(" works at "), label, F.lit(".")),
+        F.concat(person, F.lit(" works at "), label, F.lit(".")),
     )
-    return df.withColumns({
+    return prepared.withColumns({
         "company_results": F.when(
             F.col(f"{plan}.company_query").isNotNull(), F.array(about, profile)
         ).otherwise(none),
-        "person_results": F.when(
-            F.col(f"{plan}.person_query").isNotNull() & name.isNotNull(), F.array(person)
-        ).otherwise(none),
-    })
+        "person_results": F.when(person.isNotNull(), F.array(member)).otherwise(none),
+    }).drop("_label", "_slug", "_place", "_person")
 
 
 def join_results(df: DataFrame, results: DataFrame, n: int = SEARCH_RESULTS_PER_QUERY) -> DataFrame:

@@ -36,7 +36,11 @@ def hits_in_window(
     """
     width = window_seconds * 1_000_000
     length = width * _CELL_WINDOWS
-    own, carried = F.struct(F.col("_c"), F.lit(True)), F.struct(F.col("_c") + 1, F.lit(False))
+
+    def place(cell: Column, own: bool) -> Column:
+        return F.struct(cell.alias("cell"), F.lit(own).alias("own"))
+
+    own, carried = place(F.col("_c"), True), place(F.col("_c") + 1, False)
     near_end = F.col("_us") >= (F.col("_c") + 1) * length - width
     placed = (
         df.withColumn("_us", _micros(ts))
@@ -44,7 +48,7 @@ def hits_in_window(
         .withColumn(
             "_place", F.explode(F.when(near_end, F.array(own, carried)).otherwise(F.array(own)))
         )
-        .withColumns({"_in": F.col("_place.col1"), "_own": F.col("_place.col2")})
+        .select("*", F.col("_place.cell").alias("_in"), F.col("_place.own").alias("_own"))
     )
     frame = Window.partitionBy(key, "_in").orderBy("_us").rangeBetween(-width, 0)
     return (

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.constants import COMPANY_SIZES, DEFAULT_TAXONOMY, PROMPT
-from leadloom.operators.extraction import add_stand_in_extraction, coerce_answer, is_answer
+from leadloom.operators.extraction import (
+    add_coerced_answer,
+    add_stand_in_extraction,
+    is_answer,
+)
 from leadloom.operators.search import add_prompt, add_search_plan, join_results, stand_in_results
 from leadloom.operators.upsert import add_missing_columns
 from leadloom.plans.enrichment import (
@@ -214,21 +218,20 @@ select email, usable, nullif(j->>'company_website', '') as company_website,
  nullif(j->>'company_description', '') as company_description,
  case when industry_text in {quoted_list(TAXONOMY)} then industry_text else 'Unknown' end
   as industry,
- coalesce(greatest(0.0, least(1.0, confidence_value)), 0.0)::double as industry_confidence,
+ case when confidence_value is null then 0.0 else greatest(0.0, least(1.0, confidence_value)) end::double as industry_confidence,
  nullif(j->>'sub_category', '') as sub_category,
  case when size_text in {quoted_list(COMPANY_SIZES)} then size_text else 'unknown' end
   as company_size,
  nullif(j->>'person_linkedin', '') as person_linkedin,
  nullif(j->>'company_linkedin', '') as company_linkedin,
- coalesce(greatest(0.0, least(1.0, relevance_value)), 0.0)::double as relevance_score
+ case when relevance_value is null then 0.0 else greatest(0.0, least(1.0, relevance_value)) end::double as relevance_score
 from fields
 """))
 def coerce_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _answers(spark, lead_table(spark, sf_dir))
-    return answers.select(
-        "email", is_answer("answer").alias("usable"),
-        coerce_answer("answer", TAXONOMY).alias("x"),
-    ).select("email", "usable", "x.*")
+    return add_coerced_answer(answers, TAXONOMY).select(
+        "email", is_answer("answer").alias("usable"), "extracted.*"
+    )
 
 
 def _answers(spark: SparkSession, leads: DataFrame) -> DataFrame:

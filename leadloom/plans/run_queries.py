@@ -300,23 +300,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = raw.repartitionByRange("source_file", "row_id").sortWithinPartitions(
         "source_file", "row_id"
     )
-    typed = ordered.withColumns({c: F.col(c).cast("string") for c in raw.columns})
-    typed.write.option("header", True).option("escape", '"').csv(f"{folder}/incoming")
-    stream = csv_stream(spark, f"{folder}/incoming", raw.columns).withColumnRenamed(
-        "source_file", "part_file"
-    )
-    columns = [f"`{c}`" for c in raw.columns]
-    rows = stream.drop("part_file").selectExpr(*columns, "file_path", "block_start")
+    headers = ["row_id", "upload", *HEADERS]
+    ordered.withColumnRenamed("source_file", "upload").select(*headers).write.option(
+        "header", True
+    ).option("escape", '"').csv(f"{folder}/incoming")
 
     def cleaned(batch: DataFrame) -> DataFrame:
-        kept = ["row_id", "source_file", *ROW_ORDER]
-        return clean_leads(resolve_columns(
-            batch.drop("industry", "relevance_score", "email_validated_at", "enriched_at"),
-            map_headers(list(HEADERS)), kept,
-        )).withColumn("row_id", F.col("row_id").cast("bigint"))
+        kept = ["row_id", "upload", "source_file", *ROW_ORDER]
+        rows = clean_leads(resolve_columns(batch, map_headers(list(HEADERS)), kept))
+        return rows.withColumn("row_id", F.col("row_id").cast("bigint"))
 
     run_to_end(stream_leads(
-        rows, cleaned, f"{folder}/leads", f"{folder}/uploads", f"{folder}/checkpoint",
-        order=["source_file", "row_id"],
+        csv_stream(spark, f"{folder}/incoming", headers), cleaned, f"{folder}/leads",
+        f"{folder}/uploads", f"{folder}/checkpoint", order=["upload", "row_id"],
     ))
     return spark.read.parquet(f"{folder}/leads").select("email", "name", "phone", "row_id")

@@ -147,7 +147,7 @@ profiled as (
    case when by_tld is not null then 'email_tld=''.' || tld || '''->' || by_tld
     when tld in {quoted_list(GENERIC_TLDS)}
     then 'email_tld=''.' || tld || '''->generic(ignored)' end) as signals,
-  coalesce(round(least(support, 1.0), 3), 0)::double as confidence
+  case when support is null then 0.0 else round(least(support, 1.0), 3) end::double as confidence
  from evidence left join winners using (email) left join countries c on c.code = win
 )
 """

@@ -16,6 +16,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TIMES: dict[str, float] = {}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -39,14 +41,22 @@ def rows_of(columns, rows):
 
 def difference(spark_df, connection, sql: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    TIMES["spark"] = time.time() - start
+    start = time.time()
     result = connection.execute(sql)
     columns = [d[0] for d in result.description]
     want = rows_of(columns, result.fetchall())
+    TIMES["duckdb"] = time.time() - start
     if sorted(columns) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows, expected {len(want)}"
+    missing = {repr(w) for w in want} - {repr(g) for g in got}
+    extra = {repr(g) for g in got} - {repr(w) for w in want}
+    if missing or extra:
+        return f"{len(extra)} rows differ\n  got  {min(extra)[:1500]}\n  want {min(missing)[:1500]}"
     for g, w in zip(got, want):
         if g != w or any(type(a) is not type(b) for a, b in zip(g, w) if None not in (a, b)):
             return f"\n  got  {str(g)[:1500]}\n  want {str(w)[:1500]}"
@@ -72,6 +82,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             message = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += message is not None
         print(f"{'ok  ' if message is None else 'FAIL'} {name} {time.time() - start:.1f}s "
+              f"(spark {TIMES.get('spark', 0):.1f} duckdb {TIMES.get('duckdb', 0):.1f}) "
               f"{message or ''}", flush=True)
     print(f"{failed} failed")
     return failed
