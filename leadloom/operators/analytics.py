@@ -147,25 +147,35 @@ def industry_detail(df: DataFrame, industry: str, n: int = 10) -> DataFrame:
     """One industry in long form: its totals and its `n` most frequent cities and states.
 
     Rows are `(dim, label, count, valid_pct, avg_relevance)`; the two shares are on the `total` row.
+    One scan and one shuffle: every lead counts towards three labels, combined map-side.
     """
-    rows = df.where(F.col("industry") == industry)
-    totals = rows.agg(
-        F.count("*").alias("count"),
-        percent(F.count_if(F.col("email_status") == "valid"), F.count("*")).alias("valid_pct"),
-        F.avg("relevance_score").alias("avg_relevance"),
-    ).select(
-        F.lit("total").alias("dim"), F.lit(industry).alias("label"), "count", "valid_pct",
-        "avg_relevance",
+    dims = F.explode(F.array(
+        F.struct(F.lit("total").alias("dim"), F.col("industry").alias("label")),
+        F.struct(F.lit("city").alias("dim"), F.col("city").alias("label")),
+        F.struct(F.lit("state").alias("dim"), F.col("state").alias("label")),
+    ))
+    counted = (
+        df.where(F.col("industry") == industry)
+        .select(dims.alias("d"), "email_status", "relevance_score")
+        .groupBy(F.col("d.dim").alias("dim"), F.col("d.label").alias("label"))
+        .agg(
+            F.count("*").alias("count"),
+            percent(F.count_if(F.col("email_status") == "valid"), F.count("*")).alias("valid_pct"),
+            F.avg("relevance_score").alias("avg_relevance"),
+        )
+        .where(F.col("label").isNotNull())
     )
-    tops = [
-        top_labels(rows, column, n).select(
-            F.lit(column).alias("dim"), "label", "count",
-            F.lit(None).cast("double").alias("valid_pct"),
-            F.lit(None).cast("double").alias("avg_relevance"),
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("count"), "label"))
+    is_total = F.col("dim") == "total"
+    return (
+        counted.withColumn("rank", rank)
+        .where(F.col("rank") <= n)
+        .select(
+            "dim", "label", "count",
+            F.when(is_total, F.col("valid_pct")).alias("valid_pct"),
+            F.when(is_total, F.col("avg_relevance")).alias("avg_relevance"),
         )
-        for column in ("city", "state")
-    ]
-    return totals.unionByName(tops[0]).unionByName(tops[1])
+    )
 
 
 def reclassify_unknown(df: DataFrame, taxonomy: DataFrame) -> DataFrame:

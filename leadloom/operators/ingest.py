@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.contacts import (
@@ -45,32 +45,35 @@ def ingest_outcome(
 ) -> DataFrame:
     """Per file: total, new, duplicate and skipped rows (`total = new + duplicate + skipped`).
 
-    Two narrow aggregates joined on the file name, no row is marked: an e-mail counts as new in
-    the file of its first row.
+    The rows are read once and shrink to one per file and e-mail before the first shuffle; an e-mail
+    counts as new in the file of its first row.  A hot e-mail is one row per file after that.
     """
-    totals = cleaned.groupBy(file).agg(
-        F.count("*").alias("total_records"),
-        F.count_if(F.col(key).isNull()).alias("skipped_records"),
-    )
     position = F.struct(*dict.fromkeys([*order, file]))
-    firsts = (
-        cleaned.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(position).alias("_first"))
-        .select(key, F.col(f"_first.{file}").alias(file))
+    counted = cleaned.groupBy(file, key).agg(
+        F.count("*").alias("_n"), F.min(position).alias("_first")
+    )
+    if stored is None:
+        counted = counted.withColumn("_known", F.lit(False))
+    else:
+        known = stored.select(key, F.lit(True).alias("_known"))
+        counted = counted.join(known, key, "left")
+    earliest = F.min("_first").over(Window.partitionBy(key))
+    is_new = (
+        F.col(key).isNotNull() & ~F.coalesce("_known", F.lit(False))
+        & (F.col("_first") == earliest)
     )
-    if stored is not None:
-        firsts = firsts.join(stored.select(key), key, "left_anti")
-    news = firsts.groupBy(file).agg(F.count("*").alias("new_records"))
     return (
-        totals.join(news, file, "left")
-        .withColumn("new_records", F.coalesce("new_records", F.lit(0)))
-        .withColumn(
-            "duplicate_records",
-            F.col("total_records") - F.col("new_records") - F.col("skipped_records"),
+        counted.withColumn("_new", is_new)
+        .groupBy(F.col(file).alias("filename"))
+        .agg(
+            F.sum("_n").alias("total_records"),
+            F.count_if("_new").alias("new_records"),
+            F.sum(F.when(F.col(key).isNull(), F.col("_n")).otherwise(0)).alias("skipped_records"),
         )
         .select(
-            F.col(file).alias("filename"), "total_records", "new_records", "duplicate_records",
+            "filename", "total_records", "new_records",
+            (F.col("total_records") - F.col("new_records") - F.col("skipped_records"))
+            .alias("duplicate_records"),
             "skipped_records",
         )
     )
