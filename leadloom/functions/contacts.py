@@ -25,9 +25,13 @@ _EMAIL = (
 )
 
 
-def normalise_email(c: Column | str) -> Column:
-    """Stripped lower-case address, or null when it is not a deliverable-looking address."""
-    return F.nullif(F.regexp_extract(F.lower(strip(c)), _EMAIL, 0), F.lit(""))
+def normalise_email(c: Column | str, stripped: bool = False) -> Column:
+    """Stripped lower-case address, or null when it is not a deliverable-looking address.
+
+    `stripped` tells that the cell has been stripped before, here and below.
+    """
+    text = col(c) if stripped else strip(c)
+    return F.nullif(F.regexp_extract(F.lower(text), _EMAIL, 0), F.lit(""))
 
 
 def normalise_phone(c: Column | str, default_country_code: str = "91") -> Column:
@@ -40,9 +44,9 @@ def normalise_phone(c: Column | str, default_country_code: str = "91") -> Column
     )
 
 
-def clean_website(c: Column | str) -> Column:
+def clean_website(c: Column | str, stripped: bool = False) -> Column:
     """Stripped text without one trailing slash; null when blank."""
-    return F.regexp_replace(filled(c), "(?s)(?<=.)/$", "")
+    return F.regexp_replace(col(c) if stripped else filled(c), "(?s)(?<=.)/$", "")
 
 
 def full_name(name: Column | str, first: Column | str, last: Column | str) -> Column:
@@ -52,12 +56,12 @@ def full_name(name: Column | str, first: Column | str, last: Column | str) -> Co
     )
 
 
-def quality_score(fields: dict[str, Column] | None = None) -> Column:
+def quality_score(stripped: bool = False) -> Column:
     """Weighted share of filled key fields, three decimals."""
-    columns = fields or {name: F.col(name) for name in QUALITY_WEIGHTS}
     score = F.lit(0.0)
     for name, weight in QUALITY_WEIGHTS.items():
-        score = score + F.when(strip(columns[name]) != "", F.lit(weight)).otherwise(0.0)
+        there = F.col(name).isNotNull() if stripped else strip(name) != ""
+        score = score + F.when(there, F.lit(weight)).otherwise(0.0)
     return F.round(score, 3)
 
 

@@ -47,11 +47,12 @@ def canonical_url(c: Column | str) -> Column:
 def link_base(url: Column | str) -> Column:
     """The parts of a page address that its links are resolved against."""
     return F.struct(
+        col(url).alias("url"),
         url_scheme(url).alias("scheme"),
         F.regexp_extract(col(url), "^[^:/?#]+://[^/?#]*", 0).alias("origin"),
         F.regexp_extract(col(url), "^[^?#]*", 0).alias("page"),
         F.regexp_replace(
-            F.regexp_extract(col(url), "^([^:/?#]+://[^/?#]*)([^?#]*/)?", 0), "/?$", "/"
+            F.regexp_extract(col(url), "^([^:/?#]+://[^/?#]*)([^?#]*/)?", 0), "(?<!/)$", "/"
         ).alias("folder"),
         F.regexp_extract(col(url), "^[^#]*", 0).alias("document"),
     )
@@ -61,7 +62,7 @@ def absolute_url(base: Column, href: Column) -> Column:
     """A link target seen from its page (`base` from `link_base`), for the usual forms; dot segments
     are left alone."""
     return (
-        F.when(href == "", base["document"])
+        F.when(href == "", base["url"])
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
         .when(href.startswith("/"), F.concat(base["origin"], href))

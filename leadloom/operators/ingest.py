@@ -17,13 +17,16 @@ from leadloom.operators.dedup import first_rows
 
 
 def clean_leads(df: DataFrame, default_country_code: str = "91") -> DataFrame:
-    """Normalise e-mail, phone and website of canonical rows and score their completeness."""
+    """Normalise e-mail, phone and website of canonical rows and score their completeness.
+
+    The rows come from `resolve_columns`: cells are stripped and blank ones are null.
+    """
     cleaned = df.withColumns({
-        "email": normalise_email("email"),
+        "email": normalise_email("email", stripped=True),
         "phone": normalise_phone("phone", default_country_code),
-        "website_csv": clean_website("website_csv"),
+        "website_csv": clean_website("website_csv", stripped=True),
     })
-    return cleaned.withColumn("data_quality_score", quality_score())
+    return cleaned.withColumn("data_quality_score", quality_score(stripped=True))
 
 
 def append_files(frames: list[DataFrame]) -> DataFrame:

@@ -88,13 +88,9 @@ def with_robots_verdict(
     keyed = pages.withColumn("host", F.lower(url_host(url)))
     joined = lookup_join(keyed, rules, "host", spread_by=spread_by or [url], counts=counts)
     # path and query, a slash for an empty path
-    target = F.regexp_replace(
-        F.regexp_extract(F.col(url), r"^[^:/?#]+://[^/?#]*([^#]*)", 1), r"^(?!/)|\?$", "/"
-    )
-    hit = F.get(
-        F.filter("rules", lambda r: (r["prefix"] == "*") | target.startswith(r["prefix"])),
-        F.lit(0),
-    )
+    rest = F.regexp_extract(F.col(url), r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
+    target = F.regexp_replace(F.regexp_replace(rest, r"\?$", ""), "^(?!/)", "/")
+    hit = F.get(F.filter("rules", lambda r: target.startswith(r["prefix"])), F.lit(0))
     return joined.withColumn(
         "robots_allowed", F.coalesce(hit["allow"], F.lit(True))
     ).drop("rules")

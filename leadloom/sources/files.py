@@ -32,6 +32,12 @@ _CP1252_FROM = "".join(ch for ch in _C1 if ch not in _UNDEFINED)
 _CP1252_TO = _CP1252_FROM.encode("latin-1").decode("cp1252")
 
 
+def plain_file_name(path: str) -> Column:
+    """Last part of a file address, its escapes undone."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """`path, filename, length, verdict` of every file; contents are not read."""
     files = (
@@ -142,7 +148,7 @@ def _read_csv_group(
     return rows.select(
         *[cell(h) for h in headers],
         "_overflow",
-        F.col("_metadata.file_name").alias("source_file"),
+        plain_file_name("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_modification_time").alias("file_modified"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -235,7 +241,7 @@ def workbook_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "cells array<string>",
     )
     return rows.select(
-        F.url_decode(F.regexp_extract("file_path", "([^/]*)$", 1)).alias("source_file"),
+        plain_file_name("file_path").alias("source_file"),
         F.timestamp_micros("modified").alias("file_modified"),
         "file_path",
         F.lit(0).cast("long").alias("block_start"),

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from leadloom.operators.ingest import ingest_outcome, new_leads
 from leadloom.session import shared_folder
-from leadloom.sources.files import ROW_ORDER
+from leadloom.sources.files import ROW_ORDER, plain_file_name
 
 
 def csv_stream(spark: SparkSession, folder: str, headers: list[str], files_per_batch: int = 1000):
@@ -23,7 +23,7 @@ def csv_stream(spark: SparkSession, folder: str, headers: list[str], files_per_b
         .csv(folder)
         .select(
             *[f"`{h}`" for h in headers],
-            F.col("_metadata.file_name").alias("source_file"),
+            plain_file_name("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
         )
