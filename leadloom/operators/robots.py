@@ -15,7 +15,7 @@ def robots_rules(bodies: DataFrame, user_agent: str) -> DataFrame:
 
     Lines become rows; a group starts at an agent line that does not follow another agent line.  The
     first group naming the agent applies, else the first `*` group.  A blank line right after agent
-    lines ends the group before it has rules.  The windows run within one host's file.
+    lines ends the group before it has rules.  Windows and lists stay within one host's file.
     """
     agent = user_agent.split("/")[0].lower()
     lines = bodies.select(

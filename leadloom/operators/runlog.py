@@ -100,16 +100,20 @@ def stage_counters(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_totals(rows: DataFrame) -> DataFrame:
-    """Per run: validated and skipped addresses, enriched leads, errors."""
+def run_totals(rows: DataFrame, leads: DataFrame | None = None) -> DataFrame:
+    """Per run: validated and skipped addresses, enriched leads, errors; with `leads` also the size
+    of the lead table."""
     stage, outcome = F.col("stage"), F.col("outcome")
     checked = stage == "email_validation"
-    return rows.groupBy("run_id").agg(
+    totals = rows.groupBy("run_id").agg(
         F.count_if(checked & (outcome == "ok")).alias("emails_validated"),
         F.count_if(checked & (outcome == "skipped")).alias("emails_skipped"),
         F.count_if((stage == "llm_extraction") & (outcome == "ok")).alias("prospects_enriched"),
         F.count_if(outcome == "failed").alias("errors"),
     )
+    if leads is None:
+        return totals
+    return totals.withColumn("total_records", leads.agg(F.count("*")).scalar())
 
 
 def run_errors(rows: DataFrame, max_chars: int = RUN_ERROR_MESSAGE_CHARS) -> DataFrame:

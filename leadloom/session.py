@@ -23,7 +23,7 @@ RECOMMENDED_CONF = {
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("leadloom")
-    for key, value in {**RECOMMENDED_CONF, **conf}.items():
+    for key, value in {"spark.driver.memory": "8g", **RECOMMENDED_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -73,7 +73,9 @@ def csv_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .when(latin.rlike(f"[{_UNDEFINED}]"), "latin-1")
         .otherwise("cp1252")
     )
-    first_line = F.regexp_extract(text, r"^\x{FEFF}?([^\r\n]*)", 1)
+    first_line = F.regexp_replace(
+        F.substring_index(text, "\n", 1), r"(?s)^\x{FEFF}|\r.*$", ""
+    )
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -33,12 +33,14 @@ def csv_stream(spark: SparkSession, folder: str, headers: list[str], files_per_b
 def stream_leads(
     rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], leads: str, uploads: str,
     checkpoint: str, order: list[str] | None = None, file: str = "source_file",
+    on_batch: Callable[[int, dict], None] | None = None,
 ) -> StreamingQuery:
     """Append the new leads of each batch to `leads` and the outcome per file to `uploads`.
 
     `prepare` turns raw rows into cleaned leads.  Each batch writes into folders of its own, named
     by the batch number and overwritten when a batch is run again, and drops the e-mails of earlier
-    batches, so a repeated batch changes nothing.
+    batches, so a repeated batch changes nothing.  `on_batch` is told the batch number and its
+    counters, which are observed while the rows are written.
     """
     spark = rows.sparkSession
     order = order or ROW_ORDER
@@ -46,14 +48,18 @@ def stream_leads(
     def write(batch: DataFrame, number: int) -> None:
         cleaned = prepare(batch.withColumn("row_seq", F.monotonically_increasing_id()))
         stored = _earlier_batches(spark, leads, number)
-        progress = Observation(f"batch {number}")
+        progress = Observation()
         fresh = new_leads(cleaned, order, stored).observe(
-            progress, F.count(F.lit(1)).alias("new_records")
+            progress,
+            F.count(F.lit(1)).alias("new_records"),
+            F.avg("data_quality_score").alias("data_quality_score"),
         )
         ingest_outcome(cleaned, order, stored, file=file).write.mode("overwrite").parquet(
             f"{uploads}/batch={number}"
         )
         fresh.write.mode("overwrite").parquet(f"{leads}/batch={number}")
+        if on_batch:
+            on_batch(number, progress.get)
 
     return (
         rows.writeStream.foreachBatch(write)

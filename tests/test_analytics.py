@@ -247,6 +247,7 @@ def test_run_counters(spark):
     assert runlog.run_totals(rows).first().asDict() == {
         "run_id": 1, "emails_validated": 1, "emails_skipped": 1, "prospects_enriched": 1, "errors": 1,
     }
+    assert runlog.run_totals(rows, rows).first().total_records == 4
     assert runlog.run_errors(rows, 4).first().message == "long"
     many = spark.range(300).select(F.lit(1).alias("run_id"), F.col("id").alias("n"))
     assert runlog.shown_errors(many, "run_id", ["n"]).count() == 100

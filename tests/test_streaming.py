@@ -26,10 +26,10 @@ def _prepare(batch):
     return clean_leads(resolve_columns(batch, map_headers(HEADERS), keep))
 
 
-def _run(spark, folder):
+def _run(spark, folder, on_batch=None):
     run_to_end(stream_leads(
         csv_stream(spark, f"{folder}/in", HEADERS, files_per_batch=1), _prepare,
-        f"{folder}/leads", f"{folder}/uploads", f"{folder}/checkpoint",
+        f"{folder}/leads", f"{folder}/uploads", f"{folder}/checkpoint", on_batch=on_batch,
     ))
     leads = spark.read.parquet(f"{folder}/leads")
     uploads = spark.read.parquet(f"{folder}/uploads")
@@ -51,8 +51,10 @@ def test_files_over_time(spark, tmp_path):
         assert leads == {"a@x.com": "A"}
         assert uploads == {"a.csv": (3, 1, 1, 1)}
         (folder / "b.csv").write_text("Email,Name\na@x.com,A3\nb@x.com,B\n")
-        leads, uploads = _run(spark, tmp_path)
+        seen = {}
+        leads, uploads = _run(spark, tmp_path, seen.__setitem__)
         assert leads == {"a@x.com": "A", "b@x.com": "B"}
+        assert seen == {1: {"new_records": 1, "data_quality_score": 0.45}}
         assert uploads["b.csv"] == (2, 1, 1, 0)
         assert _run(spark, tmp_path) == (leads, uploads)
     finally:

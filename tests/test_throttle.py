@@ -14,14 +14,11 @@ from leadloom.operators.throttle import admit_hits, admit_sorted, hits_in_window
 
 def by_the_rule(hits, max_hits, window):
     """hits: (key, seconds, id); the rule as stated, one hit at a time."""
-    buckets, decisions = defaultdict(deque), {}
+    admitted, decisions = defaultdict(list), {}
     for key, time, number in sorted(hits, key=lambda h: (h[1], h[2])):
-        bucket = buckets[key]
-        while bucket and bucket[0] < time - window:
-            bucket.popleft()
-        decisions[number] = len(bucket) < max_hits
-        if decisions[number]:
-            bucket.append(time)
+        recent = [t for t in admitted[key][-max_hits:] if time - t <= window]
+        decisions[number] = len(recent) < max_hits
+        admitted[key] += [time] * decisions[number]
     return decisions
 
 
