@@ -107,8 +107,9 @@ def status_counts(df: DataFrame) -> DataFrame:
 def industry_cards(df: DataFrame, cities: int = 3) -> DataFrame:
     """Per industry: leads, valid share, mean relevance and the most frequent cities.
 
-    Everything comes from counts per (industry, city), which are combined map-side: an industry
-    that holds a third of all leads is one row per city after the first shuffle.
+    One scan: counts per (industry, city) are combined map-side, ranked within the industry and
+    summed up where they are.  An industry that holds a third of all leads is one row per city after
+    the first shuffle.
     """
     per_city = (
         df.where(F.col("industry").isNotNull())
@@ -120,25 +121,25 @@ def industry_cards(df: DataFrame, cities: int = 3) -> DataFrame:
             F.count("relevance_score").alias("relevance_n"),
         )
     )
-    totals = per_city.groupBy("industry").agg(
-        F.sum("n").alias("count"),
-        percent(F.sum("n_valid"), F.sum("n")).alias("valid_pct"),
-        F.try_divide(F.sum("relevance_sum"), F.sum("relevance_n")).alias("avg_relevance"),
+    by_size = Window.partitionBy("industry").orderBy(
+        F.col("city").isNull(), F.desc("n"), F.asc("city")
     )
-    rank = F.row_number().over(
-        Window.partitionBy("industry").orderBy(F.desc("n"), F.asc("city"))
-    )
-    top = (
-        per_city.where(F.col("city").isNotNull())
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= cities)
-        .groupBy("industry")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "city"))).alias("ranked"))
-        .select("industry", F.col("ranked.city").alias("top_cities"))
+    top = F.when(
+        F.col("city").isNotNull() & (F.col("rank") <= cities), F.struct("rank", "city")
     )
     return (
-        totals.join(top, "industry", "left")
-        .withColumn("top_cities", F.coalesce("top_cities", F.array().cast("array<string>")))
+        per_city.withColumn("rank", F.row_number().over(by_size))
+        .groupBy("industry")
+        .agg(
+            F.sum("n").alias("count"),
+            percent(F.sum("n_valid"), F.sum("n")).alias("valid_pct"),
+            F.array_sort(F.collect_list(top)).alias("ranked"),
+            F.try_divide(F.sum("relevance_sum"), F.sum("relevance_n")).alias("avg_relevance"),
+        )
+        .select(
+            "industry", "count", "valid_pct", F.col("ranked.city").alias("top_cities"),
+            "avg_relevance",
+        )
         .orderBy(F.desc("count"), "industry")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.operators.joins import ROWS_PER_TASK, lookup_join
+from leadloom.operators.joins import NULL_SPLITS, ROWS_PER_TASK
 
 
 def first_rows(df: DataFrame, key: str = "email", order: list[str] | None = None) -> DataFrame:
@@ -33,32 +33,43 @@ def mark_duplicates(
     """Every row with its outcome (`new`, `duplicate`, `skipped`), `is_duplicate` and
     `duplicate_of` (the e-mail it repeats).
 
-    The first position of each key is found by a map-side combined aggregate and joined back with
-    hot keys split, so no task ever holds all rows of a key.  `stored` holds known keys; a key that
-    is stored makes all its rows duplicates.
+    The first position of each key comes from a map-side combined aggregate.  Keys with more than
+    `rows_per_task` rows, at most `rows / rows_per_task` of them, are broadcast; their rows and rows
+    without a key stay spread over all tasks.  The other keys are joined on the key.  `stored` holds
+    known keys; a key that is stored makes all its rows duplicates.
     """
     position = F.struct(*order)
     firsts = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min(position).alias("_first"), F.count("*").alias("n"))
+        .agg(F.min(position).alias("_first"), F.count("*").alias("_n"))
     )
-    if stored is None:
-        known = firsts.withColumn("_known", F.lit(False))
-    else:
-        keys = stored.select(key).distinct().withColumn("_known", F.lit(True))
-        known = firsts.join(keys, key, "left")
-    joined = lookup_join(
-        df, known.drop("n"), key, spread_by=order, rows_per_task=rows_per_task,
-        counts=firsts.select(key, "n"),
+    if stored is not None:
+        # a stored key keeps its row count but has no first row here
+        known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+        firsts = firsts.join(known, key, "left").withColumn(
+            "_first", F.when(F.col("_known").isNull(), F.col("_first"))
+        )
+    hot = firsts.where(F.col("_n") > rows_per_task).select(
+        key, F.struct("_first").alias("_hot")
     )
-    is_first = (position == F.col("_first")) & ~F.coalesce(F.col("_known"), F.lit(False))
-    outcome = (
-        F.when(F.col(key).isNull(), "skipped").when(is_first, "new").otherwise("duplicate")
+    rest = firsts.where(F.col("_n") <= rows_per_task).select(
+        F.col(key).alias("_key"), F.lit(0).alias("_split"), F.col("_first")
     )
+    settled = F.col(key).isNull() | F.col("_hot").isNotNull()
+    rows = df.join(F.broadcast(hot), key, "left").withColumns({
+        "_key": F.when(~settled, F.col(key)),
+        "_split": F.when(settled, F.pmod(F.xxhash64(*order), F.lit(NULL_SPLITS)).cast("int"))
+        .otherwise(0),
+    })
+    placed = rows.join(rest, ["_key", "_split"], "left")
+    is_first = F.coalesce(
+        position == F.coalesce(F.col("_hot._first"), F.col("_first")), F.lit(False)
+    )
+    outcome = F.when(F.col(key).isNull(), "skipped").when(is_first, "new").otherwise("duplicate")
     return (
-        joined.withColumn("outcome", outcome)
+        placed.withColumn("outcome", outcome)
         .withColumn("is_duplicate", F.col("outcome") == "duplicate")
         .withColumn("duplicate_of", F.when(F.col("outcome") == "duplicate", F.col(key)))
-        .drop("_first", "_known")
+        .select(*df.columns, "outcome", "is_duplicate", "duplicate_of")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Rows of one key that a single task may join without splitting the key.
 ROWS_PER_TASK = 1_000_000
 # Tasks over which rows without a key are spread.
-_NULL_SPLITS = 1024
+NULL_SPLITS = 1024
 
 
 def lookup_join(
@@ -43,7 +43,7 @@ def lookup_join(
     row_hash = F.xxhash64(*spread_by)
     left_split = left.join(hot, key, "left").withColumn(
         "_split",
-        F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(_NULL_SPLITS)))
+        F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(NULL_SPLITS)))
         .otherwise(F.pmod(row_hash, splits))
         .cast("int"),
     ).drop("_splits")

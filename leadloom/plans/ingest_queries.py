@@ -206,8 +206,8 @@ def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One history row per file, numbered by its first row, newest first."""
     rows = lead_rows(spark, sf_dir).select("row_id", "source_file", "email")
     ids = rows.groupBy(F.col("source_file").alias("filename")).agg(F.min("row_id").alias("id"))
-    history = ingest_outcome(rows, ORDER, _stored_leads(spark, sf_dir)).join(ids, "filename")
-    return latest_uploads(with_upload_id(history, history.select("filename", "id")))
+    results = ingest_outcome(rows, ORDER, _stored_leads(spark, sf_dir))
+    return latest_uploads(with_upload_id(results, ids).withColumn("id", F.col("upload_id")))
 
 
 @query(with_ctes(f"leads_raw as ({LEADS_RAW})", """

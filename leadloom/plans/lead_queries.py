@@ -221,7 +221,7 @@ select industry, industry in {quoted_list(DEFAULT_TAXONOMY)} as known, count(*)
 from leads where industry is not null group by industry
 """))
 def taxonomy_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Industries in use and whether the default list knows them (semi and anti join)."""
+    """Industries in use and whether the default list knows them."""
     used = (
         lead_table(spark, sf_dir).where(F.col("industry").isNotNull())
         .groupBy("industry").agg(F.count("*").alias("n"))
@@ -229,11 +229,8 @@ def taxonomy_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_taxonomy(taxonomy_setting(spark, []).where(F.lit(False))).select(
         F.col("label").alias("industry")
     )
-    known = used.join(F.broadcast(labels), "industry", "left_semi")
-    unknown = used.join(F.broadcast(labels), "industry", "left_anti")
-    return known.withColumn("known", F.lit(True)).unionByName(
-        unknown.withColumn("known", F.lit(False))
-    )
+    marked = used.join(F.broadcast(labels.withColumn("known", F.lit(True))), "industry", "left")
+    return marked.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 # --- overview, facets, clusters ------------------------------------------------------------------
