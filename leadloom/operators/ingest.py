@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.contacts import (
@@ -82,6 +82,13 @@ def ingest_outcome(
     )
 
 
+def history_rows(outcome: DataFrame, as_of: Column, uploaded_by: str | None = None) -> DataFrame:
+    """Rows to append to the upload history, one per file."""
+    return outcome.withColumns({
+        "uploaded_at": as_of, "uploaded_by": F.lit(uploaded_by).cast("string"),
+    })
+
+
 def latest_uploads(history: DataFrame, n: int = 100) -> DataFrame:
     """The newest uploads first."""
     return history.orderBy(F.desc("id")).limit(n)

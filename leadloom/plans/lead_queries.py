@@ -25,7 +25,8 @@ from leadloom.plans.inputs import AS_OF, table
 from leadloom.plans.leads import lead_table
 from leadloom.plans.registry import query, time_text
 from leadloom.plans.sql import GEO, LEADS, QUALITY, quoted_list, with_ctes
-from leadloom.sources.tables import LEAD_COLUMNS, export_rows
+from leadloom.session import shared_folder
+from leadloom.sources.tables import LEAD_COLUMNS, export_rows, write_export
 
 
 def as_of():
@@ -399,6 +400,20 @@ def export_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+@query(with_ctes(GEO, "select " + ", ".join(
+    f"{_EXPORT_SQL.get(c, c + ' as ' + c).rsplit(' as ', 1)[0]}::varchar as {c}"
+    for c in EXPORT_COLUMNS
+) + " from profiled"))
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export written as CSV files and read back as text."""
+    folder = shared_folder(spark, "export")
+    leads = export_ready(spark, sf_dir)
+    write_export(leads.withColumns({
+        "created_at": time_text("created_at"), "enriched_at": time_text("enriched_at"),
+    }), folder)
+    return spark.read.options(header=True, escape='"').csv(folder)
+
+
 @query(with_ctes(GEO, f"""
 select email, id, case when enriched_at is null then 'Packaging' else industry end as industry,
  case when enriched_at is null then null else relevance_score end as relevance_score,

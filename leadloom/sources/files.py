@@ -106,28 +106,46 @@ def split_header(line: str) -> list[str]:
 def read_csv_files(
     spark: SparkSession, path: str | list[str], external: object = None, multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, rejected rows) of all CSV files under `path`.
+    """(canonical rows, rejects) of all CSV files under `path`.
 
     Files are grouped by header line and encoding; each group is one splittable read with an
     explicit schema, so a header of one file never names the columns of another.  What reaches the
-    driver is the file listing, as in any Spark read.  A row with more cells than the header goes to
-    the rejects; a shorter row is filled up.  `multi_line` allows line breaks inside quotes, at the
-    price of unsplit files.
+    driver is the file listing, as in any Spark read.  Rejects carry a reason: a file without an
+    e-mail column (one row per file), or a row with more cells than the header; a shorter row is
+    filled up.  `multi_line` allows line breaks inside quotes, at the price of unsplit files.
     """
     listing = csv_dialects(spark, path).toPandas().sort_values("path")
+    if listing.empty:
+        raise FileNotFoundError(f"no CSV files under {path}")
     frames, rejects = [], []
     for (header, encoding), files in listing.groupby(["header", "encoding"], sort=False):
         headers = unique_headers(split_header(header))
-        mapping = plan_mapping(headers, external)
+        try:
+            mapping = plan_mapping(headers, external)
+        except ValueError:
+            rejects.append(_rejected(spark, list(files["path"])))
+            continue
         raw = _read_csv_group(spark, list(files["path"]), headers, encoding, multi_line)
         too_long = F.col("_overflow").isNotNull()
-        rejects.append(raw.where(too_long).select(*FILE_COLUMNS))
+        rejects.append(
+            raw.where(too_long).select(*FILE_COLUMNS, F.lit("too many cells").alias("reason"))
+        )
         frames.append(
             resolve_columns(raw.where(~too_long).drop("_overflow"), mapping, FILE_COLUMNS)
         )
+    if not frames:
+        raise ValueError(f"no email column in any file under {path}")
     return append_files(frames), append_files(rejects)
 
 
+def _rejected(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    return files.select(
+        plain_file_name("file_path").alias("source_file"), "file_path",
+        F.lit("no email column").alias("reason"),
+    )
+
+
 def _read_csv_group(
     spark: SparkSession, paths: list[str], headers: list[str], encoding: str, multi_line: bool
 ) -> DataFrame:

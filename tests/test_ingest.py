@@ -19,6 +19,7 @@ from leadloom.operators.columns import (
 from leadloom.operators.dedup import first_rows, mark_duplicates
 from leadloom.operators.ingest import (
     clean_leads,
+    history_rows,
     ingest_outcome,
     latest_uploads,
     new_leads,
@@ -115,6 +116,7 @@ def upload(tmp_path):
     )
     (folder / "c.CSV").write_bytes("EmailID,City\nc@x.com,Orléans “€”\n".encode("cp1252"))
     (folder / "d.csv").write_bytes(b"mail,town\nd@x.com,\xe9\x81\n")
+    (folder / "e.csv").write_text("Name,Phone\nx,1\n")
     (folder / "notes.txt").write_text("no")
     (folder / "old.xls").write_text("no")
     return str(folder)
@@ -122,7 +124,9 @@ def upload(tmp_path):
 
 def test_csv_files(spark, upload):
     rows, rejects = read_csv_files(spark, upload)
-    assert [r.source_file for r in rejects.collect()] == ["a.csv"]
+    assert sorted((r.source_file, r.reason) for r in rejects.collect()) == [
+        ("a.csv", "too many cells"), ("e.csv", "no email column"),
+    ]
     cleaned = clean_leads(rows).cache()
     assert cleaned.count() == 8
     found = {r.email: r for r in new_leads(cleaned, ROW_ORDER).collect()}
@@ -148,11 +152,28 @@ def test_csv_files(spark, upload):
     assert again.agg(F.sum("new_records")).first()[0] == 0
 
 
+def test_folders_without_usable_files(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("no")
+    with pytest.raises(FileNotFoundError):
+        read_csv_files(spark, str(tmp_path))
+    (tmp_path / "x.csv").write_text("Name,Phone\nx,1\n")
+    with pytest.raises(ValueError, match="email column"):
+        read_csv_files(spark, str(tmp_path))
+    rows, _ = read_csv_files(spark, str(tmp_path), external={"Phone": "email"})
+    assert rows.first().email == "1"
+
+
+def test_history_rows(spark):
+    outcome = spark.sql("select 'a' filename, 3L total_records")
+    row = history_rows(outcome, F.expr("timestamp '2024-02-01 00:00:00'"), "me").first()
+    assert (row.uploaded_by, row.uploaded_at.year) == ("me", 2024)
+
+
 def test_upload_guard(spark, upload):
     verdicts = {r.filename: r.verdict for r in list_files(spark, upload).collect()}
     assert verdicts == {
         "a.csv": "accepted", "b b.csv": "accepted", "c.CSV": "accepted", "d.csv": "accepted",
-        "notes.txt": "extension", "old.xls": "unsupported",
+        "e.csv": "accepted", "notes.txt": "extension", "old.xls": "unsupported",
     }
     assert rejected_files(spark, upload).count() == 2
 
