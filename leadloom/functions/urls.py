@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import col, strip
 
-_PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+_PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)"
 
 # scheme and host, path up to its parameters and closing slashes, query; anything without a host
 # matches the second branch and leaves nothing.
@@ -31,10 +31,6 @@ def url_path(c: Column | str) -> Column:
     return F.regexp_extract(col(c), _PARTS, 3)
 
 
-def url_query(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_extract(col(c), _PARTS, 4), F.lit(""))
-
-
 def canonical_url(c: Column | str) -> Column:
     """Scheme added when missing, slashes at the end of the path, fragment and path parameters
     dropped; null when there is no host."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.constants import CANONICAL_FIELDS, HEADER_KEYS, PROMPT, SAMPLE_CELL_CHARS
@@ -108,8 +108,6 @@ def sample_rows(
     Both limits are the feature.  With `group` the sample is taken per group (one per file); Spark
     keeps only the first rows of a group in each task before it shuffles.
     """
-    from pyspark.sql import Window
-
     cells = F.map_filter(
         F.map_from_arrays(
             F.array(*[F.lit(h) for h in headers]),

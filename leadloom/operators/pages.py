@@ -189,6 +189,16 @@ def add_about_pages(
     }).drop("_about_social", "about_norm")
 
 
+def website_counts(leads: DataFrame, website: str = "website_csv") -> DataFrame:
+    """Leads per website address (`url_norm, n`): one narrow scan, combined map-side."""
+    return (
+        leads.select(canonical_url(website).alias("url_norm"))
+        .where(F.col("url_norm").isNotNull())
+        .groupBy("url_norm")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def join_sites(
     leads: DataFrame, sites: DataFrame, website: str = "website_csv",
     spread_by: list[str] | None = None, counts: DataFrame | None = None,

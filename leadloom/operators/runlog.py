@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from leadloom.constants import (
     INGEST_ERRORS_SHOWN,
-    LOG_ERROR_MESSAGE_CHARS,
     RUN_ERROR_MESSAGE_CHARS,
     RUN_LOG_SECRET_KEYS,
+    STAGES,
 )
 from leadloom.functions.redact import mask_text
 from leadloom.functions.text import percent, strip
@@ -100,6 +100,19 @@ def stage_counters(rows: DataFrame) -> DataFrame:
     )
 
 
+def run_progress(counters: DataFrame) -> DataFrame:
+    """One row per run and stage, in stage order: counters of the stages that have run, `pending`
+    for the others."""
+    runs = counters.select("run_id").distinct()
+    stages = F.posexplode(F.array(*[F.lit(s) for s in STAGES])).alias("position", "stage")
+    status = F.when(F.col("total").isNull(), "pending").when(
+        F.col("processed") < F.col("total"), "running"
+    )
+    return runs.select("run_id", stages).join(counters, ["run_id", "stage"], "left").withColumn(
+        "status", status.otherwise("completed")
+    )
+
+
 def run_totals(rows: DataFrame, leads: DataFrame | None = None) -> DataFrame:
     """Per run: validated and skipped addresses, enriched leads, errors; with `leads` also the size
     of the lead table."""
@@ -131,10 +144,6 @@ def shown_errors(
     return errors.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
 
-def log_error_message(message: str):
-    return F.substring(message, 1, LOG_ERROR_MESSAGE_CHARS)
-
-
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run with the highest id and its time: end if it has one, else start."""
     last = runs.agg(F.max_by(F.struct(*runs.columns), "id").alias("r"))

@@ -11,7 +11,7 @@ from leadloom.operators.extraction import (
     enrichment_columns,
     evidence_record,
 )
-from leadloom.operators.pages import join_sites
+from leadloom.operators.pages import join_sites, website_counts
 from leadloom.operators.profiling import add_geo_profile, add_language, apply_geo_profile
 from leadloom.operators.search import add_search_plan, join_results, stand_in_results
 from leadloom.operators.upsert import add_missing_columns, upsert_by_key
@@ -25,9 +25,11 @@ def profile_leads(leads: DataFrame, country: str = "country") -> DataFrame:
     return add_language(apply_geo_profile(add_geo_profile(leads, country=country)))
 
 
-def attach_sites(leads: DataFrame, sites: DataFrame) -> DataFrame:
+def attach_sites(
+    leads: DataFrame, sites: DataFrame, counts: DataFrame | None = None
+) -> DataFrame:
     """Leads with the record of their own site."""
-    return join_sites(leads, add_missing_columns(sites, SITE_COLUMNS))
+    return join_sites(leads, add_missing_columns(sites, SITE_COLUMNS), counts=counts)
 
 
 def attach_search(leads: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -60,11 +62,14 @@ def enrich_leads(
 ) -> DataFrame:
     """The table of profiled leads after one enrichment run.
 
-    Only the cohort to be enriched reaches the site and search joins.  `answers` (`email, answer`)
-    holds model answers; leads without a usable one get the stand-in extraction.
+    `leads` is a stored table, so counting its websites reads one column; addresses that many leads
+    share are split before the site join.  Only the cohort to be enriched reaches the site and
+    search joins.  `answers` (`email, answer`) holds model answers; leads without a usable one get
+    the stand-in extraction.
     """
-    cohort = add_language(needs_enrichment(leads, run_type))
-    cohort = attach_search(attach_sites(cohort, sites), results)
+    cohort = needs_enrichment(leads, run_type)
+    located = attach_sites(add_language(cohort), sites, website_counts(cohort))
+    cohort = attach_search(located, results)
     if answers is None:
         extracted = add_stand_in_extraction(cohort, taxonomy)
     else:

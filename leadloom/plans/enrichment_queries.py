@@ -25,6 +25,8 @@ from leadloom.plans.leads import lead_table
 from leadloom.plans.page_queries import SITES, native_sites
 from leadloom.plans.registry import entries_text, query
 from leadloom.plans.sql import GEO, LEADS, canonical_url_sql, quoted, quoted_list, with_ctes
+from leadloom.session import shared_folder
+from leadloom.sources.tables import read_table, write_snapshot
 
 TAXONOMY = list(DEFAULT_TAXONOMY)
 
@@ -330,11 +332,13 @@ select email, case when enriched_at is null then picked_industry else industry e
 from recorded
 """))
 def enrichment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the whole lead table: profile, site join, search, extraction, update."""
-    stored = add_missing_columns(
-        profile_leads(lead_table(spark, sf_dir)).drop("language", "profile"),
-        {"enrichment_raw": "string", "company_website": "string", "updated_at": "timestamp"},
-    )
+    """All stages on the whole lead table: profile, store, site join, search, extraction, update."""
+    columns = {
+        "enrichment_raw": "string", "company_website": "string", "updated_at": "timestamp",
+    }
+    folder = shared_folder(spark, "leads")
+    write_snapshot(profile_leads(lead_table(spark, sf_dir)).drop("language", "profile"), folder)
+    stored = read_table(spark, folder, columns)
     enriched = enrich_leads(stored, native_sites(spark, sf_dir), TAXONOMY, as_of())
     return enriched.select(
         "email", "industry", "relevance_score", "company_website",

@@ -54,6 +54,25 @@ def counters_per_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.stage_counters(derived(spark, sf_dir, STAGE_ROWS))
 
 
+@query(with_ctes(f"stage_rows as ({STAGE_ROWS})", """
+, runs as (select distinct run_id from stage_rows),
+stages as (
+ select * from (values (0, 'ingest'), (1, 'email_validation'), (2, 'data_profiling'),
+  (3, 'website_scraping'), (4, 'web_search'), (5, 'llm_extraction'), (6, 'finalize'))
+  as t(position, stage)
+)
+select r.run_id, s.position, s.stage, nullif(count(outcome), 0) as total,
+ case when count(outcome) = 0 then 'pending' when bool_or(outcome = 'failed') then 'running'
+  else 'completed' end as status
+from runs r join stages s on true
+left join stage_rows x on x.run_id = r.run_id and x.stage = s.stage
+group by r.run_id, s.position, s.stage
+"""), name="run_progress")
+def progress_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = runlog.stage_counters(derived(spark, sf_dir, STAGE_ROWS))
+    return runlog.run_progress(counters).select("run_id", "position", "stage", "total", "status")
+
+
 @query(with_ctes(f"stage_rows as ({STAGE_ROWS})", """
 select run_id,
  count(*) filter (where stage = 'email_validation' and outcome = 'ok') as emails_validated,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from leadloom.operators.ingest import ingest_outcome, new_leads
-from leadloom.session import shared_folder
 from leadloom.sources.files import ROW_ORDER, plain_file_name
 
 
@@ -114,7 +113,3 @@ class ProgressRows(StreamingQueryListener):
 def run_to_end(query: StreamingQuery) -> None:
     """Wait for an available-now query; a failure of the query is raised here."""
     query.awaitTermination()
-
-
-def new_checkpoint(spark: SparkSession, purpose: str) -> str:
-    return shared_folder(spark, f"stream-{purpose}")

@@ -25,7 +25,7 @@ from leadloom.operators.validation import (
     repair_activity,
     stand_in_status,
 )
-from leadloom.sources.runlogs import append_run_log, read_run_log
+from leadloom.sources.runlogs import append_run_log, log_lines, read_run_log
 from leadloom.sources.tables import (
     LEAD_COLUMNS,
     append_rows,
@@ -244,6 +244,12 @@ def test_run_counters(spark):
     counters = {r.stage: tuple(r)[2:] for r in runlog.stage_counters(rows).collect()}
     # total, processed, ok, skipped, pct
     assert counters == {"email_validation": (3, 2, 1, 1, 66.7), "llm_extraction": (1, 1, 1, 0, 100.0)}
+    progress = runlog.run_progress(runlog.stage_counters(rows)).orderBy("position").collect()
+    assert [(r.stage, r.status) for r in progress] == [
+        ("ingest", "pending"), ("email_validation", "running"), ("data_profiling", "pending"),
+        ("website_scraping", "pending"), ("web_search", "pending"),
+        ("llm_extraction", "completed"), ("finalize", "pending"),
+    ]
     assert runlog.run_totals(rows).first().asDict() == {
         "run_id": 1, "emails_validated": 1, "emails_skipped": 1, "prospects_enriched": 1, "errors": 1,
     }
@@ -260,6 +266,16 @@ def test_run_counters(spark):
     assert [r.id for r in runlog.recent_runs(runs).collect()] == [3, 1]
 
 
+def test_log_lines_cut_error_messages(spark):
+    events = spark.sql(
+        "select 1L run_id, 'error' event, repeat('x', 3000) message union all "
+        "select 1L, 'other', repeat('x', 3000)"
+    )
+    lengths = {json.loads(r.value)["event"]: len(json.loads(r.value)["message"])
+               for r in log_lines(events).collect()}
+    assert lengths == {"error": 2000, "other": 3000}
+
+
 def test_deep_masking(spark):
     rows = spark.sql("""select 1 id, '{"a": {"token": {"x": 1}}}' request""")
     assert runlog.mask_json_column(rows, "request").first().request == (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom.constants import CONSOLE_SECRET_KEYS
 from leadloom.functions import geo
 from leadloom.functions.contacts import (
     clean_website,
@@ -193,6 +194,10 @@ def test_masking(values):
         '{"API_KEY" : "***REDACTED***", "token":"***REDACTED***", "note":"token", '
         '"x":{"secret":"***REDACTED***"}}'
     ]
+    cookie = '{"Set-Cookie": "a", "password_hash": 1, "Name": "b"}'
+    assert values(lambda c: mask_scalars(c, CONSOLE_SECRET_KEYS), [cookie]) == [
+        '{"Set-Cookie": "***REDACTED***", "password_hash": "***REDACTED***", "Name": "b"}'
+    ]
     keys = frozenset({"token"})
     assert mask_text('{"a": [{"Token": {"k": [1]}}], "t": 1}', keys) == (
         '{"a": [{"Token": "***REDACTED***"}], "t": 1}'
