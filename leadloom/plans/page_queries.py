@@ -156,9 +156,23 @@ def page_about_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _unescaped_sql(column: str) -> str:
+    """The entities that occur in the pages, the ampersand last."""
+    text = column
+    for entity, letter in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        text = f"replace({text}, '{entity}', '{letter}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+@query(with_ctes(SITES, f"""
+select page_id, {_unescaped_sql("title")} as title, {_unescaped_sql("description")} as description,
+ {_unescaped_sql("text")} as text, coalesce(n, 0) as links,
+ coalesce(social_links, '') as social_links, about_url
+from native left join social_text using (page_id) left join abouts using (page_id)
+left join (select page_id, count(*) as n from links group by page_id) using (page_id)
+"""))
 def page_text_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full parser form over whole pages; entities make it inexpressible in plain SQL."""
+    """Full parser form over whole pages."""
     parsed = parse_pages(marked_pages(spark, sf_dir), max_chars=None)
     return parsed.select(
         "page_id", "title", "description", "text", F.size("links").cast("long").alias("links"),
