@@ -62,8 +62,8 @@ def admit_hits(
     df: DataFrame, key: str, ts: str, tie_break: str, max_hits: int, window_seconds: int,
     output: str = "admitted",
 ) -> DataFrame:
-    """Add the admission decision to every hit; hits are taken in `(ts, tie_break)` order.  Hits
-    without a key share one.
+    """Add the admission decision to every hit; hits are taken in `(ts, tie_break)` order, so both
+    must be there and `tie_break` unique.  Hits without a key share one.
 
     Time is cut into cells as long as the window, and most decisions need counting only:
 
