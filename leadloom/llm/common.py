@@ -62,10 +62,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def words_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word (bytes other than space and 0x09-0x0D) and, for each text, the
-    index of its first word; words never cross texts."""
-    word = ~_IS_SPACE[raw]
+# bytes between words when punctuation does not count: all ASCII but letters and digits
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def words_of(
+    raw: np.ndarray, starts: np.ndarray, between: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (bytes not `between`, by default other than space and 0x09-0x0D)
+    and, for each text, the index of its first word; words never cross texts."""
+    word = ~between[raw]
     first = word.copy()
     last = word.copy()
     if len(raw):

@@ -8,7 +8,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import sentencepiece_codec, token_files, warc
+from leadloom.llm import (
+    decontaminate,
+    html_extract,
+    langid,
+    sentencepiece_codec,
+    simhash,
+    token_files,
+    warc,
+)
 from leadloom.llm.common import table
 
 # The folder of public tokenizer files; a parameter of the operators, never copied.
@@ -24,6 +32,13 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(sentencepiece_codec.encode_texts(docs, PIECE_MODEL))
@@ -38,6 +53,40 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, words_to_shingle=3, max_bits=2)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: their source is the host, their language column a declaration."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = langid.identify(
+        docs, langid.fit(docs), host=F.col("source"), declared=F.col("lang")
+    )
+    return found.select("doc_id", "lang", "language", "confidence", "accepted")
+
+
+def op8_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, by a model fitted on documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", langid.markup_language(F.col("html")).alias("declared"),
+        langid.markup_text(F.col("html")).alias("shown"),
+    )
+    url = F.col("url")
+    found = langid.identify(
+        pages, langid.fit(docs), "shown", langid.url_host(url), langid.url_suffix(url),
+        F.col("declared"),
+    )
+    return found.select("page_id", "url", "declared", "language", "confidence", "accepted")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.count_tokens(docs, BYTE_RANKS, byte_pattern(), BYTE_END)
@@ -45,7 +94,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_sentencepiece, op6_warc, op10_token_counts)
+    for f in (
+        op3_html_extraction, op5_sentencepiece, op6_warc, op7_simhash, op8_language_id,
+        op8_language_id_pages, op9_decontamination, op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {}
