@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """`frame` written to the folder all executors share and read again: its lineage ends here."""
     folder = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
+    frame.write.option("compression", "zstd").parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
@@ -125,3 +127,11 @@ def pack_sorted(values: np.ndarray) -> bytes:
 
 def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Stretches of ascending `keys` that belong to one bucket: buckets cut the range of hashes."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
+    for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+        yield int(bucket[a]), slice(a, b)

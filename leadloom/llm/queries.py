@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
+    collision_dedup,
     decontaminate,
+    hpylm,
     html_extract,
     langid,
     sentencepiece_codec,
     simhash,
+    suffix_dedup,
     token_files,
     warc,
 )
@@ -32,6 +35,18 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from all documents but those of one seventh, told by their ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    return hpylm.score(docs, fold != 2)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digests(suffix_dedup.removed_bytes(docs))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).select(
@@ -39,6 +54,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return collision_dedup.near_duplicates(vectors, min_cosine=0.9)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(sentencepiece_codec.encode_texts(docs, PIECE_MODEL))
@@ -95,8 +115,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_html_extraction, op5_sentencepiece, op6_warc, op7_simhash, op8_language_id,
-        op8_language_id_pages, op9_decontamination, op10_token_counts,
+        op1_pitman_yor, op2_suffix_dedup, op3_html_extraction, op4_collision_dedup,
+        op5_sentencepiece, op6_warc, op7_simhash, op8_language_id, op8_language_id_pages,
+        op9_decontamination, op10_token_counts,
     )
 }
 
