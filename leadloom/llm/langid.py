@@ -216,14 +216,21 @@ def identify(
         + F.log(F.greatest(F.col(f"_d{i}"), F.lit(1e-9)))
         for i in each
     ]
-    sure = F.array(*posterior(fused))
-    best = F.array_max(sure)
     names = F.array(*map(F.lit, model.languages))
     has_text = F.col("_letters") > 0
-    return joined.select(
+    # columns of their own, so that no expression holds another one many times
+    weighed = (
+        joined.withColumn("_logs", F.array(*fused))
+        .withColumn("_top", F.array_max("_logs"))
+        .withColumn("_all", F.aggregate(
+            "_logs", F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - F.col("_top"))
+        ))
+    )
+    best = 1 / F.col("_all")
+    place = F.array_position("_logs", F.col("_top")).cast("int")
+    return weighed.select(
         *columns,
-        F.when(has_text, F.element_at(names, F.array_position(sure, best).cast("int")))
-        .alias("language"),
+        F.when(has_text, F.element_at(names, place)).alias("language"),
         F.when(has_text, best).otherwise(0.0).alias("confidence"),
         (has_text & (best >= min_confidence)).alias("accepted"),
     )
