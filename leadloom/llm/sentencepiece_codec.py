@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-# Encoded stretches and tested pairs that a task keeps; older ones are forgotten and made again.
-KEPT_STRETCHES = 400_000
-KEPT_PAIRS = 1 << 18
+# Encoded stretches and tested pairs that a worker keeps; older ones are forgotten and made again.
+KEPT_STRETCHES = 600_000
+KEPT_PAIRS = 1 << 19
 # Texts returned at once.
 ROWS_OUT = 256
 
@@ -135,7 +135,7 @@ class Encoder:
         self.known = known
         self.automaton = ahocorasick.Automaton()
         for piece in known["reachable"]:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
         self.compatible = lru_cache(KEPT_PAIRS)(Pairs(known))
         self.stretch = self._stretches([p for p in known["scores"] if len(p) > 1])
@@ -154,30 +154,34 @@ class Encoder:
     def tokens(self, text: str) -> list[str]:
         """Tokens of one stretch."""
         last: list[str] = [""] * (len(text) + 1)
-        matches = self.automaton.iter(text)
-        end, piece = next(matches, (len(text), ""))
-        for at in range(1, len(text) + 1):
-            found = ""
-            while end == at - 1:
-                if not found:
-                    before = last[at - len(piece)]
-                    if at == len(piece) or self.compatible(before, piece):
-                        found = piece
-                end, piece = next(matches, (len(text), ""))
-            # no piece fits: the character itself, unknown to the vocabulary
-            last[at] = found or text[at - 1]
+        compatible = self.compatible
+        for end, (piece, size) in self.automaton.iter(text):
+            end += 1
+            if last[end]:
+                continue
+            start = end - size
+            if start:
+                # where no piece ends, the character itself stands, unknown to the vocabulary
+                before = last[start] or text[start - 1]
+                if not compatible(before, piece):
+                    continue
+            last[end] = piece
         row, at = [], len(text)
         while at:
-            row.append(last[at])
-            at -= len(last[at])
+            row.append(last[at] or text[at - 1])
+            at -= len(row[-1])
         return row[::-1]
 
-    def token_ids(self, token: str) -> list[int]:
-        if token in self.known["ids"]:
-            return [self.known["ids"][token]]
-        if self.known["byte_ids"]:
-            return [self.known["byte_ids"][b] for b in token.encode()]
-        return [self.known["unknown"]]
+    def token_ids(self, tokens: list[str]) -> tuple[int, ...]:
+        ids, found = self.known["ids"], []
+        for token in tokens:
+            if token in ids:
+                found.append(ids[token])
+            elif self.known["byte_ids"]:
+                found.extend(self.known["byte_ids"][b] for b in token.encode())
+            else:
+                found.append(self.known["unknown"])
+        return tuple(found)
 
     def ids(self, normalised: str) -> list[int]:
         found: list[int] = []
@@ -185,7 +189,7 @@ class Encoder:
         for part in self.stretch(normalised):
             ids = kept.get(part)
             if ids is None:
-                ids = tuple(i for t in self.tokens(part) for i in self.token_ids(t))
+                ids = self.token_ids(self.tokens(part))
                 if len(part) <= 64:
                     if len(kept) >= KEPT_STRETCHES:
                         kept.clear()
@@ -218,8 +222,11 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        library = sentencepiece.SentencePieceProcessor(model_proto=known["model"])
-        encoder = Encoder(known)
+        # the value outlives the task in its worker, and so does what the encoder has learnt
+        if "encoder" not in known:
+            known["encoder"] = Encoder(known)
+            known["library"] = sentencepiece.SentencePieceProcessor(model_proto=known["model"])
+        encoder, library = known["encoder"], known["library"]
         tail = [known["end"]] if end_id else []
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):
