@@ -39,8 +39,8 @@ from leadloom.llm.common import (
 MATCH_BYTES = 50
 ANCHOR_BYTES = 24
 # Text of a block, and text whose anchors make a bucket.
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 # Text that is looked at at once; positions in it take the low bits below the hash.
 STEP = (1 << 20) - 1024
 PLACE = np.uint64((1 << 20) - 1)
@@ -59,7 +59,8 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray) -> Runs:
     how many (at most MATCH_BYTES - ANCHOR_BYTES + 1)."""
     padded = np.concatenate([raw, np.zeros(64, np.uint8)])
     width = MATCH_BYTES - ANCHOR_BYTES + 1
-    last = np.repeat(starts[1:], np.diff(starts)) - MATCH_BYTES  # last window of the text here
+    # the last window of the text at each place
+    last = np.repeat((starts[1:] - MATCH_BYTES).astype(np.int32), np.diff(starts))
     keys, firsts, counts = [], [], []
     for at in range(0, len(raw), STEP):
         count = min(STEP, len(raw) - at)
@@ -116,30 +117,34 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(72, np.uint8)])
     step = np.diff(padded[: n + 1].astype(np.int16))
+    every = np.arange(n, dtype=np.int32)  # text of a bucket is far below 2 GB
     # among equal bytes the next change decides
-    change = np.where(step != 0, np.arange(n), n - 1)
+    change = np.where(step != 0, every, np.int32(n - 1))
     change = np.minimum.accumulate(change[::-1])[::-1]
     larger = step[change] < 0
     larger[n - 1] = False  # the end is sorted directly
-    direct = np.where(larger, n - 1, np.arange(n))
+    direct = np.where(larger, np.int32(n - 1), every)
     direct = np.minimum.accumulate(direct[::-1])[::-1]
+    del change, every
     # from a wanted place to the next one that is sorted directly
     marks = np.zeros(n + 1, np.int32)
     edges = np.flatnonzero(np.diff(wanted.astype(np.int8), prepend=0, append=0))
     np.add.at(marks, edges[::2], 1)
     np.add.at(marks, direct[edges[1::2] - 1] + 1, -1)
-    needed = np.cumsum(marks[:n]) > 0
+    needed = np.cumsum(marks[:n], dtype=np.int32) > 0
+    del direct, marks
 
-    first = np.flatnonzero(needed & ~larger)
+    first = np.flatnonzero(needed & ~larger).astype(np.int32)
     columns = [_words(padded, 8 * j, n)[first].byteswap() for j in range(7)]
     first = first[np.lexsort(columns[::-1])]
+    del columns
     limits = np.searchsorted(text[first], np.arange(257))
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     ordered = []
     for byte in range(256):
         row = waiting[byte]
-        newest = np.concatenate(row) if row else np.zeros(0, np.int64)
+        newest = np.concatenate(row) if row else np.zeros(0, np.int32)
         while len(newest):  # runs of the same byte
             before = newest[newest > 0] - 1
             newest = before[(text[before] == byte) & larger[before] & needed[before]]
@@ -181,9 +186,10 @@ def least_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes)
     counts = sizes - MATCH_BYTES + 1
-    wanted = np.zeros(len(text), bool)
-    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    wanted[np.repeat(ends - sizes, counts) + inside] = True
+    edges = np.zeros(len(text) + 1, np.int8)
+    edges[ends - sizes] += 1
+    edges[ends - sizes + counts] -= 1
+    wanted = np.cumsum(edges[:-1], dtype=np.int8) > 0
     places = suffix_order(text, wanted)
     heads = np.flatnonzero(common_prefixes(text, places) < MATCH_BYTES)
     owner = docs[np.searchsorted(ends, places, "right")]
@@ -373,7 +379,7 @@ def removed_bytes(
                     hit = firsts[part][(mask >> np.uint32(j)) & np.uint32(1) == 1] + j
                     np.add.at(change, hit, 1)
                     np.add.at(change, hit + MATCH_BYTES, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         return with_cuts(left, raw, starts, gone)
 
     def with_cuts(left: pa.Table, raw, starts, gone: np.ndarray) -> pa.Table:
