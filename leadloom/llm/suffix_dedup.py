@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,12 +242,17 @@ def removed_bytes(
     grouped = based.groupBy("_block")
     id_place, text_place = names.index(doc_id), names.index(text)
 
+    def in_order(table: pa.Table) -> pa.Table:
+        """Rows of a block come in any order; pieces are numbered alike in all steps."""
+        keys = pa.table({"i": table.column(id_place), "t": table.column(text_place)})
+        return table.take(pc.sort_indices(keys, [("i", "ascending"), ("t", "ascending")]))
+
     def block_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw, starts = text_buffer(table.column(text_place))
         return table.column(id_place).to_numpy().astype(np.int64), raw, starts
 
     def send_anchors(key, table):
-        keys, several = block_anchors(*block_of(table))
+        keys, several = block_anchors(*block_of(in_order(table)))
         return _table([
             {"block": key[0].as_py(), "bucket": bucket, "keys": pack_sorted(keys[part]),
              "several": np.packbits(several[part]).tobytes()}
@@ -305,7 +311,7 @@ def removed_bytes(
     def send_pieces(key, left, right):
         rows = []
         if left.num_rows and right.num_rows:
-            ids, raw, starts = block_of(left)
+            ids, raw, starts = block_of(in_order(left))
             marks = {r["bucket"]: r["marks"] for r in _rows(right)}
             keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, marks)
             for bucket, part in by_bucket(keys, buckets):
@@ -362,6 +368,7 @@ def removed_bytes(
     arrow_runs = to_arrow_type(runs)
 
     def cut(key, left, right):
+        left = in_order(left)
         ids, raw, starts = block_of(left)
         told = list(_rows(right))
         marks = {r["bucket"]: r["marks"] for r in told if r["marks"] is not None}
