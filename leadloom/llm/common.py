@@ -135,3 +135,18 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
     for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
         yield int(bucket[a]), slice(a, b)
+
+
+def blocks_of(
+    batches: Iterator[pa.RecordBatch], text_place: int, size: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut to about `size` bytes of text, with the bytes and the start of each text."""
+    for batch in batches:
+        raw, starts = text_buffer(batch.column(text_place))
+        row = 0
+        while row < batch.num_rows:
+            end = int(np.searchsorted(starts, starts[row] + size, "right")) - 1
+            end = min(max(end, row + 1), batch.num_rows)
+            yield (batch.slice(row, end - row), raw[starts[row] : starts[end]],
+                   starts[row : end + 1] - starts[row])
+            row = end

@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from leadloom.llm.common import (
     PUNCTUATION,
+    blocks_of,
     mix,
     stored,
-    text_buffer,
     word_hashes,
     words_of,
 )
@@ -34,7 +34,9 @@ CONTAINMENT = 0.8
 BINS_PER_SHINGLE = 16
 # Size of the bit set: fixed, whatever the number of items.
 FILTER_BITS = 1 << 24
-# Fixed value: odd numbers that tell the places of words in a shingle apart.
+# Text that is looked at at once.
+STEP_BYTES = 2 << 20
+# Odd numbers that tell the places of words in a shingle apart.
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,8 +73,7 @@ def shingle_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
-            raw, starts = text_buffer(batch.column(1))
+        for batch, raw, starts in blocks_of(batches, 1, STEP_BYTES):
             hashes, row, place, begin, end = shingles(raw, starts, width)
             if bits is not None:
                 spot = hashes % np.uint64(FILTER_BITS)

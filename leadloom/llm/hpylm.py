@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import (
+    blocks_of,
     by_bucket,
     mix,
     pack,
     pack_sorted,
     stored,
-    text_buffer,
     unpack,
     unpack_sorted,
     word_hashes,
@@ -68,21 +68,6 @@ def tokens(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, first
 
 
-def blocks_of(
-    batches: Iterator[pa.RecordBatch], text_place: int
-) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut to about BLOCK_BYTES of text."""
-    for batch in batches:
-        raw, starts = text_buffer(batch.column(text_place))
-        row = 0
-        while row < batch.num_rows:
-            end = int(np.searchsorted(starts, starts[row] + BLOCK_BYTES, "right")) - 1
-            end = min(max(end, row + 1), batch.num_rows)
-            yield (batch.slice(row, end - row), raw[starts[row] : starts[end]],
-                   starts[row : end + 1] - starts[row])
-            row = end
-
-
 @dataclass
 class Restaurants:
     """What all buckets know of the others: contexts (hashes, ascending; their customers) and, before
@@ -254,7 +239,7 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
     """`word` (hash), `n`: every training token's count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, starts in blocks_of(batches, 0):
+        for batch, raw, starts in blocks_of(batches, 0, BLOCK_BYTES):
             chosen = batch.column(1).to_numpy(zero_copy_only=False)
             found, first = tokens(raw, starts)
             words, counts = np.unique(
@@ -287,7 +272,7 @@ def block_rows(docs: DataFrame, train: str, contexts: np.ndarray, buckets: int)
     tokens, each the number of an entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, starts in blocks_of(batches, 1):
+        for batch, raw, starts in blocks_of(batches, 1, BLOCK_BYTES):
             found, first = tokens(raw, starts)
             chosen = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             words, word = np.unique(found, return_inverse=True)
