@@ -25,7 +25,7 @@ from leadloom.llm.common import table
 # The folder of public tokenizer files; a parameter of the operators, never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 BYTE_END = 50256  # fixed value: the id of that vocabulary which is free for the end of a document
 
 
