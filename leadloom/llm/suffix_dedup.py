@@ -40,8 +40,8 @@ from leadloom.llm.common import (
 MATCH_BYTES = 50
 ANCHOR_BYTES = 24
 # Text of a block, and text whose anchors make a bucket.
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 19
 # Text that is looked at at once; positions in it take the low bits below the hash.
 STEP = (1 << 20) - 1024
 PLACE = np.uint64((1 << 20) - 1)
@@ -336,6 +336,7 @@ def removed_bytes(
             ]))
             least.append(unpack(row["docs"], np.int64))
             row["text"] = None
+        pa.default_memory_pool().release_unused()
         docs = np.full(len(places), np.iinfo(np.int64).max)
         for which, own in zip(members, least, strict=True):
             np.minimum.at(docs, which, own)
