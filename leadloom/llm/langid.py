@@ -22,7 +22,7 @@ from leadloom.llm.common import stored, text_buffer
 
 BUCKETS = 1 << 14
 # The classifier is fitted on so many labelled rows of each language, those of least hash.
-SAMPLE_PER_LANGUAGE = 2000
+SAMPLE_PER_LANGUAGE = 1000
 # Overlapping trigrams are not independent: their log likelihood counts this much.
 TRIGRAM_WEIGHT = 0.3
 # Rows that the next wider group counts for when a narrower one is smoothed.
@@ -65,13 +65,17 @@ def fit(
     per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> TextModel:
     """A trigram model from at most `per_language` rows of each label, whole texts.  Rows without
-    label are left out; without any labelled row there is no language."""
+    label or key are left out (rows of equal key and label count as one); without any labelled row there is no language."""
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
+    # ids alone are ranked, and each task ranks its own first; per_language of a label are left
     picked = (
-        docs.where(F.col(label).isNotNull()).select(key, label, text)
+        docs.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= per_language)
-        .select(F.col(label).alias("label"), F.col(text).alias("text"))
+        .select(key, label).distinct()
+    )
+    sample = docs.select(key, label, text).join(F.broadcast(picked), [key, label]).select(
+        F.col(label).alias("label"), F.col(text).alias("text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +93,7 @@ def fit(
 
     # at most languages x buckets rows come back
     rows = (
-        picked.mapInArrow(run, "label string, bucket long, n long")
+        sample.mapInArrow(run, "label string, bucket long, n long")
         .groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     )
     languages = sorted({r.label for r in rows})
