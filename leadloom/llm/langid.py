@@ -40,18 +40,21 @@ _LETTER[0x80:] = np.arange(0x80, 0x100)
 
 
 def trigrams(raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of every byte trigram with a letter, ASCII case and other bytes aside."""
+    """(bucket, text) of every byte trigram that begins in a text and has a letter, ASCII case and
+    other bytes aside; behind a text stand spaces."""
     for at in range(0, len(raw), STEP):
         letters = _LETTER[raw[at : at + STEP + 2]].astype(np.uint32)
-        n = len(letters) - 2
-        if n <= 0:
-            break
-        a, b, c = letters[:n], letters[1 : n + 1], letters[2:]
+        n = min(STEP, len(raw) - at)
+        letters = np.append(letters, np.full(n + 2 - len(letters), 0x20, np.uint32))
         place = np.arange(at, at + n)
         text = np.searchsorted(starts, place, "right") - 1
-        inside = (place + 2 < starts[text + 1]) & ((a != 0x20) | (b != 0x20) | (c != 0x20))
+        end = starts[text + 1]
+        a = letters[:n]
+        b = np.where(place + 1 < end, letters[1 : n + 1], np.uint32(0x20))
+        c = np.where(place + 2 < end, letters[2 : n + 2], np.uint32(0x20))
+        shown = (a != 0x20) | (b != 0x20) | (c != 0x20)
         code = ((a << 16) | (b << 8) | c) * np.uint32(2654435761)
-        yield (code[inside] >> np.uint32(18)).astype(np.int64), text[inside]
+        yield (code[shown] >> np.uint32(18)).astype(np.int64), text[shown]
 
 
 @dataclass
