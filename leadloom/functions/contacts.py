@@ -20,6 +20,8 @@ from leadloom.functions.text import col, filled, strip
 _EMAIL = (
     rf"^(?=.{{3,{EMAIL_MAX_CHARS}}}$)(?=[^@]{{1,{EMAIL_LOCAL_MAX_CHARS}}}@)"
     rf"(?!.*@.*[a-z0-9-]{{{DOMAIN_LABEL_MAX_CHARS + 1}}})"
+    # labels with hyphens in their third and fourth place are reserved
+    r"(?!.*@(?:.*[.])?[a-z0-9-]{2}--)"
     rf"(?!.*[.](?:{'|'.join(SPECIAL_USE_DOMAINS)})$)"
     rf"{EMAIL_PATTERN}$"
 )

@@ -7,13 +7,11 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadloom.constants import MASK_TEXT, RUN_LOG_SECRET_KEYS
 from leadloom.functions.text import col
 
-_MAX_DEPTH = 10
-
-
 def mask_scalars(c: Column | str, keys=RUN_LOG_SECRET_KEYS) -> Column:
     """Mask text, number and literal values of secret keys without leaving the JVM."""
     names = "|".join(re.escape(k) for k in keys)
@@ -21,17 +19,42 @@ def mask_scalars(c: Column | str, keys=RUN_LOG_SECRET_KEYS) -> Column:
     return F.regexp_replace(col(c), pattern, f'$1"{MASK_TEXT}"')
 
 
-def mask_value(value, keys: frozenset[str], depth: int = 0):
+def mask_nested(c: Column, kind: T.DataType, keys=RUN_LOG_SECRET_KEYS) -> Column:
+    """A typed value with all that stands under a secret key masked whole, at any depth.  The schema
+    is walked here; the values stay in the JVM."""
+    names = frozenset(k.lower() for k in keys)
+    if isinstance(kind, T.StructType):
+        fields = [
+            F.when(c[f.name].isNotNull(), MASK_TEXT).alias(f.name) if f.name.lower() in names
+            else mask_nested(c[f.name], f.dataType, keys).alias(f.name)
+            for f in kind.fields
+        ]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: mask_nested(x, kind.elementType, keys))
+    if isinstance(kind, T.MapType):
+        def masked(key: Column, value: Column) -> Column:
+            secret = F.lower(key.cast("string")).isin(*names)
+            if isinstance(kind.valueType, T.StringType):
+                return F.when(secret, F.lit(MASK_TEXT)).otherwise(value)
+            # values of another type share a map with the mask as JSON values
+            inner = F.to_json(F.array(mask_nested(value, kind.valueType, keys)))
+            plain = F.regexp_replace(inner, r"(?s)^\[(.*)\]$", "$1")
+            return F.parse_json(F.when(secret, F.lit(f'"{MASK_TEXT}"')).otherwise(plain))
+
+        return F.transform_values(c, masked)
+    return c
+
+
+def mask_value(value, keys: frozenset[str]):
     """Mask whole values of secret keys anywhere in a parsed JSON value."""
-    if depth > _MAX_DEPTH:
-        return value
     if isinstance(value, dict):
         return {
-            k: MASK_TEXT if k.lower() in keys else mask_value(v, keys, depth + 1)
+            k: MASK_TEXT if k.lower() in keys else mask_value(v, keys)
             for k, v in value.items()
         }
     if isinstance(value, list):
-        return [mask_value(v, keys, depth + 1) for v in value]
+        return [mask_value(v, keys) for v in value]
     return value
 
 

@@ -15,13 +15,13 @@ def filter_leads(df: DataFrame, search: str | None = None, **equals: str | None)
     """All given conditions together; an empty argument is no condition.
 
     `search` looks for the stripped term anywhere in name, e-mail or company, whatever the case;
-    `%` and `_` in it work as wildcards.
+    `%` and `_` in it work as wildcards, a backslash is a plain character.
     """
     unknown = set(equals) - set(_EQUALITY)
     if unknown:
         raise ValueError(f"unknown filters: {sorted(unknown)}")
     if search:
-        term = f"%{search.strip()}%"
+        term = "%" + search.strip().replace("\\", "\\\\") + "%"
         df = df.where(
             F.col("name").ilike(term) | F.col("email").ilike(term)
             | F.col("company_name").ilike(term)

@@ -18,12 +18,18 @@ EXTRACTED_FIELDS = (
 )
 
 
+def _as_double(text: Column) -> Column:
+    """Text that is a number; a cast alone would also take type letters, as in `0.5d`."""
+    plain = text.rlike(r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(nan|inf(inity)?)\s*$")
+    return F.when(plain, text.try_cast("double"))
+
+
 def _number(text: Column) -> Column:
     """A number between 0 and 1 out of any text; 0 when it is none."""
     value = (
         F.when(text == "true", F.lit(1.0))
         .when(text == "false", F.lit(0.0))
-        .otherwise(text.try_cast("double"))
+        .otherwise(_as_double(text))
     )
     return F.when(value.isNull(), 0.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
@@ -32,9 +38,9 @@ def _number(text: Column) -> Column:
 
 def _says_something(text: Column) -> Column:
     """The text unless it stands for nothing: null, blank, false, zero, an empty list or object."""
-    nothing = text.isin("", "false", "[]", "{}") | (F.coalesce(
-        text.try_cast("double"), F.lit(1.0)
-    ) == 0)
+    nothing = text.isin("", "false", "[]", "{}") | (
+        F.coalesce(_as_double(text), F.lit(1.0)) == 0
+    )
     return F.when(~nothing, text)
 
 

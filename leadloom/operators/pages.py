@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from leadloom.constants import (
     ABOUT_ANCHOR_TEXTS,
     ABOUT_PATH_PATTERNS,
-    PAGE_MAX_TEXT_CHARS,
     SOCIAL_PATTERNS,
 )
 from leadloom.functions import markup
@@ -25,7 +24,7 @@ LINKS_TYPE = "array<struct<pos:int,href:string,url:string,text:string>>"
 
 def parse_pages(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-    max_chars: int | None = PAGE_MAX_TEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Full parser form: `key, url, title, description, text, links`.
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from leadloom.constants import (
     INGEST_ERRORS_SHOWN,
-    RUN_ERROR_MESSAGE_CHARS,
     RUN_LOG_SECRET_KEYS,
     STAGES,
 )
@@ -129,11 +128,9 @@ def run_totals(rows: DataFrame, leads: DataFrame | None = None) -> DataFrame:
     return totals.withColumn("total_records", leads.agg(F.count("*")).scalar())
 
 
-def run_errors(rows: DataFrame, max_chars: int = RUN_ERROR_MESSAGE_CHARS) -> DataFrame:
-    """One row per error, message cut; a table instead of a list, since a run may fail often."""
-    return rows.where(F.col("outcome") == "failed").select(
-        "run_id", "stage", "ts", F.substring("message", 1, max_chars).alias("message")
-    )
+def run_errors(rows: DataFrame) -> DataFrame:
+    """One row per error, whole messages; a table instead of a list, since a run may fail often."""
+    return rows.where(F.col("outcome") == "failed").select("run_id", "stage", "ts", "message")
 
 
 def shown_errors(

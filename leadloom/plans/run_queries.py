@@ -86,11 +86,11 @@ def totals_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_ctes(f"stage_rows as ({STAGE_ROWS})", f"""
-select run_id, stage, strftime(ts, {_TIME}) as ts, left(message, 12) as message
+select run_id, stage, strftime(ts, {_TIME}) as ts, message
 from stage_rows where outcome = 'failed'
 """), name="run_errors")
 def errors_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = runlog.run_errors(derived(spark, sf_dir, STAGE_ROWS), max_chars=12)
+    errors = runlog.run_errors(derived(spark, sf_dir, STAGE_ROWS))
     return errors.withColumn("ts", time_text("ts"))
 
 

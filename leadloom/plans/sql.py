@@ -28,6 +28,7 @@ _EMAIL_OK = f"""
   length(e) between 3 and 254 and strpos(e, '@') between 2 and 65
   and regexp_matches(e, {quoted('^' + EMAIL_PATTERN + '$')})
   and not regexp_matches(e, '@.*[a-z0-9-]{{64}}')
+  and not regexp_matches(e, '@(.*[.])?[a-z0-9-][a-z0-9-]--')
   and not regexp_matches(e, '[.]({'|'.join(SPECIAL_USE_DOMAINS)})$')
 """
 

@@ -38,8 +38,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        # a local cluster has executors of its own, which need not see this folder
+        if not spark.sparkContext.master.startswith("local[") and (
+            spark.sparkContext.master != "local"
+        ):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="leadloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/leadloom/{purpose}-{uuid.uuid4().hex}"

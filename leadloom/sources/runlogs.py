@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.constants import LOG_ERROR_MESSAGE_CHARS
-from leadloom.functions.redact import mask_scalars
+from leadloom.functions.redact import mask_nested, mask_scalars
 from leadloom.operators.runlog import filter_log, parse_log_lines
 
 
@@ -16,13 +15,10 @@ def iso_utc(c: Column | str) -> Column:
 
 
 def log_lines(events: DataFrame) -> DataFrame:
-    """One JSON line per event with secrets masked; nulls are left out, error messages cut."""
-    if "message" in events.columns:
-        message = F.col("message")
-        events = events.withColumn("message", F.when(
-            F.col("event") == "error", F.substring(message, 1, LOG_ERROR_MESSAGE_CHARS)
-        ).otherwise(message))
-    return events.select("run_id", mask_scalars(F.to_json(F.struct("*"))).alias("value"))
+    """One JSON line per event, whole messages, nulls left out.  Secret columns and fields are masked
+    whole at any depth, and so are plain values of secret keys in text that is JSON itself."""
+    whole = mask_nested(F.struct("*"), events.schema)
+    return events.select("run_id", mask_scalars(F.to_json(whole)).alias("value"))
 
 
 def append_run_log(events: DataFrame, folder: str) -> None:

@@ -21,6 +21,7 @@ from leadloom.functions.rates import parse_rate
 from leadloom.functions.redact import mask_scalars, mask_text
 from leadloom.functions.text import WHITESPACE, filled, json_string, percent, strip
 from leadloom.functions.urls import absolute_url, canonical_url, link_base, url_host, url_path
+from leadloom.sources.runlogs import log_lines
 
 
 def test_strip_takes_all_whitespace(values):
@@ -203,7 +204,7 @@ def test_masking(values):
         '{"a": [{"Token": "***REDACTED***"}], "t": 1}'
     )
     deep = '{"d": ' * 12 + '{"token": 1}' + "}" * 12
-    assert mask_text(deep, keys) == deep
+    assert mask_text(deep, keys) == deep.replace("1", '"***REDACTED***"')
     assert mask_text("no json", keys) == "no json" and mask_text(None, keys) is None
 
 
@@ -241,3 +242,25 @@ def test_body_decoding(spark):
         decode_body("a", 2).alias("cut"), decode_body("a").alias("whole"), decode_body("b").alias("b")
     ).first()
     assert row.whole == "héé" and row.cut == "h�" and row.b.startswith("h�")
+
+
+def test_reserved_and_hyphenated_domains_are_refused(values):
+    texts = ["x@foo.-bar", "a@ab--cd.com", "a@b.xn--p1", "a.xx--b@mail.com", "a@b-c.com"]
+    found = values(normalise_email, texts)
+    assert found == [None, None, None, "a.xx--b@mail.com", "a@b-c.com"]
+
+
+def test_secrets_are_masked_at_any_depth(spark):
+    events = spark.sql("""
+        select 1 as run_id, 'x' as event,
+         named_struct('access', 's3cr3t') as token, array('k1') as api_key,
+         named_struct('inner', array(named_struct('secret', 'p1', 'kept', 'v1'))) as deep,
+         map('Secret', 'p2', 'other', 'v2') as texts,
+         map('secret', array(1), 'other', array(2)) as lists,
+         repeat('m', 3000) as message
+    """)
+    line = log_lines(events).first().value
+    for hidden in ("s3cr3t", "k1", "p1", "p2", "[1]"):
+        assert hidden not in line
+    for shown in ("v1", "v2", "[2]", "m" * 3000):
+        assert shown in line
