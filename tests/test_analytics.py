@@ -266,7 +266,7 @@ def test_run_counters(spark):
     assert [r.id for r in runlog.recent_runs(runs).collect()] == [3, 1]
 
 
-def test_log_lines_cut_error_messages(spark):
+def test_log_lines_keep_whole_messages(spark):
     events = spark.sql(
         "select 1L run_id, 'error' event, repeat('x', 3000) message union all "
         "select 1L, 'other', repeat('x', 3000)"
