@@ -20,8 +20,7 @@ from leadloom.constants import (
 )
 from leadloom.functions.text import col, strip
 
-COUNTRY_ROWS = [tuple(line.split("|")) for line in COUNTRIES.split("\n") if line]
-COUNTRY_CODES = [code for code, _, _, _ in COUNTRY_ROWS]
+COUNTRY_CODES = [code for code, _, _, _ in COUNTRIES]
 
 
 def sql_values(rows) -> str:
@@ -34,20 +33,19 @@ def sql_values(rows) -> str:
 
 def country_name_rows() -> list[tuple[str, str]]:
     """(lower-case name, code); another spelling beats an official name."""
-    names = {name.lower(): code for code, name, _, _ in COUNTRY_ROWS}
-    names.update({alias: code for code, aliases in COUNTRY_ALIASES.items() for alias in aliases})
-    return sorted(names.items())
+    names = {name.lower(): code for code, name, _, _ in COUNTRIES}
+    return sorted({**names, **COUNTRY_ALIASES}.items())
 
 
 def calling_code_rows() -> list[tuple[str, str]]:
     """(calling code, country code), one row per calling code."""
-    codes = {calling: code for code, _, calling, _ in COUNTRY_ROWS}
+    codes = {calling: code for code, _, calling, _ in COUNTRIES}
     return sorted({**codes, **SHARED_CALLING_CODES}.items())
 
 
 def country_dim(spark: SparkSession) -> DataFrame:
     return spark.sql(
-        "select * from values " + sql_values(COUNTRY_ROWS)
+        "select * from values " + sql_values(COUNTRIES)
         + " as t(country_code, country_name, calling_code, language)"
     )
 

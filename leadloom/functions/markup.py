@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.constants import HIDDEN_TEXT_TAGS, PAGE_MAX_BYTES
+from leadloom.constants import HIDDEN_TEXT_TAGS
 from leadloom.functions.text import col, filled, strip
 from leadloom.functions.urls import absolute_url
 
@@ -68,96 +70,109 @@ def native_text(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(shown, r"\s+", " "))
 
 
-def decode_body(content: Column | str, max_bytes: int = PAGE_MAX_BYTES) -> Column:
-    """Bytes to text: byte cap first, broken sequences replaced."""
-    return F.make_valid_utf8(F.substring(col(content), 1, max_bytes).cast("string"))
+def decode_body(content: Column | str, max_bytes: int | None = None) -> Column:
+    """Bytes to text, broken sequences replaced; a byte cap only where the caller asks for one."""
+    body = col(content) if max_bytes is None else F.substring(col(content), 1, max_bytes)
+    return F.make_valid_utf8(body.cast("string"))
 
 
 # --- parser form ---------------------------------------------------------------------------------
-class PageReader(HTMLParser):
-    """Collects title, descriptions, links and visible text while the parser walks a page."""
+class PageEvents(HTMLParser):
+    """A page as a flat list of (kind, tag or text, attributes)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title_parts: list[str] = []
-        self.descriptions: dict[str, str] = {}
-        self.links: list[tuple[str, str]] = []
-        self.words: list[str] = []
-        self.reading_title = False
-        self.hidden = 0
-        self.head_open = False
-        self.anchor: tuple[str, list[str]] | None = None
+        self.events: list[tuple[str, str, dict]] = []
 
     def handle_starttag(self, tag, attrs):
-        values = {name: value or "" for name, value in attrs}
-        match tag:
-            case "title":
-                self.reading_title = True
-            case "meta":
-                self._meta(values)
-            case "a":
-                href = values.get("href", "").strip()
-                if href and not href.startswith(("#", "javascript:")):
-                    self.anchor = (href, [])
-            case "body" if self.head_open:
-                self._leave_head()
-            case _ if tag in HIDDEN_TEXT_TAGS:
-                self.hidden += 1
-                self.head_open = self.head_open or tag == "head"
+        self.events.append(("open", tag, {name: (value or "").strip() for name, value in attrs}))
 
     def handle_endtag(self, tag):
-        if tag == "title":
-            self.reading_title = False
-        elif tag == "a" and self.anchor:
-            href, texts = self.anchor
-            self.links.append((href, " ".join(texts).strip()))
-            self.anchor = None
-        elif tag == "head":
-            if self.head_open:
-                self._leave_head()
-        elif tag in HIDDEN_TEXT_TAGS:
-            self.hidden = max(self.hidden - 1, 0)
+        self.events.append(("close", tag, {}))
 
     def handle_data(self, data):
-        text = data.strip()
-        if not text:
-            return
-        if self.reading_title:
-            self.title_parts.append(text)
-        elif not self.hidden:
-            self.words.append(text)
-            if self.anchor:
-                self.anchor[1].append(text)
-
-    def _meta(self, values):
-        content = values.get("content", "").strip()
-        if not content:
-            return
-        if values.get("name", "").lower() == "description":
-            self.descriptions.setdefault("meta", content)
-        elif values.get("property", "").lower() == "og:description":
-            self.descriptions.setdefault("og", content)
-
-    def _leave_head(self):
-        self.head_open = False
-        self.hidden = max(self.hidden - 1, 0)
+        if data.strip():
+            self.events.append(("text", data.strip(), {}))
+
+
+def _close_heads(events: list) -> Iterator[tuple[str, str, dict]]:
+    """The events with every head closed, at the latest where the body begins."""
+    inside = False
+    for event in events:
+        match event[:2]:
+            case "open", "body" if inside:
+                yield "close", "head", {}
+                inside = False
+            case ("open", "head") | ("close", "head"):
+                if inside == (event[0] == "open"):
+                    continue
+                inside = not inside
+        yield event
+
+
+def _in_title(events: list) -> list[bool]:
+    """Per event: is a title open after it?"""
+    return list(accumulate(
+        events, lambda state, e: e[0] == "open" if e[:2] in _TITLE_MARKS else state, initial=False
+    ))[1:]
+
+
+def _depth(events: list) -> list[int]:
+    """Per event: how many hidden elements are open after it?"""
+    steps = {"open": 1, "close": -1, "text": 0}
+    return list(accumulate(
+        (steps[kind] if tag in HIDDEN_TEXT_TAGS else 0 for kind, tag, _ in events),
+        lambda depth, step: max(depth + step, 0), initial=0,
+    ))[1:]
+
+
+def _descriptions(events: list, key: str, name: str) -> Iterator[str]:
+    for kind, tag, values in events:
+        if (kind, tag) == ("open", "meta") and values.get(key, "").lower() == name:
+            yield values.get("content", "")
+
+
+def _anchors(events: list, shown: list[str]) -> Iterator[tuple[str, str]]:
+    """Target and text of each closed link: what is shown since the last opening that can be
+    followed."""
+    start = None
+    for place, (kind, tag, values) in enumerate(events):
+        href = values.get("href", "")
+        if (kind, tag) == ("open", "a") and href and not href.startswith(("#", "javascript:")):
+            start = place
+        elif (kind, tag) == ("close", "a") and start is not None:
+            yield events[start][2]["href"], " ".join(filter(None, shown[start:place]))
+            start = None
+
+
+_TITLE_MARKS = (("open", "title"), ("close", "title"))
 
 
 def read_page(html: str | None, base: str | None, max_chars: int | None) -> dict:
     """One page as a row: title, description, text and links with absolute targets."""
-    reader = PageReader()
+    reader = PageEvents()
     try:
         reader.feed(html or "")
     except (AssertionError, ValueError):
         pass  # a page the parser gives up on keeps what was read so far
-    text = re.sub(r"\s+", " ", " ".join(reader.words)).strip()
+    events = list(_close_heads(reader.events))
+    titled, depth = _in_title(events), _depth(events)
+    shown = [
+        e[1] if e[0] == "text" and not t and not d else "" for e, t, d in zip(events, titled, depth)
+    ]
+    title = "".join(e[1] for e, inside in zip(events, titled) if inside and e[0] == "text")
+    descriptions = chain(
+        _descriptions(events, "name", "description"),
+        _descriptions(events, "property", "og:description"),
+    )
+    text = re.sub(r"\s+", " ", " ".join(filter(None, shown))).strip()
     return {
-        "title": "".join(reader.title_parts).strip() or None,
-        "description": reader.descriptions.get("meta") or reader.descriptions.get("og"),
+        "title": title.strip() or None,
+        "description": next(filter(None, descriptions), None),
         "text": text if max_chars is None else text[:max_chars],
         "links": [
             {"pos": i, "href": href, "url": _join(base, href), "text": anchor}
-            for i, (href, anchor) in enumerate(reader.links)
+            for i, (href, anchor) in enumerate(_anchors(events, shown))
         ],
     }
 

@@ -8,12 +8,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.constants import CANONICAL_FIELDS, HEADER_KEYS, PROMPT, SAMPLE_CELL_CHARS
+from leadloom.constants import CANONICAL_FIELDS, HEADER_FIELDS, PROMPT, SAMPLE_CELL_CHARS
 from leadloom.functions.geo import sql_values
 from leadloom.functions.text import col, filled, quoted_name, strip
 
-KEY_TO_FIELD = {key: field for field, keys in HEADER_KEYS.items() for key in keys.split()}
-
 
 def header_key(c: Column | str) -> Column:
     """Lower-case letters and digits of a header."""
@@ -23,14 +21,14 @@ def header_key(c: Column | str) -> Column:
 def header_dim(spark: SparkSession) -> DataFrame:
     """Known header keys and their canonical field (a fixed list of about 80 rows)."""
     return spark.sql(
-        "select * from values " + sql_values(KEY_TO_FIELD.items()) + " as t(header_key, field)"
+        "select * from values " + sql_values(HEADER_FIELDS.items()) + " as t(header_key, field)"
     )
 
 
 def map_headers(headers: list[str]) -> dict[str, str]:
     """{header: canonical field} for the headers that are known, in header order."""
     keys = {h: re.sub("[^a-z0-9]+", "", h.lower()) for h in headers}
-    return {h: KEY_TO_FIELD[k] for h, k in keys.items() if k in KEY_TO_FIELD}
+    return {h: HEADER_FIELDS[k] for h, k in keys.items() if k in HEADER_FIELDS}
 
 
 def accept_external_mapping(answer: object, headers: list[str]) -> dict[str, str]:
@@ -99,6 +97,49 @@ def resolve_columns(
     )
 
 
+_PARTS = ("firstname", "lastname")
+
+# What the cells of a file mean: header names, places per field (last header first), other places.
+PLAN_TYPE = (
+    "struct<names:array<string>,places:struct<"
+    + ",".join(f"{field}:array<int>" for field in (*CANONICAL_FIELDS, *_PARTS))
+    + ">,others:array<int>>"
+)
+
+
+def field_places(names: list[str], mapping: dict[str, str]) -> dict[str, list[int]]:
+    """Places of the headers that mean each field, the last one first."""
+    places: dict[str, list[int]] = {field: [] for field in (*CANONICAL_FIELDS, *_PARTS)}
+    for place, name in reversed(list(enumerate(names))):
+        if name in mapping:
+            places[_name_part(name) or mapping[name]].append(place)
+    return places
+
+
+def resolve_cells(df: DataFrame, keep: list[str]) -> DataFrame:
+    """`resolve_columns` for rows of many files at once: `cells` by place, `plan` of the row's file
+    (`PLAN_TYPE`).  A cell is looked up by the places of its field, usually a single one."""
+
+    def resolved(field: str) -> Column:
+        cells = F.transform(f"plan.places.{field}", lambda i: filled(F.get("cells", i)))
+        return F.get(F.filter(cells, lambda c: c.isNotNull()), F.lit(0))
+
+    fields = {field: resolved(field) for field in CANONICAL_FIELDS}
+    parts = F.concat_ws(" ", *[resolved(part) for part in _PARTS])
+    fields["name"] = F.coalesce(fields["name"], F.nullif(parts, F.lit("")))
+    others = F.filter("plan.others", lambda i: filled(F.get("cells", i)).isNotNull())
+    raw_data = F.map_from_entries(
+        F.transform(
+            others, lambda i: F.struct(F.get("plan.names", i), strip(F.get("cells", i)))
+        )
+    )
+    return df.select(
+        *keep,
+        *[column.alias(field) for field, column in fields.items()],
+        raw_data.alias("raw_data"),
+    )
+
+
 def sample_rows(
     df: DataFrame, headers: list[str], order: list[str], group: list[str] | None = None,
     rows: int = 3,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.constants import PROMPT, SEARCH_RESULTS_PER_QUERY
+from leadloom.constants import PROMPT
 from leadloom.functions.contacts import email_domain
 from leadloom.functions.text import col, filled, json_string, non_empty, strip
 
@@ -96,13 +96,13 @@ def stand_in_results(df: DataFrame, plan: str = "plan") -> DataFrame:
     }).drop("_label", "_slug", "_place", "_person")
 
 
-def join_results(df: DataFrame, results: DataFrame, n: int = SEARCH_RESULTS_PER_QUERY) -> DataFrame:
-    """Leads with their search results (`email, company_results, person_results`, unique e-mail):
-    the first `n` of each kind, empty lists when there are none."""
+def join_results(df: DataFrame, results: DataFrame) -> DataFrame:
+    """Leads with their search results (`email, company_results, person_results`, unique e-mail),
+    empty lists when there are none."""
     none = F.array().cast(RESULTS_TYPE)
     joined = df.join(results.select("email", "company_results", "person_results"), "email", "left")
     return joined.withColumns({
-        c: F.coalesce(F.slice(c, 1, n), none) for c in ("company_results", "person_results")
+        c: F.coalesce(c, none) for c in ("company_results", "person_results")
     })
 
 

@@ -22,7 +22,7 @@ from leadloom.plans.enrichment import (
 )
 from leadloom.plans.lead_queries import as_of
 from leadloom.plans.leads import lead_table
-from leadloom.plans.page_queries import SITES, native_sites
+from leadloom.plans.page_queries import SITES, parsed_sites
 from leadloom.plans.registry import entries_text, query
 from leadloom.plans.sql import GEO, LEADS, canonical_url_sql, quoted, quoted_list, with_ctes
 from leadloom.session import shared_folder
@@ -75,7 +75,7 @@ searched as (
 
 
 def leads_with_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_sites(profile_leads(lead_table(spark, sf_dir)), native_sites(spark, sf_dir))
+    return attach_sites(profile_leads(lead_table(spark, sf_dir)), parsed_sites(spark, sf_dir))
 
 
 def searched_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +339,7 @@ def enrichment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "leads")
     write_snapshot(profile_leads(lead_table(spark, sf_dir)).drop("language", "profile"), folder)
     stored = read_table(spark, folder, columns)
-    enriched = enrich_leads(stored, native_sites(spark, sf_dir), TAXONOMY, as_of())
+    enriched = enrich_leads(stored, parsed_sites(spark, sf_dir), TAXONOMY, as_of())
     return enriched.select(
         "email", "industry", "relevance_score", "company_website",
         F.length("enrichment_raw").cast("bigint").alias("evidence_chars"),

@@ -72,6 +72,14 @@ _PLATFORM = "case " + " ".join(
     for name, p in SOCIAL_PATTERNS.items()
 ) + " end"
 
+def _unescaped_sql(column: str) -> str:
+    """The entities that occur in the pages, the ampersand last."""
+    text = column
+    for entity, letter in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        text = f"replace({text}, '{entity}', '{letter}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
 SITES = f"""{LINKS},
 socials as (
  select page_id, platform, arg_min(url, pos) as url
@@ -101,7 +109,9 @@ native as (
  from pages_marked
 ),
 sites as (
- select native.*, coalesce(social_links, '') as social_links, about_url
+ select page_id, url, url_norm, {_unescaped_sql("title")} as title,
+  {_unescaped_sql("description")} as description, {_unescaped_sql("text")} as text,
+  coalesce(social_links, '') as social_links, about_url
  from native left join social_text using (page_id) left join abouts using (page_id)
  qualify row_number() over (partition by url_norm order by page_id) = 1
 )"""
@@ -111,8 +121,8 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, PAGES_MARKED)
 
 
-def native_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_records(native_pages(marked_pages(spark, sf_dir)))
+def parsed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_records(parse_pages(marked_pages(spark, sf_dir)))
 
 
 @query(with_ctes(SITES, "select page_id, title, description, text from native"))
@@ -156,14 +166,6 @@ def page_about_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _unescaped_sql(column: str) -> str:
-    """The entities that occur in the pages, the ampersand last."""
-    text = column
-    for entity, letter in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
-        text = f"replace({text}, '{entity}', '{letter}')"
-    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
-
-
 @query(with_ctes(SITES, f"""
 select page_id, {_unescaped_sql("title")} as title, {_unescaped_sql("description")} as description,
  {_unescaped_sql("text")} as text, coalesce(n, 0) as links,
@@ -218,7 +220,7 @@ def site_with_about(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, _WITH_ABOUT_PAGES.replace("strpos(substring(url, 9), '/')",
                                                  "locate('/', substring(url, 9))"), ("pages",)
     )
-    sites = add_about_pages(site_records(native_pages(pages)))
+    sites = add_about_pages(site_records(parse_pages(pages)))
     return sites.select(
         "page_id", "about_url", "about_text", entries_text("social_links").alias("social_links")
     )

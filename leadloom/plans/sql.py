@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from leadloom.constants import (
+    COUNTRIES,
     COUNTRY_ALIASES,
     EMAIL_PATTERN,
     FOLDED_FROM,
     FOLDED_TO,
     GENERIC_TLDS,
-    HEADER_KEYS,
+    HEADER_FIELDS,
     SHARED_CALLING_CODES,
     SPECIAL_USE_DOMAINS,
 )
-from leadloom.functions.geo import COUNTRY_ROWS, sql_values
+from leadloom.functions.geo import sql_values
 from leadloom.plans.inputs import LEADS_RAW, PAGES_MARKED
 
 
@@ -90,15 +91,13 @@ leads as (
 )
 """
 
-_NAME_ROWS = [(alias, code) for code, aliases in COUNTRY_ALIASES.items() for alias in aliases]
-
 GEO_DIMS = f"""
 countries as (
- select * from (values {sql_values(COUNTRY_ROWS)}) as t(code, country, calling, language)
+ select * from (values {sql_values(COUNTRIES)}) as t(code, country, calling, language)
 ),
 country_names as (
  select lower(country) as name_key, code from countries
- union select * from (values {sql_values(_NAME_ROWS)}) as t(name_key, code)
+ union select * from (values {sql_values(COUNTRY_ALIASES.items())}) as t(name_key, code)
 ),
 callings as (
  select calling, code from countries
@@ -155,7 +154,7 @@ profiled as (
 
 HEADER_DIM = (
     "header_dim as (select * from (values "
-    + sql_values([(key, field) for field, keys in HEADER_KEYS.items() for key in keys.split()])
+    + sql_values(HEADER_FIELDS.items())
     + ") as t(header_key, field))"
 )
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from leadloom.constants import UPLOAD_EXTENSIONS, UPLOAD_MAX_BYTES
-from leadloom.functions.text import quoted_name
-from leadloom.operators.columns import plan_mapping, resolve_columns
+from leadloom.constants import UPLOAD_EXTENSIONS
+from leadloom.operators.columns import PLAN_TYPE, field_places, plan_mapping, resolve_cells
 from leadloom.operators.ingest import append_files
+from leadloom.session import shared_folder
 
 # Where a row stood: its file, the start of its split, its position in the split.  Files come in path
 # order, or in the order they were uploaded.
@@ -24,6 +27,9 @@ ROW_ORDER = ["file_path", "block_start", "row_seq"]
 UPLOAD_ORDER = ["file_modified", *ROW_ORDER]
 FILE_COLUMNS = ["source_file", *UPLOAD_ORDER]
 
+CSV_NAMES = "*.[cC][sS][vV]"
+MAPPING_TYPE = "map<string,string>"
+
 # Byte values that Windows-1252 and Latin-1 read differently; five of them are undefined in the
 # former, and a file that holds one is Latin-1.
 _C1 = "".join(map(chr, range(0x80, 0xA0)))
@@ -39,7 +45,8 @@ def plain_file_name(path: str) -> Column:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`path, filename, length, verdict` of every file; contents are not read."""
+    """`path, filename, length, verdict` of every file; contents are not read.  No file is refused
+    for its size: CSV files are split among tasks, and a workbook is one task's work."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select("path", "length")
@@ -50,7 +57,6 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "verdict",
         F.when(~extension.isin(*UPLOAD_EXTENSIONS), "extension")
         .when(extension == ".xls", "unsupported")
-        .when(F.col("length") > UPLOAD_MAX_BYTES, "too_large")
         .otherwise("accepted"),
     )
 
@@ -60,40 +66,56 @@ def rejected_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def csv_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`path, header, encoding` per CSV file.
+    """`file_path, header, encoding` per CSV file that holds a line.
 
-    A file is UTF-8 if all its bytes are, else Windows-1252, else Latin-1.  Accepted files are small
-    by the upload limit, and the size test is pushed into the listing.
+    A file is UTF-8 if all its lines are, else Windows-1252, else Latin-1.  Lines are tested where
+    they are read and combined per file before the shuffle, so no file is loaded whole.
     """
-    latin = F.decode("content", "ISO-8859-1")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.col("content").cast("string")).otherwise(latin)
-    encoding = (
-        F.when(valid, "utf-8")
-        .when(latin.rlike(f"[{_UNDEFINED}]"), "latin-1")
-        .otherwise("cp1252")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    valid = F.is_valid_utf8("value")
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", CSV_NAMES)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("place"),
+            valid.alias("valid"),
+            (~valid & latin.rlike(f"[{_UNDEFINED}]")).alias("undefined"),
+            F.when(valid, F.col("value")).otherwise(latin).alias("line"),
+        )
     )
-    first_line = F.regexp_replace(
-        F.substring_index(text, "\n", 1), r"(?s)^\x{FEFF}|\r.*$", ""
+    opening = (F.col("block_start") == 0) & (F.trim(F.col("line")) != "")
+    files = lines.groupBy("file_path").agg(
+        F.min_by("line", F.when(opening, F.col("place"))).alias("header"),
+        F.bool_and("valid").alias("valid"),
+        F.bool_or("undefined").alias("undefined"),
     )
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .load(path)
-        .where(F.col("length") <= UPLOAD_MAX_BYTES)
-        .select("path", first_line.alias("header"), encoding.alias("encoding"))
+    return files.select(
+        "file_path",
+        F.regexp_replace("header", r"^\x{FEFF}|^ï»¿|\r$", "").alias("header"),
+        F.when(F.col("valid"), "utf-8").when(F.col("undefined"), "latin-1").otherwise("cp1252")
+        .alias("encoding"),
     )
 
 
 def unique_headers(headers: list[str]) -> list[str]:
-    """Repeated headers get `.1`, `.2`, ...; empty ones a running name."""
-    seen: dict[str, int] = {}
+    """Repeated headers get the first free one of `.1`, `.2`, ...; empty ones a running name."""
+    named = [header or f"Unnamed: {i}" for i, header in enumerate(headers)]
+    taken = set(named)
+    used: set[str] = set()
+    counts: dict[str, int] = {}
     out = []
-    for position, header in enumerate(headers):
-        header = header or f"Unnamed: {position}"
-        seen[header] = seen.get(header, -1) + 1
-        out.append(f"{header}.{seen[header]}" if seen[header] else header)
+    for header in named:
+        name = header
+        while name in used:
+            counts[header] = counts.get(header, 0) + 1
+            name = f"{header}.{counts[header]}"
+            if name in taken:
+                name = header
+        used.add(name)
+        out.append(name)
     return out
 
 
@@ -103,81 +125,125 @@ def split_header(line: str) -> list[str]:
     return [quoted.replace('""', '"') if quoted else plain for quoted, plain in cells]
 
 
+def header_plan(headers: list[str], external: object = None) -> dict | None:
+    """What the cells of a file mean by place: names, places per field, last first, and the places
+    that belong to no field.  None without an e-mail column."""
+    names = unique_headers(headers)
+    try:
+        mapping = plan_mapping(names, external)
+    except ValueError:
+        return None
+    places = field_places(names, mapping)
+    mapped = {i for found in places.values() for i in found}
+    return {
+        "names": names, "places": places,
+        "others": [i for i in range(len(names)) if i not in mapped],
+    }
+
+
 def read_csv_files(
     spark: SparkSession, path: str | list[str], external: object = None, multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(canonical rows, rejects) of all CSV files under `path`.
 
-    Files are grouped by header line and encoding; each group is one splittable read with an
-    explicit schema, so a header of one file never names the columns of another.  What reaches the
-    driver is the file listing, as in any Spark read.  Rejects carry a reason: a file without an
-    e-mail column (one row per file), or a row with more cells than the header; a shorter row is
-    filled up.  `multi_line` allows line breaks inside quotes, at the price of unsplit files.
+    All files are one splittable read whose columns are numbered; what a cell means comes from the
+    table of file headers, joined by file, so a header can have any name and one file's header never
+    names the columns of another.  That table is written once to the shared folder.  `external` is a
+    mapping {header: field} for files whose headers hold no e-mail column, or a table `source_file,
+    mapping map<string,string>` with one for each file.  Rejects carry a reason: a refused file, a
+    file without an e-mail column (one row each), or a row with more cells than the header; a
+    shorter row is filled up.  `multi_line` allows line breaks inside quotes, at the price of
+    unsplit files.
     """
-    listing = csv_dialects(spark, path).toPandas().sort_values("path")
-    if listing.empty:
+    files = _planned(csv_dialects(spark, path), external)
+    folder = shared_folder(spark, "dialects")
+    files.write.parquet(folder)
+    files = spark.read.schema(files.schema).parquet(folder)
+    found = files.agg(
+        F.count("*").alias("files"), F.count("plan").alias("usable"),
+        F.max(F.size("plan.names")).alias("width"),
+    ).first()
+    if not found.files:
         raise FileNotFoundError(f"no CSV files under {path}")
-    frames, rejects = [], []
-    for (header, encoding), files in listing.groupby(["header", "encoding"], sort=False):
-        headers = unique_headers(split_header(header))
-        try:
-            mapping = plan_mapping(headers, external)
-        except ValueError:
-            rejects.append(_rejected(spark, list(files["path"])))
-            continue
-        raw = _read_csv_group(spark, list(files["path"]), headers, encoding, multi_line)
-        too_long = F.col("_overflow").isNotNull()
-        rejects.append(
-            raw.where(too_long).select(*FILE_COLUMNS, F.lit("too many cells").alias("reason"))
-        )
-        frames.append(
-            resolve_columns(raw.where(~too_long).drop("_overflow"), mapping, FILE_COLUMNS)
-        )
-    if not frames:
+    if not found.usable:
         raise ValueError(f"no email column in any file under {path}")
-    return append_files(frames), append_files(rejects)
-
-
-def _rejected(spark: SparkSession, paths: list[str]) -> DataFrame:
-    files = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    return files.select(
-        plain_file_name("file_path").alias("source_file"), "file_path",
-        F.lit("no email column").alias("reason"),
+    raw = _read_cells(spark, path, found.width, multi_line).join(
+        files.where(F.col("plan").isNotNull()).select("file_path", "encoding", "plan"), "file_path"
+    )
+    beyond = F.slice("cells", F.size("plan.names") + 1, found.width + 1)
+    too_long = F.exists(beyond, lambda c: c.isNotNull())
+    rejects = append_files([
+        raw.where(too_long).select(*FILE_COLUMNS, F.lit("too many cells").alias("reason")),
+        files.where(F.col("plan").isNull()).select(
+            plain_file_name("file_path").alias("source_file"), "file_path",
+            F.lit("no email column").alias("reason"),
+        ),
+        _refused(spark, path),
+    ])
+    cells = F.transform("cells", lambda c: _decoded(c, F.col("encoding")))
+    rows = raw.where(~too_long).withColumn("cells", cells)
+    return resolve_cells(rows, FILE_COLUMNS), rejects
+
+
+def _planned(files: DataFrame, external: object) -> DataFrame:
+    """Files with what their header means: a small helper per file, not per row."""
+    if isinstance(external, DataFrame):
+        names = files.withColumn("source_file", plain_file_name("file_path"))
+        files = names.join(external.select("source_file", "mapping"), "source_file", "left")
+    else:
+        mapping = F.lit(json.dumps(external)) if isinstance(external, dict) else F.lit(None)
+        files = files.withColumn("mapping", F.from_json(mapping.cast("string"), MAPPING_TYPE))
+    plan = F.udf(lambda line, mapping: header_plan(split_header(line or ""), mapping), PLAN_TYPE)
+    return files.select("file_path", "encoding", plan("header", "mapping").alias("plan"))
+
+
+def _refused(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return rejected_files(spark, path).select(
+        plain_file_name("path").alias("source_file"), F.col("path").alias("file_path"),
+        F.col("verdict").alias("reason"),
     )
 
 
-def _read_csv_group(
-    spark: SparkSession, paths: list[str], headers: list[str], encoding: str, multi_line: bool
+def _read_cells(
+    spark: SparkSession, path: str | list[str], width: int, multi_line: bool
 ) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField(h, T.StringType()) for h in headers]
-        + [T.StructField("_overflow", T.StringType())]
-    )
+    """Position columns and `cells`, one more than the widest header has.
+
+    Bytes are read as the letters of the same number: commas, quotes and line breaks are the same in
+    all three encodings, and cells are decoded once their file is known."""
+    names = [f"c{i}" for i in range(width + 1)]
     rows = (
-        spark.read.schema(schema)
-        .options(header=True, escape='"', multiLine=multi_line)
-        .option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
-        .csv(paths)
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        .options(header=True, escape='"', multiLine=multi_line, encoding="ISO-8859-1")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", CSV_NAMES)
+        .csv(path)
     )
-
-    def cell(header: str) -> Column:
-        if encoding != "cp1252":
-            return quoted_name(header)
-        return F.translate(quoted_name(header), _CP1252_FROM, _CP1252_TO).alias(header)
-
     return rows.select(
-        *[cell(h) for h in headers],
-        "_overflow",
         plain_file_name("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_modification_time").alias("file_modified"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row_seq"),
+        F.array(*names).alias("cells"),
+    )
+
+
+def _decoded(cell: Column, encoding: Column) -> Column:
+    return (
+        F.when(encoding == "utf-8", F.decode(F.encode(cell, "ISO-8859-1"), "UTF-8"))
+        .when(encoding == "cp1252", F.translate(cell, _CP1252_FROM, _CP1252_TO))
+        .otherwise(cell)
     )
 
 
 # --- workbooks -----------------------------------------------------------------------------------
+# Names of the published workbook format.
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_SHEET_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+# Rows of a workbook handed on at a time.
+_BATCH_ROWS = 4096
 
 
 def read_workbook(content: bytes) -> list[list[str]]:
@@ -188,14 +254,22 @@ def read_workbook(content: bytes) -> list[list[str]]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(_SHEET + "t")) for si in root]
-        sheets = sorted(
-            (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
-            key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]),
-        )
-        root = ElementTree.fromstring(book.read(sheets[0]))
+        root = ElementTree.fromstring(book.read(_first_sheet(book, names)))
     return [_sheet_row(row, shared) for row in root.iter(_SHEET + "row")]
 
 
+def _first_sheet(book: zipfile.ZipFile, names: set[str]) -> str:
+    """The part that holds the sheet named first; without a list of sheets the lowest number."""
+    links = "xl/_rels/workbook.xml.rels"
+    if {"xl/workbook.xml", links} <= names:
+        sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_SHEET + "sheet"))
+        for link in ElementTree.fromstring(book.read(links)):
+            if link.get("Id") == sheet.get(_SHEET_ID):
+                return posixpath.normpath(posixpath.join("/xl", link.get("Target"))).lstrip("/")
+    sheets = (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+    return min(sheets, key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]))
+
+
 def _sheet_row(row: ElementTree.Element, shared: list[str]) -> list[str]:
     cells: dict[int, str] = {}
     for position, cell in enumerate(row.iter(_SHEET + "c")):
@@ -219,69 +293,64 @@ def _column_number(letters: str) -> int:
     return number - 1
 
 
-def workbook_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Position columns, `headers` and `cells` of all workbook rows; a workbook, at most the upload
-    limit in size, is read by one task."""
+def workbook_rows(
+    spark: SparkSession, path: str | list[str], external: object = None
+) -> DataFrame:
+    """Position columns, `cells` and `plan` of all workbook rows, each workbook parsed by one task.
+    A workbook without an e-mail column, or that cannot be read, is one row with a `reason`."""
     books = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[xX][lL][sS][xX]")
         .load(path)
-        .where(F.col("length") <= UPLOAD_MAX_BYTES)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.unix_micros("modificationTime").alias("modified"),
             "content",
         )
     )
+    fields = "file_path string, modified bigint, row_seq bigint, cells array<string>"
+    schema = T.DataType.fromDDL(f"{fields}, plan {PLAN_TYPE}, reason string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = pa.list_(pa.string())
+        types = to_arrow_schema(schema)
         for batch in batches:
             for name, modified, content in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = read_workbook(content)
-                if len(rows) < 2:
+                known = {"file_path": name, "modified": modified}
+                try:
+                    sheet = read_workbook(content)
+                except (KeyError, ValueError, StopIteration, zipfile.BadZipFile,
+                        ElementTree.ParseError):
+                    sheet, reason = [], "unreadable"
+                else:
+                    reason = None
+                plan = header_plan(sheet[0], external) if sheet else None
+                if plan is None:
+                    rejected = {**known, "reason": reason or "no email column"}
+                    yield pa.RecordBatch.from_pylist([rejected], schema=types)
                     continue
-                headers, body = unique_headers(rows[0]), rows[1:]
-                cells = [(r + [""] * len(headers))[: len(headers)] for r in body]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(body)),
-                        pa.array([modified] * len(body), pa.int64()),
-                        pa.array(range(len(body)), pa.int64()),
-                        pa.array([headers] * len(body), texts),
-                        pa.array(cells, texts),
-                    ],
-                    names=["file_path", "modified", "row_seq", "headers", "cells"],
-                )
-
-    rows = books.mapInArrow(
-        read,
-        "file_path string, modified bigint, row_seq bigint, headers array<string>, "
-        "cells array<string>",
-    )
-    return rows.select(
+                for start in range(1, len(sheet), _BATCH_ROWS):
+                    yield pa.RecordBatch.from_pylist([
+                        {**known, "row_seq": start + i - 1, "cells": cells, "plan": plan}
+                        for i, cells in enumerate(sheet[start:start + _BATCH_ROWS])
+                    ], schema=types)
+
+    return books.mapInArrow(read, schema).select(
         plain_file_name("file_path").alias("source_file"),
         F.timestamp_micros("modified").alias("file_modified"),
         "file_path",
         F.lit(0).cast("long").alias("block_start"),
-        "row_seq", "headers", "cells",
+        "row_seq", "cells", "plan", "reason",
     )
 
 
 def read_workbooks(
     spark: SparkSession, path: str | list[str], external: object = None
-) -> DataFrame:
-    """Canonical rows of all workbooks, grouped by header list like the CSV files."""
-    rows = workbook_rows(spark, path)
-    dialects = sorted(tuple(r.headers) for r in rows.select("headers").distinct().collect())
-    frames = []
-    for headers in dialects:
-        names = F.array(*[F.lit(h) for h in headers])
-        cells = rows.where(F.col("headers") == names).select(
-            *FILE_COLUMNS, *[F.col("cells")[i].alias(h) for i, h in enumerate(headers)]
-        )
-        frames.append(
-            resolve_columns(cells, plan_mapping(list(headers), external), FILE_COLUMNS)
-        )
-    return append_files(frames)
+) -> tuple[DataFrame, DataFrame]:
+    """(canonical rows, rejects) of all workbooks."""
+    rows = workbook_rows(spark, path, external)
+    rejects = append_files([
+        rows.where(F.col("reason").isNotNull()).select("source_file", "file_path", "reason"),
+        _refused(spark, path),
+    ])
+    return resolve_cells(rows.where(F.col("plan").isNotNull()), FILE_COLUMNS), rejects

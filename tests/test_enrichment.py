@@ -75,7 +75,7 @@ def test_stand_in_results(spark):
     assert found[4].person_results == [] and found[5].company_results == []
 
 
-def test_results_join_cuts_and_fills(spark):
+def test_results_join_keeps_all_and_fills(spark):
     leads = spark.sql("select 'a' email union all select 'b'")
     results = spark.sql(
         "select 'a' email, transform(sequence(1, 8), i -> named_struct('title', 't' || i, 'link', "
@@ -83,7 +83,7 @@ def test_results_join_cuts_and_fills(spark):
         "link:string,snippet:string>>) person_results"
     )
     found = {r.email: r for r in join_results(leads, results).collect()}
-    assert [x.title for x in found["a"].company_results] == ["t1", "t2", "t3", "t4", "t5"]
+    assert [x.title for x in found["a"].company_results] == [f"t{i}" for i in range(1, 9)]
     assert found["a"].person_results == found["b"].company_results == []
 
 
