@@ -407,6 +407,97 @@ def test_language_model_beats_its_base(spark):
     assert better.s > better.b
 
 
+def test_language_model_has_rare_contexts(spark):
+    """Words far below one token in 4096 are contexts too, in one bucket as in many."""
+    pairs = [(i, f"a{i} b{i}") for i in range(3000)] * 2
+    asked = [(3000 + i, f"a{i} b{i if i % 2 else i + 10}") for i in range(100)]
+    rows = spark.createDataFrame(pairs + asked, "doc_id long, text string")
+    found = hpylm.score(rows, F.col("doc_id") < 3000).where("held_out").collect()
+    assert all(r.n_known == 3 for r in found)
+    seen = [r.score for r in found if r.doc_id % 2]
+    unseen = [r.score for r in found if r.doc_id % 2 == 0]
+    assert len(seen) == len(unseen) == 50 and min(seen) > max(unseen) + 1
+
+
+def test_language_model_in_many_buckets():
+    """Behind every context, over all words and one unseen, when cells and buckets share the work and
+    hot words are dealt out."""
+    cells, buckets = 5, 3
+    draw = np.random.default_rng(1)
+    vocabulary = hpylm.mix(np.arange(40, dtype=np.uint64))
+
+    def block(number, texts, held):
+        sizes = np.array([len(t) + 1 for t in texts])
+        words, word = np.unique(
+            np.concatenate([np.append(t, hpylm.END) for t in texts]), return_inverse=True
+        )
+        return {"block": number, "words": hpylm.pack_sorted(words), "tokens": hpylm._u32(word),
+                "sizes": hpylm.pack(sizes), "held": hpylm.pack(np.full(len(sizes), held, np.uint8))}
+
+    def step(rows, function):
+        groups = {}
+        for row in rows:
+            groups.setdefault(row["place"], []).append(row)
+        return [r for place, own in groups.items() for r in function(
+            (hpylm.pa.scalar(place),), hpylm.pa.Table.from_pylist(own, hpylm._SCHEMA)
+        ).to_pylist()]
+
+    def kind(rows, *names):
+        return [r for r in rows if r["kind"] in names]
+
+    # the last word is never seen
+    known = vocabulary[:-1]
+    texts = [known[np.minimum(draw.zipf(1.3, draw.integers(0, 30)) - 1, 38)] for _ in range(200)]
+    blocks = [block(i, texts[50 * i : 50 * i + 50], 0) for i in range(4)]
+    blocks.append(block(9, [vocabulary[[u, w]] for u in range(40) for w in range(40)], 1))
+    trained = Counter(w for t in texts for w in [*t.tolist(), int(hpylm.END)])
+    hot = np.sort(np.array([w for w, n in trained.items() if n > 100], np.uint64))
+    assert 0 < len(hot) < len(trained)
+    asked = [r for b in blocks for r in hpylm.entry_rows(b, hot, cells)]
+    merged = step(asked, hpylm.merge_cells(buckets))
+    words = step(kind(merged, "busy"), hpylm.make_buckets(buckets))
+    contexts = step(kind(merged, "single") + kind(words, "link"), hpylm.make_contexts)
+    shared = hpylm.Restaurants(len(trained), sum(trained.values()), None, None, (0.6, 0.4))
+    target = [{"kind": "target", "place": r["source"], "source": r["place"],
+               "x": len(r["a"]) / 8} for r in kind(words, "link")]
+    seats, sums = [], []
+    for sweep in range(hpylm.BURN_IN + hpylm.SAMPLES + 1):
+        before = kind(seats[-1], "seats") + kind(sums[-1], "sum") if sweep else []
+        seats.append(step(kind(words, "bucket") + target + before,
+                          hpylm.sweep_buckets(sweep, shared, buckets)))
+        own = kind(seats[-1], "seats")
+        shared.swept.append((None, sum(r["x"] for r in own), sum(r["y"] for r in own)))
+        sums.append(step(contexts + kind(seats[-1], "tables"), hpylm.sum_contexts))
+
+    def tagged(frames, name):
+        return [r | {"source": i} for i, f in enumerate(frames[hpylm.BURN_IN + 1 :])
+                for r in kind(f, name)]
+
+    tables = step(kind(words, "seat") + tagged(seats, "seats"), hpylm.sampled_tables)
+    answers = step(kind(merged, "index", "counts") + tables, hpylm.answer_entries(shared))
+    answers += step(
+        [r for b in blocks for r in hpylm.word_rows(b, buckets)] + kind(words, "bucket")
+        + tagged(seats, "seats") + kind(contexts, "context") + tagged(sums, "total"),
+        hpylm.answer_words(shared),
+    )
+    row = blocks[-1]
+    every, word, sizes = hpylm._block(row)
+    _, home, context, _ = hpylm.arrange(every, word, sizes, hot, cells)
+    own = sorted((r for r in answers if r["source"] == 9), key=lambda r: r["place"])
+    count, chance = hpylm.probabilities(
+        {n: kind(own, n) for n in ("entries", "words")}, home, context, shared
+    )
+    assert count.tolist() == [trained[int(w)] for w in every]
+    # each of the 40 words follows each, and the end follows each
+    spread = np.bincount(context, chance, len(every))
+    # an unseen word stands for all of them, as do known words that were not drawn
+    missing = int((count == 0).sum())
+    least = np.array([chance[(context == c) & (count[home] == 0)].min() for c in range(len(every))])
+    behind = every != hpylm.END
+    assert np.allclose((spread - (missing - 1) * least)[behind], 1, atol=1e-5)
+    assert (chance > 0).all()
+
+
 def test_registered_queries(spark):
     """Every query runs over its table; the pipeline keeps what is clean."""
     import corpus_pipeline
