@@ -11,7 +11,9 @@ least hash, the leftmost of equals.  Equal windows have equal anchors, so they m
 3. Each block removes what the buckets marked.
 
 Blocks send every distinct anchor and piece once, so a passage in a third of all documents costs no
-more than one row per block.
+more than one row per block.  An anchor whose pieces differ, because a short phrase stands between
+ever new neighbours, is wide beyond WIDE_PIECES of them: its windows go singly to the buckets of the
+hashes of all their 50 bytes, where equal windows meet all the same.
 """
 
 from __future__ import annotations
@@ -42,10 +44,13 @@ ANCHOR_BYTES = 24
 # Text of a block, and text whose anchors make a bucket.
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 19
+# Different pieces of an anchor, beside one per block, that may go to one bucket.
+WIDE_PIECES = 4096
 # Text that is looked at at once; positions in it take the low bits below the hash.
 STEP = (1 << 20) - 1024
 PLACE = np.uint64((1 << 20) - 1)
 _ODD = mix(np.arange(41, 45, dtype=np.uint64)) | np.uint64(1)
+_ODDS = mix(np.arange(61, 72, dtype=np.uint64)) | np.uint64(1)
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -94,17 +99,54 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray) -> Runs:
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(counts)
 
 
-def block_anchors(ids: np.ndarray, raw, starts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a block, ascending, and whether several documents hold them."""
-    keys, firsts, _ = anchor_runs(raw, starts)
+def piece_hashes(raw: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of the piece at each place."""
+    words = _words(raw, 0, max(len(raw) - 7, 0))
+    found = sizes.astype(np.uint64) * _ODDS[10]
+    for j in range(-(-int(sizes.max(initial=0)) // 8)):
+        found += words[firsts + np.minimum(8 * j, sizes - 8)] * _ODDS[j]
+        found ^= found >> np.uint64(31)
+    return mix(found)
+
+
+def block_anchors(ids: np.ndarray, raw, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors of a block, ascending, whether several documents hold them, and how many
+    different pieces each has."""
+    keys, firsts, counts = anchor_runs(raw, starts)
     docs = ids[np.searchsorted(starts, firsts, "right") - 1]
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     if not len(heads):
-        return keys, np.zeros(0, bool)
+        return keys, np.zeros(0, bool), np.zeros(0, np.uint32)
     several = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads)
-    return keys[heads], several
+    sizes = np.diff(heads, append=len(keys))
+    pieces = np.ones(len(heads), np.uint32)
+    # only anchors that stand more than once can have different pieces
+    often = np.repeat(sizes > 1, sizes)
+    chosen, home = order[often], np.repeat(np.arange(len(heads)), sizes)[often]
+    marks = piece_hashes(raw, firsts[chosen], counts[chosen] + MATCH_BYTES - 1)
+    by_mark = np.lexsort((marks, home))
+    marks, home = marks[by_mark], home[by_mark]
+    fresh = np.ones(len(home), bool)
+    fresh[1:] = (home[1:] != home[:-1]) | (marks[1:] != marks[:-1])
+    pieces[sizes > 1] = np.bincount(home[fresh], minlength=len(heads))[sizes > 1]
+    return keys[heads], several, pieces
+
+
+def single_windows(
+    raw: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, wide: np.ndarray
+) -> Runs:
+    """The runs with those that are `wide` taken apart into runs of one window, whose keys are hashes
+    of the whole window."""
+    heads = np.cumsum(counts[wide]) - counts[wide]
+    inside = np.arange(counts[wide].sum()) - np.repeat(heads, counts[wide])
+    windows = np.repeat(firsts[wide], counts[wide]) + inside
+    hashes = piece_hashes(raw, windows, np.full(len(windows), MATCH_BYTES))
+    return (
+        np.concatenate([keys[~wide], hashes]), np.concatenate([firsts[~wide], windows]),
+        np.concatenate([counts[~wide], np.ones(len(windows), counts.dtype)]),
+    )
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -210,9 +252,9 @@ def _table(rows: list[dict], types: list[tuple]) -> pa.Table:
 
 
 ANCHORS = [("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()),
-           ("several", pa.binary())]
+           ("several", pa.binary()), ("pieces", pa.binary())]
 SHARED = [("block", pa.int32()), ("bucket", pa.int32()), ("marks", pa.binary()),
-          ("masks", pa.binary())]
+          ("wide", pa.binary()), ("masks", pa.binary())]
 PIECES = [("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.binary()),
           ("text", pa.binary()), ("docs", pa.binary())]
 
@@ -224,6 +266,7 @@ def _ddl(types: list[tuple]) -> str:
 def removed_bytes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    wide_pieces: int = WIDE_PIECES,
 ) -> DataFrame:
     """`docs` with `removed` (first byte and byte behind the last of each maximal removed run) and
     `kept` (the remaining bytes), replacing columns of these names.
@@ -252,10 +295,10 @@ def removed_bytes(
         return table.column(id_place).to_numpy().astype(np.int64), raw, starts
 
     def send_anchors(key, table):
-        keys, several = block_anchors(*block_of(in_order(table)))
+        keys, several, pieces = block_anchors(*block_of(in_order(table)))
         return _table([
             {"block": key[0].as_py(), "bucket": bucket, "keys": pack_sorted(keys[part]),
-             "several": np.packbits(several[part]).tobytes()}
+             "several": np.packbits(several[part]).tobytes(), "pieces": pack(pieces[part])}
             for bucket, part in by_bucket(keys, buckets)
         ], ANCHORS)
 
@@ -273,27 +316,38 @@ def removed_bytes(
         shared = np.logical_or.reduceat(np.concatenate(several)[order], heads) | (sizes > 1)
         marks = np.empty(len(keys), bool)
         marks[order] = np.repeat(shared, sizes)
+        more = np.concatenate([unpack(r["pieces"], np.uint32) for r in rows]).astype(np.int64) - 1
+        wide = np.empty(len(keys), bool)
+        wide[order] = np.repeat(np.add.reduceat(more[order], heads) > wide_pieces, sizes)
         cuts = np.cumsum([0, *map(len, lists)])
         return _table([
             {"block": r["block"], "bucket": r["bucket"], "masks": None,
-             "marks": np.packbits(marks[a:b]).tobytes()}
+             "marks": np.packbits(marks[a:b]).tobytes(),
+             "wide": np.packbits(wide[a:b]).tobytes() if wide[a:b].any() else None}
             for r, a, b in zip(rows, cuts, cuts[1:], strict=False) if marks[a:b].any()
         ], SHARED)
 
-    def shared_runs(ids, raw, starts, marks: dict[int, bytes]):
-        """Runs around shared anchors, in the order of their anchors, with document and bucket."""
+    def shared_runs(ids, raw, starts, told: list[dict]):
+        """Runs around shared anchors, those of wide ones window by window, in the order of their
+        keys, with text and document."""
+        marks = {r["bucket"]: r for r in told if r["marks"] is not None}
         keys, firsts, counts = anchor_runs(raw, starts)
         every, index = np.unique(keys, return_inverse=True)
-        shared = np.zeros(len(every), bool)
+        shared, wide = np.zeros(len(every), bool), np.zeros(len(every), bool)
         for bucket, part in by_bucket(every, buckets):
-            if bucket in marks:
-                found = np.frombuffer(marks[bucket], np.uint8)
-                shared[part] = np.unpackbits(found, count=part.stop - part.start)
+            for name, bits in (("marks", shared), ("wide", wide)):
+                if bucket in marks and marks[bucket][name] is not None:
+                    found = np.frombuffer(marks[bucket][name], np.uint8)
+                    bits[part] = np.unpackbits(found, count=part.stop - part.start)
         chosen = np.flatnonzero(shared[index])
-        chosen = chosen[np.argsort(keys[chosen], kind="stable")]
-        firsts, counts = firsts[chosen], counts[chosen]
+        wide = wide[index[chosen]]
+        keys, firsts, counts = keys[chosen], firsts[chosen], counts[chosen]
+        if wide.any():
+            keys, firsts, counts = single_windows(raw, keys, firsts, counts, wide)
+        chosen = np.argsort(keys, kind="stable")
+        keys, firsts, counts = keys[chosen], firsts[chosen], counts[chosen]
         text_of = np.searchsorted(starts, firsts, "right") - 1
-        return keys[chosen], firsts, counts, text_of, ids[text_of]
+        return keys, firsts, counts, text_of, ids[text_of]
 
     def distinct_pieces(raw, firsts, counts, docs, part: slice):
         """Pieces of a bucket without repeats, the least document of each, and which piece each run
@@ -312,8 +366,7 @@ def removed_bytes(
         rows = []
         if left.num_rows and right.num_rows:
             ids, raw, starts = block_of(in_order(left))
-            marks = {r["bucket"]: r["marks"] for r in _rows(right)}
-            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, marks)
+            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, list(_rows(right)))
             for bucket, part in by_bucket(keys, buckets):
                 pieces, least, _ = distinct_pieces(raw, firsts, counts, docs_of, part)
                 rows.append({
@@ -354,7 +407,7 @@ def removed_bytes(
             earlier = flat[np.repeat(begins[which], sizes) + inside] < np.repeat(own, sizes)
             bits = earlier.astype(np.uint32) << inside.astype(np.uint32)
             found.append({
-                "block": row["block"], "bucket": row["bucket"], "marks": None,
+                "block": row["block"], "bucket": row["bucket"], "marks": None, "wide": None,
                 "masks": pack(np.add.reduceat(bits, heads).astype(np.uint32)),
             })
         return _table(found, SHARED)
@@ -372,11 +425,10 @@ def removed_bytes(
         left = in_order(left)
         ids, raw, starts = block_of(left)
         told = list(_rows(right))
-        marks = {r["bucket"]: r["marks"] for r in told if r["marks"] is not None}
         masks = {r["bucket"]: r["masks"] for r in told if r["masks"] is not None}
         change = np.zeros(len(raw) + 1, np.int32)
         if masks:
-            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, marks)
+            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, told)
             for bucket, part in by_bucket(keys, buckets):
                 _, least, which = distinct_pieces(raw, firsts, counts, docs_of, part)
                 mask = unpack(masks[bucket], np.uint32)[which]

@@ -113,6 +113,40 @@ def test_suffix_dedup_on_documents(spark):
     assert got == brute_repeats([tuple(r) for r in rows.collect()])
 
 
+def test_suffix_dedup_of_a_phrase_among_many_neighbours(spark):
+    """A phrase shorter than a window, between ever new neighbours: no bucket gets all of it."""
+    draw = random.Random(3)
+
+    def noise(size):
+        return "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=size))
+
+    phrase = "All rights reserved to the author. "
+    rows = [(i, noise(60) + phrase + noise(60)) for i in range(300)]
+    rows += [(300 + i, noise(20) + rows[7 * i][1][40:130] + noise(9)) for i in range(30)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in suffix_dedup.digests(suffix_dedup.removed_bytes(
+               spark.createDataFrame(rows, "doc_id long, text string"),
+               block_bytes=9000, bucket_bytes=3000, wide_pieces=20,
+           )).collect()}
+    want = brute_repeats(rows)
+    assert got == want and sum(w[1] for w in want.values()) > 1000
+
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    starts = np.cumsum([0, *(len(t) for _, t in rows)])
+    ids = np.arange(len(rows))
+    keys, several, pieces = suffix_dedup.block_anchors(ids, raw, starts)
+    hot = keys[pieces > 20]
+    assert len(hot) and several[pieces > 20].all()
+    runs = suffix_dedup.anchor_runs(raw, starts)
+    wide = np.isin(runs[0], hot)
+    assert len(set(runs[0][wide])) < 40 < wide.sum()
+    single = suffix_dedup.single_windows(raw, *runs, wide)
+    assert single[2].sum() == runs[2].sum()
+    fresh = np.sort(single[0][len(runs[0]) - wide.sum() :])
+    cells = [part.stop - part.start for _, part in suffix_dedup.by_bucket(fresh, 16)]
+    assert len(cells) == 16 and max(cells) < len(fresh) / 8
+
+
 def test_suffix_order():
     draw = random.Random(3)
     for alphabet in ("ab", "aab \x00\xff"):
