@@ -2,10 +2,10 @@
 
 A line is what one block of the page shows.  Each line gets the ratio of its text to its tags, text
 inside links counting as tag.  The ratios are smoothed by a Gaussian over neighbouring lines, and
-two clusters of the smoothed values give a threshold.  Lines are then judged by region: a stretch of
-lines in the same part of the page, not broken by a menu, notice or other part that is never
-content.  A region with a line above the threshold is content with all its lines, so short
-paragraphs between long ones stay.
+two clusters of the smoothed values give a threshold.  Lines are then judged by region: an article
+with all its lines, or outside of articles a stretch of lines not broken by a menu, notice or other
+part that is never content.  A region with a line above the threshold is content with all its lines,
+so short paragraphs between long ones stay; so do short regions that belong to it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ SIGNS = frozenset(
     "sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo "
     "search alert".split()
 )
+HEADINGS = frozenset(("h1", "h2"))
 # An open element of the first kind ends where one of the second begins.
 ENDS = {
     "p": frozenset(
@@ -63,32 +65,50 @@ ENDS = {
 SPACES = re.compile("[ \t\n\r\f]+")
 
 
-def never_content(tag: str, attributes: list) -> bool:
-    if tag in NEVER:
-        return True
-    words = " ".join(
-        v for k, v in attributes if v and k in ("class", "id", "role")
-    ).lower()
-    return bool(words) and not SIGNS.isdisjoint(re.findall("[a-z]+", words))
+def signs(attributes: list) -> set[str]:
+    """Names in SIGNS among the parts of class, id and role."""
+    words = " ".join(v for k, v in attributes if v and k in ("class", "id", "role")).lower()
+    return SIGNS.intersection(re.findall("[a-z]+", words))
+
+
+class Line(NamedTuple):
+    """What a block shows, and the parts it lies in: numbers of barred elements and of articles, from
+    the outside in.  Without text: where a barred element begins or ends."""
+
+    text: str
+    tags: int
+    linked: int
+    bars: tuple[int, ...]
+    mains: tuple[int, ...]
+    heading: bool
+
+    @property
+    def weight(self) -> int:
+        return max(len(self.text) - self.linked, 0)
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, linked characters, region, inside an article) from the events of
-    the standard parser."""
+    """Collects lines from the events of the standard parser."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, hides its text, never content
-        self.hidden = self.barred = self.links = self.main = 0
-        self.region = 0
+        self.open: list[tuple[str, bool, bool]] = []  # name, hides its text, barred
+        self.hidden = self.links = self.headings = self.count = 0
+        self.bars: list[int] = []
+        self.mains: list[int] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.rows: list[tuple[str, int, int, int, bool]] = []
+        self.rows: list[Line] = []
+
+    def add(self, text: str) -> None:
+        self.rows.append(Line(
+            text, self.tags, self.linked, tuple(self.bars), tuple(self.mains), self.headings > 0
+        ))
 
     def line(self) -> None:
         text = SPACES.sub(" ", "".join(self.text)).strip(" ")
-        if text and not self.barred:
-            self.rows.append((text, self.tags, self.linked, self.region, self.main > 0))
+        if text:
+            self.add(text)
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -108,16 +128,20 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         # the header of an article holds its title
-        bars = tag not in ("html", "body") and never_content(tag, attrs)
-        bars = bars and not (tag == "header" and self.main)
+        never = tag in NEVER and not (tag == "header" and self.mains)
+        exempt = tag in ("html", "body") or (tag == "header" and bool(self.mains))
+        names = set() if exempt else signs(attrs)
+        bars = never or bool(names)
         self.open.append((tag, tag in HIDDEN, bars))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
-        self.main += tag in MAIN and not self.barred
+        self.headings += tag in HEADINGS
+        self.count += 1
+        if tag in MAIN:
+            self.mains.append(self.count)
         if bars:
-            self.barred += 1
-        if bars or tag in MAIN:
-            self.region += 1
+            self.bars.append(self.count)
+            self.add("")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -131,11 +155,12 @@ class Lines(HTMLParser):
         self.open.pop()
         self.hidden -= hides
         self.links -= tag == "a"
+        self.headings -= tag in HEADINGS
         if bars:
-            self.barred -= 1
-        self.main -= tag in MAIN and not self.barred and self.main > 0
-        if bars or tag in MAIN:
-            self.region += 1
+            self.add("")
+            self.bars.pop()
+        if tag in MAIN:
+            self.mains.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -150,10 +175,19 @@ class Lines(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
+    def finish(self) -> tuple[list[Line], list[tuple]]:
+        """Lines outside of barred parts, and the region of each."""
         self.close()
         self.line()
-        return self.rows
+        rows, regions, stretch = [], [], 0
+        for row in self.rows:
+            barred = bool(row.bars)
+            stretch += barred
+            if row.text and not barred:
+                rows.append(row)
+                # an article is one region whatever is barred in it
+                regions.append((row.mains, 0 if row.mains else stretch))
+        return rows, regions
 
 
 def threshold(values: np.ndarray) -> float:
@@ -177,23 +211,54 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return full / weight
 
 
+def above(rows: list[Line]) -> list[bool]:
+    """Which lines are in the upper cluster; a page of even lines has one cluster, all of it."""
+    near = smoothed(np.array([row.weight / (row.tags + 1) for row in rows]))
+    return (near >= threshold(near)).tolist()
+
+
 def main_text(html: str | None) -> str:
     """The article of a page; the empty text if the page has none."""
     parser = Lines()
     parser.feed(html or "")
-    rows = parser.finish()
-    if any(row[4] for row in rows):
-        rows = [row for row in rows if row[4]]
+    rows, regions = parser.finish()
     if not rows:
         return ""
-    ratios = np.array([
-        max(len(text) - linked, 0) / (tags + 1) for text, tags, linked, _, _ in rows
-    ])
-    near = smoothed(ratios)
-    bound = threshold(near)
-    # a page of even lines has one cluster: all of it is content
-    chosen = {row[3] for row, value in zip(rows, near, strict=True) if value >= bound}
-    return " ".join(row[0] for row in rows if row[3] in chosen)
+    high = above(rows)
+    inside = [bool(row.mains) for row in rows]
+    weights = [row.weight if is_high else 0 for row, is_high in zip(rows, high, strict=True)]
+    # articles that hold less than the rest of the page are teasers
+    if any(inside) and 2 * sum(
+        w for w, is_in in zip(weights, inside, strict=True) if is_in
+    ) >= sum(weights):
+        regions = [r for r, is_in in zip(regions, inside, strict=True) if is_in]
+        rows = [r for r, is_in in zip(rows, inside, strict=True) if is_in]
+        high = above(rows)
+    chosen = {region for region, is_high in zip(regions, high, strict=True) if is_high}
+    # lines around an article within the main part, low stretches between content, its headline
+    around = {mains[:i] for mains, _ in chosen for i in range(1, len(mains))}
+    loose = sorted(stretch for mains, stretch in chosen if not mains)
+    order = sorted({stretch for mains, stretch in regions if not mains})
+    titled = {region for row, region in zip(rows, regions, strict=True) if row.heading}
+    ahead = {after: before for before, after in zip(order, order[1:], strict=False)}
+
+    def belongs(row: Line, region: tuple) -> bool:
+        if region in chosen:
+            return True
+        mains, stretch = region
+        if 2 * row.weight < len(row.text):
+            return False
+        if mains:
+            return mains in around
+        if not loose:
+            return False
+        return loose[0] < stretch < loose[-1] or (
+            region in titled and ahead.get(loose[0]) == stretch
+        )
+
+    return " ".join(
+        row.text for row, region in zip(rows, regions, strict=True) if belongs(row, region)
+    )
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -297,6 +297,33 @@ def test_html():
         assert html_extract.main_text(empty) == ""
 
 
+LONG = ["".join(f"word{i}{j} " for j in range(70)).strip() for i in range(6)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_parts_within_an_article():
+    title, last = "A headline of thirty letters!!", "A last paragraph, forty letters long...."
+    nav = "<nav><a href=/>home</a><a href=/x>more</a></nav>"
+    page = f"{nav}<article><h1>{title}</h1><div class=share>Share it</div>{paragraphs(LONG[:4])}"
+    assert html_extract.main_text(page + "</article>") == " ".join([title, *LONG[:4]])
+    page = f"<article>{paragraphs(LONG[:5])}<div class=advert>Buy</div><p>{last}</p></article>"
+    assert html_extract.main_text(page) == " ".join([*LONG[:5], last])
+    page = f"<main><h1>{title}</h1><article>{paragraphs(LONG)}</article></main>"
+    assert html_extract.main_text(page) == " ".join([title, *LONG])
+
+
+def test_html_teasers_and_pages_without_article():
+    teaser = "<article><h3><a href=/t>Another story</a></h3><p>A few words of it.</p></article>"
+    page = f"<div><h1>Title</h1>{paragraphs(LONG)}</div><div class=ad>Buy</div>{teaser}"
+    assert html_extract.main_text(page) == " ".join(["Title", *LONG])
+    page = f"<h1>Title</h1><div class=share>Share</div>{paragraphs(LONG[:3])}<div class=ad>Buy" \
+           f"</div><p>Short.</p><div class=ad>Buy</div>{paragraphs(LONG[3:])}"
+    assert html_extract.main_text(page) == " ".join(["Title", *LONG[:3], "Short.", *LONG[3:]])
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame(
         [(1, None, "old"), (2, "<p>A line of text.", None)], "page_id long, html string, text string"
