@@ -6,6 +6,9 @@ two clusters of the smoothed values give a threshold.  Lines are then judged by
 with all its lines, or outside of articles a stretch of lines not broken by a menu, notice or other
 part that is never content.  A region with a line above the threshold is content with all its lines,
 so short paragraphs between long ones stay; so do short regions that belong to it.
+
+Which parts are never content is settled when the whole page is known: names only bar a part that
+does not hold most of the page's text, in an article or without.
 """
 
 from __future__ import annotations
@@ -47,6 +50,10 @@ SIGNS = frozenset(
     "sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo "
     "search alert".split()
 )
+# What may stand beside such a name in one token.
+BESIDE = frozenset("bar box button buttons form item items link links list section".split())
+# Parts written by others: never the article, however long, unless the article lies within.
+REPLIES = frozenset("comment comments disqus related replies reply".split())
 HEADINGS = frozenset(("h1", "h2"))
 # An open element of the first kind ends where one of the second begins.
 ENDS = {
@@ -66,9 +73,14 @@ SPACES = re.compile("[ \t\n\r\f]+")
 
 
 def signs(attributes: list) -> set[str]:
-    """Names in SIGNS among the parts of class, id and role."""
-    words = " ".join(v for k, v in attributes if v and k in ("class", "id", "role")).lower()
-    return SIGNS.intersection(re.findall("[a-z]+", words))
+    """Names in SIGNS among the class, id and role: whole tokens, or tokens of nothing but them and
+    words beside them (cookie-notice, share-buttons; not no-sidebar or post-header)."""
+    found = set()
+    for token in " ".join(v for k, v in attributes if v and k in ("class", "id", "role")).split():
+        parts = set(re.split("[-_]+", token.lower())) - {""}
+        if parts <= SIGNS | BESIDE:
+            found |= parts & SIGNS
+    return found
 
 
 class Line(NamedTuple):
@@ -96,6 +108,8 @@ class Lines(HTMLParser):
         self.hidden = self.links = self.headings = self.count = 0
         self.bars: list[int] = []
         self.mains: list[int] = []
+        self.lifts: dict[int, bool] = {}  # whether the weight of its own text can lift a bar
+        self.outside: dict[int, tuple[int, ...]] = {}  # bars around an article
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.rows: list[Line] = []
@@ -129,7 +143,7 @@ class Lines(HTMLParser):
             return
         # the header of an article holds its title
         never = tag in NEVER and not (tag == "header" and self.mains)
-        exempt = tag in ("html", "body") or (tag == "header" and bool(self.mains))
+        exempt = tag in MAIN or tag in ("html", "body") or tag == "header"
         names = set() if exempt else signs(attrs)
         bars = never or bool(names)
         self.open.append((tag, tag in HIDDEN, bars))
@@ -139,8 +153,10 @@ class Lines(HTMLParser):
         self.count += 1
         if tag in MAIN:
             self.mains.append(self.count)
+            self.outside[self.count] = tuple(self.bars)
         if bars:
             self.bars.append(self.count)
+            self.lifts[self.count] = not never and REPLIES.isdisjoint(names)
             self.add("")
 
     def handle_startendtag(self, tag, attrs):
@@ -175,13 +191,32 @@ class Lines(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
+    def lifted(self) -> set[int]:
+        """Bars that are none: what they hold outweighs all that lies outside of any."""
+        free, of_bar, of_main = 0, dict.fromkeys(self.lifts, 0), dict.fromkeys(self.outside, 0)
+        for row in self.rows:
+            if not row.bars:
+                free += row.weight
+            if len(row.bars) == 1 and not row.mains:
+                of_bar[row.bars[0]] += row.weight
+            for main in row.mains:
+                if self.outside[main] == row.bars:
+                    of_main[main] += row.weight
+        first = max(of_main, key=of_main.get, default=None)
+        if first and of_main[first] > free:
+            return set(self.outside[first])
+        if any(of_main[main] for main, bars in self.outside.items() if not bars):
+            return set()
+        return {bar for bar, weight in of_bar.items() if self.lifts[bar] and weight > free}
+
     def finish(self) -> tuple[list[Line], list[tuple]]:
         """Lines outside of barred parts, and the region of each."""
         self.close()
         self.line()
+        lifted = self.lifted()
         rows, regions, stretch = [], [], 0
         for row in self.rows:
-            barred = bool(row.bars)
+            barred = not lifted.issuperset(row.bars)
             stretch += barred
             if row.text and not barred:
                 rows.append(row)

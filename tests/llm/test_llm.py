@@ -324,6 +324,22 @@ def test_html_teasers_and_pages_without_article():
     assert html_extract.main_text(page) == " ".join(["Title", *LONG[:3], "Short.", *LONG[3:]])
 
 
+@pytest.mark.parametrize("name", [
+    "content-sidebar-wrap", "no-sidebar", "elementor-widget", "post-header", "has-comments",
+    "post category-social", "sidebar", "widget",
+])
+def test_html_wrappers_named_like_parts(name):
+    body = paragraphs(LONG)
+    for page in (f"<div class='{name}'><article>{body}</article></div>",
+                 f"<article class='{name}'>{body}</article><p>Rest</p>",
+                 f"<div id='{name}'>{body}</div><p>Rest</p>"):
+        assert html_extract.main_text(page).startswith(" ".join(LONG)), page[:60]
+    # parts beside the article still go
+    for part in ("cookie-notice", "sidebar", "share-buttons", "comments", "ad"):
+        page = f"<article>{body}</article><div class='{part}'>{paragraphs(LONG[:2])}</div>"
+        assert html_extract.main_text(page) == " ".join(LONG)
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame(
         [(1, None, "old"), (2, "<p>A line of text.", None)], "page_id long, html string, text string"
