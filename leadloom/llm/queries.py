@@ -16,6 +16,7 @@ from leadloom.llm import (
     langid,
     sentencepiece_codec,
     simhash,
+    spelling,
     suffix_dedup,
     token_files,
     warc,
@@ -112,12 +113,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_tokens(docs, BYTE_RANKS, byte_pattern(), BYTE_END)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 97 with a letter left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, one_in=97).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pitman_yor, op2_suffix_dedup, op3_html_extraction, op4_collision_dedup,
         op5_sentencepiece, op6_warc, op7_simhash, op8_language_id, op8_language_id_pages,
-        op9_decontamination, op10_token_counts,
+        op9_decontamination, op10_token_counts, op11_spelling_variants,
     )
 }
 
