@@ -14,6 +14,8 @@ from leadloom.llm import (
     hpylm,
     html_extract,
     langid,
+    lexical_search,
+    quality,
     sentencepiece_codec,
     simhash,
     spelling,
@@ -121,13 +123,71 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from labelled documents but those of one fourth, told by their ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pitman_yor, op2_suffix_dedup, op3_html_extraction, op4_collision_dedup,
         op5_sentencepiece, op6_warc, op7_simhash, op8_language_id, op8_language_id_pages,
         op9_decontamination, op10_token_counts, op11_spelling_variants,
+        op12_lexical_search, op13_quality_classifier,
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Ranked search as one statement: postings of all terms, statistics, scores, rank.
+SEARCH_SQL = r"""
+WITH lowered AS (
+    SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), tokens AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM lowered WHERE t IS NOT NULL
+), postings AS (
+    SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term
+), sizes AS (
+    SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(
+        CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM postings, totals GROUP BY term, docs
+), wanted AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+), repeats AS (
+    SELECT item_id, term, count(*) AS times FROM wanted GROUP BY item_id, term
+), scores AS (
+    SELECT item_id, doc_id, CAST(sum(
+        times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))
+    ) AS BIGINT) AS score
+    FROM repeats JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+    GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER)
+        AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op12_lexical_search": SEARCH_SQL}
