@@ -20,6 +20,7 @@ from leadloom.constants import UPLOAD_EXTENSIONS
 from leadloom.operators.columns import PLAN_TYPE, field_places, plan_mapping, resolve_cells
 from leadloom.operators.ingest import append_files
 from leadloom.session import shared_folder
+from leadloom.sources.records import CSV_NAMES, block_maps, block_states, csv_lines, records
 
 # Where a row stood: its file, the start of its split, its position in the split.  Files come in path
 # order, or in the order they were uploaded.
@@ -27,7 +28,6 @@ ROW_ORDER = ["file_path", "block_start", "row_seq"]
 UPLOAD_ORDER = ["file_modified", *ROW_ORDER]
 FILE_COLUMNS = ["source_file", *UPLOAD_ORDER]
 
-CSV_NAMES = "*.[cC][sS][vV]"
 MAPPING_TYPE = "map<string,string>"
 
 # Byte values that Windows-1252 and Latin-1 read differently; five of them are undefined in the
@@ -65,41 +65,52 @@ def rejected_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return list_files(spark, path).where(F.col("verdict") != "accepted")
 
 
-def csv_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`file_path, header, encoding` per CSV file that holds a line.
+def csv_blocks(lines: DataFrame) -> DataFrame:
+    """One row per block of a CSV file (`file_path`, `block_start`): its first filled line if the file
+    begins with it, whether its lines are UTF-8, hold a byte that Windows-1252 lacks, or a quote.
 
-    A file is UTF-8 if all its lines are, else Windows-1252, else Latin-1.  Lines are tested where
-    they are read and combined per file before the shuffle, so no file is loaded whole.
+    Lines are tested where they are read and combined per block before the shuffle, so no file is
+    loaded whole.
     """
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    valid = F.is_valid_utf8("value")
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", CSV_NAMES)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("place"),
-            valid.alias("valid"),
-            (~valid & latin.rlike(f"[{_UNDEFINED}]")).alias("undefined"),
-            F.when(valid, F.col("value")).otherwise(latin).alias("line"),
-        )
+    read = lines.select(
+        "file_path", "file_modified", "block_start", "place",
+        F.is_valid_utf8(F.col("line").cast("string")).alias("valid"),
+        F.decode("line", "ISO-8859-1").alias("latin"), "line",
     )
-    opening = (F.col("block_start") == 0) & (F.trim(F.col("line")) != "")
-    files = lines.groupBy("file_path").agg(
+    opening = (F.col("block_start") == 0) & (F.trim("latin") != "")
+    return read.groupBy("file_path", "block_start").agg(
+        F.max("file_modified").alias("file_modified"),
         F.min_by("line", F.when(opening, F.col("place"))).alias("header"),
         F.bool_and("valid").alias("valid"),
+        F.bool_or(~F.col("valid") & F.col("latin").rlike(f"[{_UNDEFINED}]")).alias("undefined"),
+        F.bool_or(F.contains("latin", F.lit('"'))).alias("quoted"),
+    )
+
+
+def csv_dialects(blocks: DataFrame) -> DataFrame:
+    """`file_path, file_modified, header, encoding` per CSV file that holds a line, from its blocks.
+
+    A file is UTF-8 if all its lines are, else Windows-1252, else Latin-1.
+    """
+    files = blocks.groupBy("file_path").agg(
+        F.max("file_modified").alias("file_modified"),
+        F.min_by("header", "block_start").alias("header"),
+        F.bool_and("valid").alias("valid"),
         F.bool_or("undefined").alias("undefined"),
     )
     return files.select(
-        "file_path",
-        F.regexp_replace("header", r"^\x{FEFF}|^ï»¿|\r$", "").alias("header"),
+        "file_path", "file_modified", _header_text("header").alias("header"),
         F.when(F.col("valid"), "utf-8").when(F.col("undefined"), "latin-1").otherwise("cp1252")
         .alias("encoding"),
     )
 
 
+def _header_text(line: str) -> Column:
+    text = F.col(line).cast("string")
+    shown = F.when(F.is_valid_utf8(text), text).otherwise(F.decode(line, "ISO-8859-1"))
+    return F.regexp_replace(shown, r"^\x{FEFF}|^ï»¿|\r$", "")
+
+
 def unique_headers(headers: list[str]) -> list[str]:
     """Repeated headers get the first free one of `.1`, `.2`, ...; empty ones a running name."""
     named = [header or f"Unnamed: {i}" for i, header in enumerate(headers)]
@@ -142,7 +153,7 @@ def header_plan(headers: list[str], external: object = None) -> dict | None:
 
 
 def read_csv_files(
-    spark: SparkSession, path: str | list[str], external: object = None, multi_line: bool = False,
+    spark: SparkSession, path: str | list[str], external: object = None
 ) -> tuple[DataFrame, DataFrame]:
     """(canonical rows, rejects) of all CSV files under `path`.
 
@@ -150,33 +161,61 @@ def read_csv_files(
     table of file headers, joined by file, so a header can have any name and one file's header never
     names the columns of another.  That table is written once to the shared folder.  `external` is a
     mapping {header: field} for files whose headers hold no e-mail column, or a table `source_file,
-    mapping map<string,string>` with one for each file.  Rejects carry a reason: a refused file, a
-    file without an e-mail column (one row each), or a row with more cells than the header; a
-    shorter row is filled up.  `multi_line` allows line breaks inside quotes, at the price of
-    unsplit files.
+    mapping map<string,string>` with one for each file.  Line breaks may stand inside quotes, also
+    in headers: files that have such are read by `records`, all others line by line.  Rejects carry
+    a reason: a refused file, a file without an e-mail column or with a quote that is never closed
+    (one row each), or a row with more cells than the header; a shorter row is filled up.
     """
-    files = _planned(csv_dialects(spark, path), external)
-    folder = shared_folder(spark, "dialects")
-    files.write.parquet(folder)
-    files = spark.read.schema(files.schema).parquet(folder)
-    found = files.agg(
-        F.count("*").alias("files"), F.count("plan").alias("usable"),
-        F.max(F.size("plan.names")).alias("width"),
+    lines = csv_lines(spark, path)
+    blocks = _written(csv_blocks(lines), "blocks")
+    found = blocks.agg(
+        F.count("*").alias("blocks"), F.bool_or("quoted").alias("quoted")
     ).first()
-    if not found.files:
+    if not found.blocks:
         raise FileNotFoundError(f"no CSV files under {path}")
-    if not found.usable:
+    dialects = csv_dialects(blocks)
+    states = None
+    if found.quoted:
+        states = _written(block_states(blocks, block_maps(lines)), "block-states")
+        shapes = states.groupBy("file_path").agg(
+            F.bool_or("multi_line").alias("multi_line"),
+            F.max_by("ends_inside", "block_start").alias("unclosed"),
+        )
+        if not shapes.where(F.col("multi_line")).limit(1).count():
+            states = None
+    if states is None:
+        dialects = dialects.withColumns({"multi_line": F.lit(False), "unclosed": F.lit(False)})
+    else:
+        states = states.where(F.col("multi_line"))
+        first, _ = records(lines, states, found.blocks, first_block=True)
+        whole = first.select("file_path", _header_text("record").alias("whole"))
+        dialects = dialects.join(shapes, "file_path").join(whole, "file_path", "left").withColumn(
+            "header", F.coalesce("whole", "header")
+        )
+    files = _written(_planned(dialects, external), "dialects")
+    readable = F.col("plan").isNotNull() & ~F.col("unclosed")
+    counted = files.agg(
+        F.count_if(readable).alias("usable"), F.max(F.size("plan.names")).alias("width"),
+    ).first()
+    if not counted.usable:
         raise ValueError(f"no email column in any file under {path}")
-    raw = _read_cells(spark, path, found.width, multi_line).join(
-        files.where(F.col("plan").isNotNull()).select("file_path", "encoding", "plan"), "file_path"
+    known = files.where(readable).select(
+        "file_path", "file_modified", "encoding", "plan", "multi_line"
     )
-    beyond = F.slice("cells", F.size("plan.names") + 1, found.width + 1)
+    raw = _read_cells(spark, path, counted.width).join(
+        known.where(~F.col("multi_line")).drop("multi_line", "file_modified"), "file_path"
+    )
+    if states is not None:
+        _, rows = records(lines, states, found.blocks)
+        cut = rows.join(known.where("multi_line").drop("multi_line"), "file_path")
+        raw = raw.unionByName(_record_cells(cut, counted.width))
+    beyond = F.slice("cells", F.size("plan.names") + 1, counted.width + 1)
     too_long = F.exists(beyond, lambda c: c.isNotNull())
+    reason = F.when(F.col("unclosed"), "unclosed quote").otherwise("no email column")
     rejects = append_files([
         raw.where(too_long).select(*FILE_COLUMNS, F.lit("too many cells").alias("reason")),
-        files.where(F.col("plan").isNull()).select(
-            plain_file_name("file_path").alias("source_file"), "file_path",
-            F.lit("no email column").alias("reason"),
+        files.where(~readable).select(
+            plain_file_name("file_path").alias("source_file"), "file_path", reason.alias("reason"),
         ),
         _refused(spark, path),
     ])
@@ -185,6 +224,13 @@ def read_csv_files(
     return resolve_cells(rows, FILE_COLUMNS), rejects
 
 
+def _written(frame: DataFrame, purpose: str) -> DataFrame:
+    """A small table, written to the shared folder and read again."""
+    folder = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def _planned(files: DataFrame, external: object) -> DataFrame:
     """Files with what their header means: a small helper per file, not per row."""
     if isinstance(external, DataFrame):
@@ -194,7 +240,10 @@ def _planned(files: DataFrame, external: object) -> DataFrame:
         mapping = F.lit(json.dumps(external)) if isinstance(external, dict) else F.lit(None)
         files = files.withColumn("mapping", F.from_json(mapping.cast("string"), MAPPING_TYPE))
     plan = F.udf(lambda line, mapping: header_plan(split_header(line or ""), mapping), PLAN_TYPE)
-    return files.select("file_path", "encoding", plan("header", "mapping").alias("plan"))
+    return files.select(
+        "file_path", "file_modified", "encoding", "multi_line", "unclosed",
+        plan("header", "mapping").alias("plan")
+    )
 
 
 def _refused(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -204,17 +253,24 @@ def _refused(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _read_cells(
-    spark: SparkSession, path: str | list[str], width: int, multi_line: bool
-) -> DataFrame:
-    """Position columns and `cells`, one more than the widest header has.
+# How a line is cut into cells: quotes are doubled inside quotes, nothing else escapes.
+_CELLS = {"escape": '"'}
+
+
+def _cell_names(width: int) -> list[str]:
+    """One more than the widest header has."""
+    return [f"c{i}" for i in range(width + 1)]
+
+
+def _read_cells(spark: SparkSession, path: str | list[str], width: int) -> DataFrame:
+    """Position columns and `cells` of the lines of all files but their headers.
 
     Bytes are read as the letters of the same number: commas, quotes and line breaks are the same in
     all three encodings, and cells are decoded once their file is known."""
-    names = [f"c{i}" for i in range(width + 1)]
+    names = _cell_names(width)
     rows = (
         spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        .options(header=True, escape='"', multiLine=multi_line, encoding="ISO-8859-1")
+        .options(header=True, encoding="ISO-8859-1", **_CELLS)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", CSV_NAMES)
         .csv(path)
@@ -229,6 +285,19 @@ def _read_cells(
     )
 
 
+def _record_cells(rows: DataFrame, width: int) -> DataFrame:
+    """The same of rows that were cut out of the files before, `record` being their bytes."""
+    names = _cell_names(width)
+    cells = F.from_csv(
+        F.decode("record", "ISO-8859-1"), ", ".join(f"{n} string" for n in names), _CELLS
+    )
+    return rows.withColumn("parsed", cells).select(
+        plain_file_name("file_path").alias("source_file"), "file_modified", "file_path",
+        "block_start", "row_seq", F.array(*[f"parsed.{n}" for n in names]).alias("cells"),
+        "encoding", "plan",
+    )
+
+
 def _decoded(cell: Column, encoding: Column) -> Column:
     return (
         F.when(encoding == "utf-8", F.decode(F.encode(cell, "ISO-8859-1"), "UTF-8"))
