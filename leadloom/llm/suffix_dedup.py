@@ -266,7 +266,7 @@ def _ddl(types: list[tuple]) -> str:
 def removed_bytes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
-    wide_pieces: int = WIDE_PIECES,
+    wide_pieces: int = WIDE_PIECES, whole_characters: bool = False,
 ) -> DataFrame:
     """`docs` with `removed` (first byte and byte behind the last of each maximal removed run) and
     `kept` (the remaining bytes), replacing columns of these names.
@@ -274,15 +274,17 @@ def removed_bytes(
     A byte goes if it lies in a string of 50 bytes that also begins in a document of smaller id, in
     the input.  A null text counts as empty.  Rows of equal id are no reason to remove from each
     other; rows without an id lose nothing and are no reason either.  `kept` is bytes because a run
-    may begin inside a character.
+    may begin inside a character; with `whole_characters` a character that loses a byte goes whole.
     """
     docs = docs.drop("removed", "kept")
     names = docs.columns
     with_id = docs.where(F.col(doc_id).isNotNull())
     size = with_id.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, buckets = -(-size // block_bytes) or 1, -(-size // bucket_bytes) or 1
-    based = with_id.withColumn("_block", bucket_of(doc_id, buckets=blocks))
-    grouped = based.groupBy("_block")
+    block = "_block"
+    while block.lower() in map(str.lower, names):
+        block += "_"
+    grouped = with_id.withColumn(block, bucket_of(doc_id, buckets=blocks)).groupBy(block)
     id_place, text_place = names.index(doc_id), names.index(text)
 
     def in_order(table: pa.Table) -> pa.Table:
@@ -440,6 +442,10 @@ def removed_bytes(
                     np.add.at(change, hit, 1)
                     np.add.at(change, hit + MATCH_BYTES, -1)
         gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        if whole_characters and gone.any():
+            begins = (raw & 0xC0) != 0x80
+            begins[starts[:-1][starts[:-1] < len(raw)]] = True
+            gone = np.logical_or.reduceat(gone, np.flatnonzero(begins))[np.cumsum(begins) - 1]
         return with_cuts(left, raw, starts, gone)
 
     def with_cuts(left: pa.Table, raw, starts, gone: np.ndarray) -> pa.Table:
@@ -498,10 +504,7 @@ def digests(cut: DataFrame, text: str = "text") -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """`docs` with the repeated bytes taken out of `text`.  What is left of a character that was cut
-    through goes too, as do replacement characters of a text that lost bytes."""
-    cut = removed_bytes(docs, text, **options)
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    clean = F.when(
-        F.size("removed") > 0, F.replace(whole, F.lit("\ufffd"), F.lit(""))
-    ).otherwise(F.col(text))
+    through goes too; all other characters stay as they are."""
+    cut = removed_bytes(docs, text, whole_characters=True, **options)
+    clean = F.when(F.size("removed") > 0, F.col("kept").cast("string")).otherwise(F.col(text))
     return cut.withColumn(text, clean).select(*docs.columns)
