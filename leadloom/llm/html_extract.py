@@ -42,13 +42,20 @@ INLINE = frozenset(
     "ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 MAIN = frozenset(("article", "main"))
+# Roles that make any element the same as one of these tags.
+ROLES = {
+    "main": "main", "article": "article", "complementary": "aside", "navigation": "nav",
+    "banner": "header", "contentinfo": "footer", "search": "form", "form": "form",
+    "dialog": "dialog", "alertdialog": "dialog", "menu": "menu", "menubar": "menu",
+}
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 # Names in class, id and role that mark parts which are never the article.
 SIGNS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice "
     "notices notification pagination popup promo promoted related replies reply share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo "
-    "search alert".split()
+    "search alert foot colophon copyright".split()
 )
 # What may stand beside such a name in one token.
 BESIDE = frozenset("bar box button buttons form item items link links list section".split())
@@ -83,6 +90,12 @@ def signs(attributes: list) -> set[str]:
     return found
 
 
+def is_unseen(given: dict) -> bool:
+    """Whether attributes hide an element; one that is shown only when found counts as seen."""
+    hidden = "hidden" in given and (given["hidden"] or "").strip().lower() != "until-found"
+    return hidden or bool(UNSEEN.search(given.get("style") or ""))
+
+
 class Line(NamedTuple):
     """What a block shows, and the parts it lies in: numbers of barred elements and of articles, from
     the outside in.  Without text: where a barred element begins or ends."""
@@ -104,7 +117,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, hides its text, barred
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, hides its text, barred, main
         self.hidden = self.links = self.headings = self.count = 0
         self.bars: list[int] = []
         self.mains: list[int] = []
@@ -142,16 +155,19 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         # the header of an article holds its title
-        never = tag in NEVER and not (tag == "header" and self.mains)
-        exempt = tag in MAIN or tag in ("html", "body") or tag == "header"
+        given = dict(attrs)
+        role = ROLES.get((given.get("role") or "").strip().lower(), tag)
+        never = role in NEVER and not (role == "header" and self.mains)
+        exempt = role in MAIN or tag in ("html", "body") or role == "header"
         names = set() if exempt else signs(attrs)
         bars = never or bool(names)
-        self.open.append((tag, tag in HIDDEN, bars))
-        self.hidden += tag in HIDDEN
+        hides = tag in HIDDEN or (tag not in ("html", "body") and is_unseen(given))
+        self.open.append((tag, hides, bars, role in MAIN))
+        self.hidden += hides
         self.links += tag == "a"
         self.headings += tag in HEADINGS
         self.count += 1
-        if tag in MAIN:
+        if role in MAIN:
             self.mains.append(self.count)
             self.outside[self.count] = tuple(self.bars)
         if bars:
@@ -165,7 +181,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def close_last(self) -> None:
-        tag, hides, bars = self.open[-1]
+        tag, hides, bars, main = self.open[-1]
         if tag not in INLINE:
             self.line()
         self.open.pop()
@@ -175,16 +191,21 @@ class Lines(HTMLParser):
         if bars:
             self.add("")
             self.bars.pop()
-        if tag in MAIN:
+        if main:
             self.mains.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if any(name == tag for name, _, _ in self.open):
+        if any(entry[0] == tag for entry in self.open):
             while self.open[-1][0] != tag:
                 self.close_last()
             self.close_last()
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section is a comment up to the next bracket, whatever it says."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         if not self.hidden:
             self.text.append(data)
