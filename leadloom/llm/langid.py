@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadloom.functions.text import quoted_name
 from leadloom.llm.common import stored, text_buffer
 
 BUCKETS = 1 << 14
@@ -159,8 +160,7 @@ def identify(
 
     Missing evidence (null, or a column not given) counts as a group of its own.  A text without
     letters, empty or null has no language and is not accepted; nor is one whose best language is
-    less sure than `min_confidence`.  Ties go to the language first in the alphabet.  Columns of
-    `docs` must not begin with an underscore and a letter as `_t0`.
+    less sure than `min_confidence`.  Ties go to the language first in the alphabet.
     """
     docs = docs.drop("language", "confidence", "accepted")
     count, columns = len(model.languages), docs.columns
@@ -171,10 +171,13 @@ def identify(
         })
     each = range(count)
     given = {"_host": host, "_suffix": suffix, "_declared": declared}
-    rows = text_evidence(docs, model, text).withColumns({
-        name: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
-        for name, c in given.items()
-    })
+    # the columns of `docs` are numbered, so none can clash with those added here
+    numbered = docs.select(
+        *(quoted_name(c).alias(f"c{i}") for i, c in enumerate(columns)),
+        *((F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")).alias(name)
+          for name, c in given.items()),
+    )
+    rows = text_evidence(numbered, model, f"c{columns.index(text)}")
     # a text without letters says nothing about its host
     shown = posterior([F.col(f"_t{i}") for i in each])
     own = [F.when(F.col("_letters") > 0, p).otherwise(0.0) for p in shown]
@@ -236,7 +239,7 @@ def identify(
     best = 1 / F.col("_all")
     place = F.array_position("_logs", F.col("_top")).cast("int")
     return weighed.select(
-        *columns,
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)),
         F.when(has_text, F.element_at(names, place)).alias("language"),
         F.when(has_text, best).otherwise(0.0).alias("confidence"),
         (has_text & (best >= min_confidence)).alias("accepted"),
