@@ -12,6 +12,7 @@ of fixed size before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -141,15 +142,22 @@ def contained_items(
     """`doc_id`, `item_id`, `n_shared`, `n_shingles`, `containment`: the items at least `containment`
     of whose distinct word shingles stand in a document.
 
-    Words are runs of letters and digits, lower-cased.  A text of fewer than `width` words is one
-    shingle of all its words; a text without words, or null, is in nothing and holds nothing.  Rows
-    of equal doc_id are one document, rows of equal item_id one item; rows without id are left out.
+    Words are runs of letters and digits, lower-cased.  An item of fewer than `width` words is one
+    shingle of all its words, and a document holds it if these words stand in it in a row.  A text
+    without words, or null, is in nothing and holds nothing.  Rows of equal doc_id are one document,
+    rows of equal item_id one item; rows without id are left out.
     """
-    item_rows = stored(
+    every_item = stored(
         shingle_rows(items.where(F.col(item_id).isNotNull()), item_id, text, width, None)
-        .select(F.col("key").alias("item_id"), "hash", "shingle").distinct(),
+        .select(F.col("key").alias("item_id"), "hash", "shingle",
+                F.size(F.split("shingle", " ")).alias("words")).distinct(),
         "items",
     )
+    item_rows = every_item.where(F.col("words") == width).drop("words")
+    short = [
+        _short_items(docs, every_item, doc_id, text, r.words)
+        for r in every_item.where(F.col("words") < width).select("words").distinct().collect()
+    ]  # one frame for each number of words below `width`
     # classes by powers of two: `span` is more than the shingles of any item in the class
     sized = stored(
         item_rows.groupBy("item_id").agg(F.count("*").alias("n_shingles")).withColumn(
@@ -191,9 +199,26 @@ def contained_items(
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     )
     share = F.col("n_shared") / F.col("n_shingles")
-    return shared.join(sized, "item_id").select(
+    found = shared.join(sized, "item_id").select(
         "doc_id", "item_id", "n_shared", "n_shingles", share.alias("containment")
     ).where(F.col("containment") >= containment)
+    return reduce(DataFrame.unionByName, short, found)
+
+
+def _short_items(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, words: int
+) -> DataFrame:
+    """Documents that hold an item of exactly `words` words: their shingles of that many words are
+    joined with the items."""
+    wanted = items.where(F.col("words") == words).select("item_id", "hash", "shingle")
+    rows = shingle_rows(
+        docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, bit_set(wanted)
+    )
+    held = rows.select(F.col("key").alias("doc_id"), "hash", "shingle").distinct()
+    return held.join(wanted, ["hash", "shingle"]).select("doc_id", "item_id").distinct().select(
+        "doc_id", "item_id", F.lit(1).cast("long").alias("n_shared"),
+        F.lit(1).cast("long").alias("n_shingles"), F.lit(1.0).alias("containment"),
+    )
 
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
