@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from leadloom.functions.rates import parse_rate
 from leadloom.functions.redact import mask_scalars
 from leadloom.operators import runlog
-from leadloom.operators.columns import map_headers, resolve_columns
 from leadloom.operators.ingest import clean_leads, ingest_outcome, new_leads
 from leadloom.operators.throttle import admit_hits, hits_in_window
 from leadloom.plans.inputs import RUN_LOG, RUNS, STAGE_ROWS, derived, table
@@ -18,7 +17,7 @@ from leadloom.plans.sql import LEADS_CLEAN, QUALITY, with_ctes
 from leadloom.session import shared_folder
 from leadloom.sources.files import ROW_ORDER, read_csv_files
 from leadloom.sources.runlogs import append_run_log, iso_utc, read_run_log
-from leadloom.streaming.ingest import csv_stream, run_to_end, stream_leads
+from leadloom.streaming.ingest import run_to_end, stream_leads, upload_stream
 
 _DAY = 86_400
 _TIME = "'%Y-%m-%d %H:%M:%S'"
@@ -310,27 +309,51 @@ def ingest_files_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(with_ctes(LEADS_CLEAN, "select email, name, phone, row_id from leads_clean"))
+@query(with_ctes(LEADS_CLEAN, """
+select 'lead' as kind, email, name, phone, row_id, null::bigint as total_records,
+ null::varchar as reason
+from leads_clean
+union all
+select 'upload', split_part(source_file, '.', 1), null, null, null, count(*), null
+from lead_rows group by source_file
+union all select 'reject', 'bad', null, null, null, null, 'no email column' from lead_rows
+ having count(*) > 0
+"""))
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contact rows written as files of one dialect and ingested by a stream that runs until
-    all files are taken; the stored leads are the same as in batch."""
-    folder = shared_folder(spark, "stream")
-    raw = raw_leads(spark, sf_dir)
-    ordered = raw.repartitionByRange("source_file", "row_id").sortWithinPartitions(
-        "source_file", "row_id"
-    )
-    headers = ["row_id", "upload", *HEADERS]
-    ordered.withColumnRenamed("source_file", "upload").select(*headers).write.option(
+    """The contact rows written as files of three dialects beside one without e-mail, ingested by a
+    stream that runs until all files are taken; the stored leads are the same as in batch."""
+    incoming = _write_dialects(spark, sf_dir)
+    raw_leads(spark, sf_dir).select("full_name", "phone").repartition(1).write.option(
         "header", True
-    ).option("escape", '"').csv(f"{folder}/incoming")
+    ).csv(f"{incoming}/bad.csv")
+    folder = shared_folder(spark, "stream")
+    upload = F.regexp_extract("file_path", r"/(\w+)\.csv/[^/]*$", 1)
 
-    def cleaned(batch: DataFrame) -> DataFrame:
-        kept = ["row_id", "upload", "source_file", *ROW_ORDER]
-        rows = clean_leads(resolve_columns(batch, map_headers(list(HEADERS)), kept))
-        return rows.withColumn("row_id", F.col("row_id").cast("bigint"))
+    def cleaned(rows: DataFrame) -> DataFrame:
+        row_id = F.element_at("raw_data", "Row Id").cast("bigint")
+        return clean_leads(rows).withColumns({"upload": upload, "row_id": row_id})
 
     run_to_end(stream_leads(
-        csv_stream(spark, f"{folder}/incoming", headers), cleaned, f"{folder}/leads",
-        f"{folder}/uploads", f"{folder}/checkpoint", order=["upload", "row_id"],
+        upload_stream(spark, incoming, files_per_batch=1_000_000), f"{folder}/leads",
+        f"{folder}/uploads", f"{folder}/rows", f"{folder}/rejects", f"{folder}/checkpoint",
+        prepare=cleaned, order=["upload", "row_id"], file="upload",
     ))
-    return spark.read.parquet(f"{folder}/leads").select("email", "name", "phone", "row_id")
+    nothing = F.lit(None)
+
+    def part(table_name: str, kind: str, **columns) -> DataFrame:
+        shown = {
+            "email": nothing, "name": nothing, "phone": nothing, "row_id": nothing,
+            "total_records": nothing, "reason": nothing, **columns,
+        }
+        types = {"row_id": "bigint", "total_records": "bigint"}
+        return spark.read.parquet(f"{folder}/{table_name}").select(
+            F.lit(kind).alias("kind"),
+            *(c.cast(types.get(n, "string")).alias(n) for n, c in shown.items()),
+        )
+
+    return (
+        part("leads", "lead", **{n: F.col(n) for n in ("email", "name", "phone", "row_id")})
+        .unionByName(part("uploads", "upload", email=F.col("filename"),
+                          total_records=F.col("total_records")))
+        .unionByName(part("rejects", "reject", email=upload, reason=F.col("reason")).distinct())
+    )

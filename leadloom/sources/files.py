@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -44,6 +45,11 @@ def plain_file_name(path: str) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
+def readable_path(address: str) -> str:
+    """The path to read a file by: escapes of its address undone, letters of patterns escaped."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(address))
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """`path, filename, length, verdict` of every file; contents are not read.  No file is refused
     for its size: CSV files are split among tasks, and a workbook is one task's work."""
@@ -153,30 +159,34 @@ def header_plan(headers: list[str], external: object = None) -> dict | None:
 
 
 def read_csv_files(
-    spark: SparkSession, path: str | list[str], external: object = None
+    spark: SparkSession, path: str | list[str], external: object = None,
+    tables: str | None = None, required: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(canonical rows, rejects) of all CSV files under `path`.
 
     All files are one splittable read whose columns are numbered; what a cell means comes from the
     table of file headers, joined by file, so a header can have any name and one file's header never
-    names the columns of another.  That table is written once to the shared folder.  `external` is a
+    names the columns of another.  That table is written once, to the folder `tables` or else to the
+    shared folder.  `external` is a
     mapping {header: field} for files whose headers hold no e-mail column, or a table `source_file,
     mapping map<string,string>` with one for each file.  Line breaks may stand inside quotes, also
     in headers: files that have such are read by `records`, all others line by line.  Rejects carry
     a reason: a refused file, a file without an e-mail column or with a quote that is never closed
-    (one row each), or a row with more cells than the header; a shorter row is filled up.
+    (one row each), or a row with more cells than the header; a shorter row is filled up.  Without
+    a usable file this raises an error, or with `required` off gives no rows.
     """
+    tables = tables or shared_folder(spark, "uploads")
     lines = csv_lines(spark, path)
-    blocks = _written(csv_blocks(lines), "blocks")
+    blocks = _written(csv_blocks(lines), f"{tables}/blocks")
     found = blocks.agg(
         F.count("*").alias("blocks"), F.bool_or("quoted").alias("quoted")
     ).first()
-    if not found.blocks:
+    if required and not found.blocks:
         raise FileNotFoundError(f"no CSV files under {path}")
     dialects = csv_dialects(blocks)
     states = None
     if found.quoted:
-        states = _written(block_states(blocks, block_maps(lines)), "block-states")
+        states = _written(block_states(blocks, block_maps(lines)), f"{tables}/block-states")
         shapes = states.groupBy("file_path").agg(
             F.bool_or("multi_line").alias("multi_line"),
             F.max_by("ends_inside", "block_start").alias("unclosed"),
@@ -192,24 +202,25 @@ def read_csv_files(
         dialects = dialects.join(shapes, "file_path").join(whole, "file_path", "left").withColumn(
             "header", F.coalesce("whole", "header")
         )
-    files = _written(_planned(dialects, external), "dialects")
+    files = _written(_planned(dialects, external), f"{tables}/dialects")
     readable = F.col("plan").isNotNull() & ~F.col("unclosed")
     counted = files.agg(
         F.count_if(readable).alias("usable"), F.max(F.size("plan.names")).alias("width"),
     ).first()
-    if not counted.usable:
+    if required and not counted.usable:
         raise ValueError(f"no email column in any file under {path}")
+    width = counted.width or 0
     known = files.where(readable).select(
         "file_path", "file_modified", "encoding", "plan", "multi_line"
     )
-    raw = _read_cells(spark, path, counted.width).join(
+    raw = _read_cells(spark, path, width).join(
         known.where(~F.col("multi_line")).drop("multi_line", "file_modified"), "file_path"
     )
     if states is not None:
         _, rows = records(lines, states, found.blocks)
         cut = rows.join(known.where("multi_line").drop("multi_line"), "file_path")
-        raw = raw.unionByName(_record_cells(cut, counted.width))
-    beyond = F.slice("cells", F.size("plan.names") + 1, counted.width + 1)
+        raw = raw.unionByName(_record_cells(cut, width))
+    beyond = F.slice("cells", F.size("plan.names") + 1, width + 1)
     too_long = F.exists(beyond, lambda c: c.isNotNull())
     reason = F.when(F.col("unclosed"), "unclosed quote").otherwise("no email column")
     rejects = append_files([
@@ -224,10 +235,9 @@ def read_csv_files(
     return resolve_cells(rows, FILE_COLUMNS), rejects
 
 
-def _written(frame: DataFrame, purpose: str) -> DataFrame:
-    """A small table, written to the shared folder and read again."""
-    folder = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
+def _written(frame: DataFrame, folder: str) -> DataFrame:
+    """A small table, written and read again."""
+    frame.write.mode("overwrite").parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 

@@ -8,44 +8,58 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from leadloom.operators.ingest import ingest_outcome, new_leads
-from leadloom.sources.files import ROW_ORDER, plain_file_name
+from leadloom.operators.ingest import clean_leads, ingest_outcome, new_leads
+from leadloom.sources.files import ROW_ORDER, read_csv_files, readable_path
 
+_FILE = "path string, modificationTime timestamp, length long, content binary"
 
-def csv_stream(spark: SparkSession, folder: str, headers: list[str], files_per_batch: int = 1000):
-    """Rows of new CSV files of one dialect, all columns text, with their file position."""
-    schema = ", ".join(f"`{h}` string" for h in headers)
+
+def upload_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """`file_path` of every new file under `folder`, at most `files_per_batch` at a time; the files
+    themselves are not read."""
     return (
-        spark.readStream.schema(schema)
-        .options(header=True, escape='"', maxFilesPerTrigger=files_per_batch)
+        spark.readStream.format("binaryFile").schema(_FILE)
         .option("recursiveFileLookup", "true")
-        .csv(folder)
-        .select(
-            *[f"`{h}`" for h in headers],
-            plain_file_name("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+        .select(F.col("_metadata.file_path").alias("file_path"))
     )
 
 
 def stream_leads(
-    rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], leads: str, uploads: str,
-    checkpoint: str, order: list[str] | None = None, file: str = "source_file",
+    files: DataFrame, leads: str, uploads: str, rows: str, rejects: str, checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] = clean_leads, external: object = None,
+    order: list[str] | None = None, file: str = "source_file",
     on_batch: Callable[[int, dict], None] | None = None,
 ) -> StreamingQuery:
-    """Append the new leads of each batch to `leads` and the outcome per file to `uploads`.
-
-    `prepare` turns raw rows into cleaned leads.  Each batch writes into folders of its own, named
-    by the batch number and overwritten when a batch is run again, and drops the e-mails of earlier
-    batches, so a repeated batch changes nothing.  `on_batch` is told the batch number and its
-    counters, which are observed while the rows are written.
+    """Read the files of each batch of `upload_stream`, whatever dialect each is in, and append its
+    cleaned rows to `rows`, what could not be read to `rejects`, the new leads to `leads` and the
+    outcome per file to `uploads`.
+
+    The files of a batch are read like an upload folder, so headers in any order, encodings and
+    quoted line breaks are told apart by file; the table of their headers stands beside the
+    checkpoint.  The rows are parsed and cleaned once and written; leads and outcome come from what
+    was written.  Each batch writes into folders of its own, named by the batch number and
+    overwritten when a batch is run again, and drops the e-mails of earlier batches, so a repeated
+    batch changes nothing.  `on_batch` is told the batch number and its counters, which are
+    observed while the rows are written.
     """
-    spark = rows.sparkSession
+    spark = files.sparkSession
     order = order or ROW_ORDER
 
     def write(batch: DataFrame, number: int) -> None:
-        cleaned = prepare(batch.withColumn("row_seq", F.monotonically_increasing_id()))
+        # as many addresses as the stream hands out at a time
+        paths = [readable_path(r.file_path) for r in batch.collect()]
+        if not paths:
+            return
+        at = f"batch={number}"
+        read, refused = read_csv_files(
+            spark, paths, external, tables=f"{checkpoint}-headers/{at}", required=False
+        )
+        prepared = prepare(read)
+        prepared.write.mode("overwrite").parquet(f"{rows}/{at}")
+        refused.write.mode("overwrite").parquet(f"{rejects}/{at}")
+        cleaned = spark.read.schema(prepared.schema).parquet(f"{rows}/{at}")
         stored = _earlier_batches(spark, leads, number)
         progress = Observation()
         fresh = new_leads(cleaned, order, stored).observe(
@@ -54,14 +68,14 @@ def stream_leads(
             F.avg("data_quality_score").alias("data_quality_score"),
         )
         ingest_outcome(cleaned, order, stored, file=file).write.mode("overwrite").parquet(
-            f"{uploads}/batch={number}"
+            f"{uploads}/{at}"
         )
-        fresh.write.mode("overwrite").parquet(f"{leads}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{leads}/{at}")
         if on_batch:
             on_batch(number, progress.get)
 
     return (
-        rows.writeStream.foreachBatch(write)
+        files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

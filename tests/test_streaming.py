@@ -5,31 +5,22 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators.columns import map_headers, resolve_columns
-from leadloom.operators.ingest import clean_leads
 from leadloom.operators.throttle import admit_hits
 from leadloom.streaming.ingest import (
     ProgressRows,
-    csv_stream,
     first_arrivals,
     first_arrivals_within,
     run_to_end,
     stream_leads,
+    upload_stream,
 )
 from leadloom.streaming.throttle import admit_stream, use_rocksdb
 
-HEADERS = ["Email", "Name"]
-
-
-def _prepare(batch):
-    keep = ["source_file", "file_path", "block_start", "row_seq"]
-    return clean_leads(resolve_columns(batch, map_headers(HEADERS), keep))
-
-
-def _run(spark, folder, on_batch=None):
+def _run(spark, folder, on_batch=None, files_per_batch=1):
     run_to_end(stream_leads(
-        csv_stream(spark, f"{folder}/in", HEADERS, files_per_batch=1), _prepare,
-        f"{folder}/leads", f"{folder}/uploads", f"{folder}/checkpoint", on_batch=on_batch,
+        upload_stream(spark, f"{folder}/in", files_per_batch), f"{folder}/leads",
+        f"{folder}/uploads", f"{folder}/rows", f"{folder}/rejects", f"{folder}/checkpoint",
+        on_batch=on_batch,
     ))
     leads = spark.read.parquet(f"{folder}/leads")
     uploads = spark.read.parquet(f"{folder}/uploads")
@@ -61,6 +52,31 @@ def test_files_over_time(spark, tmp_path):
         spark.streams.removeListener(listener)
 
 
+def test_dialects_of_one_batch(spark, tmp_path):
+    """Columns in another order, other headers, another encoding, quoted line breaks, names with
+    blanks, escapes and pattern letters, files to refuse; then a batch of nothing usable."""
+    folder = tmp_path / "in"
+    (folder / "more").mkdir(parents=True)
+    (folder / "a b%20+[1].csv").write_text("Name,Email\nA,a@x.com\n")
+    (folder / "more" / "{b}*.csv").write_bytes("E-Mail,City,Full Name\nb@x.com,x,Zo\xeb\n".encode("latin-1"))
+    (folder / "c.csv").write_text('fullname,mail\n"C\n""two""",c@x.com\nD,a@x.com\n')
+    (folder / "bad.csv").write_text("Name,Phone\nx,1\n")
+    (folder / "notes.txt").write_text("no")
+    leads, uploads = _run(spark, tmp_path, files_per_batch=10)
+    assert leads == {"a@x.com": "A", "b@x.com": "Zoë", "c@x.com": 'C\n"two"'}
+    assert uploads == {"a b%20+[1].csv": (1, 1, 0, 0), "{b}*.csv": (1, 1, 0, 0),
+                       "c.csv": (2, 1, 1, 0)}
+
+    def rejects():
+        found = spark.read.parquet(f"{tmp_path}/rejects").collect()
+        return sorted((r.source_file, r.reason) for r in found)
+
+    assert rejects() == [("bad.csv", "no email column"), ("notes.txt", "extension")]
+    (folder / "late.txt").write_text("no")
+    again, _ = _run(spark, tmp_path, files_per_batch=10)
+    assert again == leads and ("late.txt", "extension") in rejects()
+
+
 @pytest.mark.parametrize("bounded", [False, True])
 def test_first_arrivals(spark, tmp_path, bounded):
     rows = spark.sql(
