@@ -15,6 +15,7 @@ from leadloom.operators.columns import (
 from leadloom.operators.dedup import mark_duplicates
 from leadloom.operators.ingest import (
     append_files,
+    clean_leads,
     ingest_outcome,
     latest_uploads,
     new_leads,
@@ -28,6 +29,7 @@ from leadloom.plans.sql import (
     LEAD_ROWS,
     LEADS_CLEAN,
     QUALITY,
+    quoted,
     with_ctes,
 )
 
@@ -46,6 +48,49 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lead_rows(spark, sf_dir).select("row_id", "data_quality_score")
 
 
+# Addresses as people write them, and what they come to, both written by hand; `#` is the customer's
+# number.
+_INTERNATIONAL = (
+    ("ü#@exämple.de", "ü#@exämple.de"),
+    ("a#@xn--exmple-cua.de", "a#@exämple.de"),
+    ("  JOSÉ.#@BÜCHER.Example.COM ", "josé.#@bücher.example.com"),
+    ("用户#@例子。公司", "用户#@例子.公司"),
+    ("x#@пример.рф", "x#@пример.рф"),
+    ("x#@xn--e1afmkfd.xn--p1ai", "x#@пример.рф"),
+    ("e\u0301#@x.in", "é#@x.in"),
+    ("a#@straße.de", "a#@straße.de"),
+    ("a #@exämple.de", None),
+    ("a\u00a0#@exämple.de", None),
+    ("é#..b@x.de", None),
+    ("é#@localhost", None),
+    ("é#@ab--c.de", None),
+    ("a#@❤.ws", None),
+    ("é#@-x.de", None),
+    ("a#@xn--.de", None),
+    ("é#@exämple", None),
+    ("plain#@x.in", "plain#@x.in"),
+    ("PLAIN#@x.in", "plain#@x.in"),
+)
+
+
+def _pick_sql(position: int) -> str:
+    shown = [row[position] for row in _INTERNATIONAL]
+    cases = " ".join(f"when {i} then {quoted(t)}" for i, t in enumerate(shown) if t is not None)
+    number = "cast(c_custkey as string)"
+    return f"replace(case c_custkey % {len(shown)} {cases} end, '#', {number})"
+
+
+_FOREIGN_ROWS = f"select c_custkey as row_id, {_pick_sql(0)} as email from customer"
+
+
+@query(f"select c_custkey as row_id, {_pick_sql(1)} as email from customer")
+def clean_international(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with other than ASCII letters, next to answers written by hand."""
+    rows = derived(spark, sf_dir, _FOREIGN_ROWS, ("customer",))
+    resolved = resolve_columns(rows, map_headers(["email"]), ["row_id"])
+    return clean_leads(resolved).select("row_id", "email")
+
+
 # Every customer stands for one uploaded file in one of five header dialects; the spelling of the
 # headers differs from file to file.
 _FILE_HEADERS = """

@@ -264,3 +264,18 @@ def test_secrets_are_masked_at_any_depth(spark):
         assert hidden not in line
     for shown in ("v1", "v2", "[2]", "m" * 3000):
         assert shown in line
+
+
+def test_international_emails(values):
+    """Answers written by hand."""
+    cases = {
+        "ü@exämple.de": "ü@exämple.de", "a@xn--exmple-cua.de": "a@exämple.de",
+        "A@EXÄMPLE.DE": "a@exämple.de", "u\u0308@exa\u0308mple.de": "ü@exämple.de",
+        "用户@例子。公司": "用户@例子.公司", "a@ab.xn--p1ai": "a@ab.рф", "a@faß.de": "a@faß.de",
+        "a@xn--80ak6aa92e.com": "a@аррӏе.com", "é" * 64 + "@x.de": "é" * 64 + "@x.de",
+        "é" * 65 + "@x.de": None, "a@" + "ä" * 60 + ".de": None, "é@x": None, "é..a@x.de": None,
+        ".é@x.de": None, "é@x-.de": None, "a\u00a0b@x.de": None, "\u0301a@x.de": None,
+        "a\u200b@x.de": None, "a@❤.ws": None, "a@xn--.de": None, "é@x.test": None, "é@@x.de": None,
+        "é": None, "@é.de": None, "": None,
+    }
+    assert dict(zip(cases, values(normalise_email, list(cases)), strict=True)) == cases
