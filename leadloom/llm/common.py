@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,14 @@ def word_hashes(
     return mix(found)
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  Python workers outlive their tasks, and what they keep
+    counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only one C library has this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers as byte planes: equal high bytes lie next to each other and compress well."""
     width = values.dtype.itemsize

@@ -31,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from leadloom.llm.common import (
     bucket_of,
     by_bucket,
+    give_back,
     mix,
     pack,
     pack_sorted,
@@ -242,12 +243,32 @@ def least_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [found[e - s : e - s + c] for e, s, c in zip(ends, sizes, counts, strict=True)]
 
 
+def widen(gone: np.ndarray, raw: np.ndarray, starts: np.ndarray) -> None:
+    """Let the runs of `gone` begin and end between characters, none in another text."""
+    if not len(gone):
+        return
+    edges = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+    heads, tails = edges[gone[edges]], edges[~gone[edges]]
+
+    def inside(places: np.ndarray) -> np.ndarray:
+        """Those places that do not begin a character."""
+        return places[((raw[places] & 0xC0) == 0x80) & ~np.isin(places, starts)]
+
+    for _ in range(3):  # a character has four bytes at most
+        heads = inside(heads) - 1
+        gone[heads] = True
+        tails = inside(tails)
+        gone[tails] = True
+        tails = tails[tails + 1 < len(raw)] + 1
+
+
 def _rows(table: pa.Table) -> Iterator[dict]:
     for batch in table.to_batches():
         yield from batch.to_pylist()
 
 
 def _table(rows: list[dict], types: list[tuple]) -> pa.Table:
+    give_back()  # every step of a group ends here or in `with_cuts`
     return pa.Table.from_pylist(rows, pa.schema(types))
 
 
@@ -442,10 +463,9 @@ def removed_bytes(
                     np.add.at(change, hit, 1)
                     np.add.at(change, hit + MATCH_BYTES, -1)
         gone = np.cumsum(change[:-1], dtype=np.int32) > 0
-        if whole_characters and gone.any():
-            begins = (raw & 0xC0) != 0x80
-            begins[starts[:-1][starts[:-1] < len(raw)]] = True
-            gone = np.logical_or.reduceat(gone, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+        del change
+        if whole_characters:
+            widen(gone, raw, starts)
         return with_cuts(left, raw, starts, gone)
 
     def with_cuts(left: pa.Table, raw, starts, gone: np.ndarray) -> pa.Table:
@@ -463,8 +483,12 @@ def removed_bytes(
         spans = pa.StructArray.from_arrays(
             [pa.array(begin - starts[home]), pa.array(end - starts[home])], ["start", "end"]
         )
+        del edge, stop
         kept = raw[~gone]
-        offsets = np.concatenate([[0], np.cumsum(~gone)])[starts].astype(np.int32)
+        give_back()
+        lost = np.zeros(len(starts), np.int64)
+        np.add.at(lost, home + 1, end - begin)
+        offsets = (starts - np.cumsum(lost)).astype(np.int32)
         binary = pa.Array.from_buffers(
             pa.binary(), len(starts) - 1,
             [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))],
