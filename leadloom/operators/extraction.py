@@ -89,14 +89,15 @@ def _first_link(results: str, condition) -> Column:
     ]
 
 
-def evidence(site: str = "site") -> dict[str, Column]:
-    """Website, description and profile links by priority: own site before search results."""
+def evidence(site: str = "site", whole: bool = True) -> dict[str, Column]:
+    """Website, description and profile links by priority: own site before search results.  A site
+    record that is not `whole` has the start of its text only."""
     ok = F.coalesce(F.col(f"{site}.status") == "ok", F.lit(False))
 
     def own(name: str) -> Column:
         return F.when(ok, non_empty(F.col(f"{site}.{name}")))
 
-    text_start = F.when(
+    text_start = own("text_start") if not whole else F.when(
         ok, non_empty(F.substring(F.col(f"{site}.text"), 1, DESCRIPTION_FROM_TEXT_CHARS))
     )
     return {
@@ -132,7 +133,7 @@ def add_stand_in_extraction(
 ) -> DataFrame:
     """Repeatable extraction for runs without a model: evidence by priority, labels and scores
     drawn from a digest of company and website, higher confidence when the own site was read."""
-    picked = evidence(site)
+    picked = evidence(site, "text" in df.schema[site].dataType.fieldNames())
     ok = F.coalesce(F.col(f"{site}.status") == "ok", F.lit(False))
     seed = F.concat_ws(
         "|", F.coalesce(non_empty("company_name"), F.lit("x")), picked["company_website"]
@@ -181,11 +182,13 @@ def evidence_record(parts: dict[str, Column], extracted: str = "extracted") -> C
     return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
 
 
-def enrichment_columns(df: DataFrame, record: Column, as_of: Column) -> DataFrame:
-    """`email` and the columns an extraction writes to the lead table."""
+def enrichment_columns(
+    df: DataFrame, record: Column, as_of: Column, name: str = "enrichment_raw"
+) -> DataFrame:
+    """`email` and the columns an extraction writes to the lead table, `record` under `name`."""
     return df.select(
         "email",
         *[F.col(f"extracted.{f}").alias(f) for f in EXTRACTED_FIELDS],
-        record.alias("enrichment_raw"),
+        record.alias(name),
         as_of.alias("enriched_at"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadloom.constants import (
     ABOUT_ANCHOR_TEXTS,
     ABOUT_PATH_PATTERNS,
+    DESCRIPTION_FROM_TEXT_CHARS,
     SOCIAL_PATTERNS,
 )
 from leadloom.functions import markup
@@ -88,20 +89,20 @@ def social_platform(url: Column | str) -> Column:
 
 
 def social_links(links: Column | str) -> Column:
-    """Map platform -> first link to it.  The links of a page are one array on its row, so the
-    first one is found in place: no explode, no shuffle."""
+    """Map platform -> first link to it, in the order of these links.  The links of a page are one
+    array on its row, so the first one is found in place: no explode, no shuffle."""
     links = col(links)
 
-    def first(pattern: str) -> Column:
-        hits = F.filter(links, lambda x: x["url"].rlike("(?i)" + pattern))
-        return F.get(hits, F.lit(0))["url"]
+    def first(platform: str, pattern: str) -> Column:
+        hit = F.get(F.filter(links, lambda x: x["url"].rlike("(?i)" + pattern)), F.lit(0))
+        return F.struct(
+            hit["pos"].alias("pos"), F.lit(platform).alias("key"), hit["url"].alias("value")
+        )
 
-    return F.map_filter(
-        F.map_from_arrays(
-            F.array(*[F.lit(p) for p in SOCIAL_PATTERNS]),
-            F.array(*[first(p) for p in SOCIAL_PATTERNS.values()]),
-        ),
-        lambda _, v: v.isNotNull(),
+    found = F.array(*[first(name, pattern) for name, pattern in SOCIAL_PATTERNS.items()])
+    ordered = F.array_sort(F.filter(found, lambda x: x["value"].isNotNull()))
+    return F.map_from_entries(
+        F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
     )
 
 
@@ -149,16 +150,48 @@ def merge_last_wins(first: Column | str, second: Column | str) -> Column:
     return merge_first_wins(second, first)
 
 
-def site_records(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One record per distinct page address, from parsed pages."""
+def fetched_pages(fetches: DataFrame, html: str = "html") -> DataFrame:
+    """Fetches (`url, status_code, content_type, error, robots_allowed`, `html`) with their outcome as
+    `status` and `error`, the body only of those that are `ok`."""
+    status = fetch_status("url", "status_code", "content_type", "error", "robots_allowed")
+    told = fetches.withColumn("status", status)
+    return told.withColumns({
+        html: F.when(F.col("status") == "ok", F.col(html)),
+        "error": F.when(~F.col("status").isin("ok", "blocked_by_robots"), F.col("status")),
+    })
+
+
+def site_records(
+    pages: DataFrame, key: str = "page_id", url: str = "url", texts: bool = True
+) -> DataFrame:
+    """One record per distinct page address, from parsed pages, of the first page of an address.
+
+    Pages that carry a `status` and `error` keep them; what could not be fetched has no content.
+    Without `texts` the record holds the start of the text only: joins then move narrow rows, and
+    `with_texts` gets the rest by `page_id` when all joins are done.
+    """
+    known = "status" in pages.columns
+    status = F.col("status") if known else F.lit("ok")
+    ok = status == "ok"
+
+    def if_ok(value: Column) -> Column:
+        return F.when(ok, value) if known else value
+
+    text = F.col("text") if texts else F.substring("text", 1, DESCRIPTION_FROM_TEXT_CHARS)
+    empty = F.expr("cast(map() as map<string,string>)")
+    socials = social_links("links")
     sites = pages.select(
         key,
         canonical_url(url).alias("url_norm"),
-        F.lit("ok").alias("status"),
-        F.col(url).alias("final_url"),
-        "title", "description", "text",
-        social_links("links").alias("social_links"),
-        about_link("links", url).alias("about_url"),
+        status.alias("status"),
+        F.when(status != "blocked_by_robots", F.col(url)).alias("final_url") if known
+        else F.col(url).alias("final_url"),
+        if_ok(F.col("title")).alias("title"),
+        if_ok(F.col("description")).alias("description"),
+        if_ok(text).alias("text" if texts else "text_start"),
+        (F.when(ok, socials).otherwise(empty) if known else socials).alias("social_links"),
+        if_ok(about_link("links", url)).alias("about_url"),
+        *(["error"] if known else []),
     )
     return first_rows(sites, "url_norm", [key])
 
@@ -166,13 +199,15 @@ def site_records(pages: DataFrame, key: str = "page_id", url: str = "url") -> Da
 def add_about_pages(
     sites: DataFrame, key: str = "page_id", counts: DataFrame | None = None
 ) -> DataFrame:
-    """Add the text of each site's about page and the profiles only found there.
+    """Add the text of each site's about page, or of records without texts its key as `about_id`, and
+    the profiles only found there.
 
     The about page is looked up among the fetched pages by address; many sites may share one.
     """
-    about = sites.select(
+    whole = "text" in sites.columns
+    about = sites.where(F.col("status") == "ok").select(
         F.col("url_norm").alias("about_norm"),
-        F.col("text").alias("about_text"),
+        F.col("text").alias("about_text") if whole else F.col(key).alias("about_id"),
         F.col("social_links").alias("_about_social"),
     )
     joined = lookup_join(
@@ -180,14 +215,50 @@ def add_about_pages(
         spread_by=[key], counts=counts,
     )
     empty = F.expr("cast(map() as map<string,string>)")
+    added = {"about_text": F.coalesce("about_text", F.lit(""))} if whole else {}
     return joined.withColumns({
-        "about_text": F.coalesce("about_text", F.lit("")),
+        **added,
         "social_links": merge_first_wins(
             "social_links", F.coalesce("_about_social", empty)
         ),
     }).drop("_about_social", "about_norm")
 
 
+# The record of a site in full, in the order in which it is written out.
+SITE_FIELDS = (
+    "status", "final_url", "title", "description", "text", "social_links", "about_url",
+    "about_text", "error",
+)
+
+
+def with_texts(
+    rows: DataFrame, pages: DataFrame, site: str = "site", key: str = "page_id"
+) -> DataFrame:
+    """`rows` whose `site` record has no texts, with the whole record: the texts of `pages` (`key`,
+    `text`) are joined by key, the last step, so each text passes one exchange."""
+    field_names = rows.schema[site].dataType.fieldNames()
+    texts = pages.select(F.col(key).alias("_text_key"), F.col("text").alias("_text"))
+    joined = rows.join(texts, F.col(f"{site}.{key}") == F.col("_text_key"), "left")
+    ok = F.col(f"{site}.status") == "ok"
+    known = {"text": F.when(ok, F.col("_text"))}
+    if "about_id" in field_names:
+        abouts = texts.toDF("_about_key", "_about")
+        joined = joined.join(abouts, F.col(f"{site}.about_id") == F.col("_about_key"), "left")
+        known["about_text"] = F.when(ok, F.coalesce("_about", F.lit("")))
+
+    def value(name: str) -> Column:
+        if name in known:
+            return known[name]
+        return F.col(f"{site}.{name}") if name in field_names else F.lit(None).cast("string")
+
+    record = F.struct(
+        F.col(f"{site}.{key}").alias(key), *[value(name).alias(name) for name in SITE_FIELDS]
+    )
+    return joined.withColumn(site, F.when(F.col(site).isNotNull(), record)).drop(
+        "_text_key", "_text", "_about_key", "_about"
+    )
+
+
 def website_counts(leads: DataFrame, website: str = "website_csv") -> DataFrame:
     """Leads per website address (`url_norm, n`): one narrow scan, combined map-side."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 # Importing the modules registers their queries.
 from leadloom.plans import (  # noqa: F401
     enrichment_queries,
+    fetch_queries,
     ingest_queries,
     lead_queries,
     page_queries,

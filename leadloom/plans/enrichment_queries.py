@@ -11,6 +11,7 @@ from leadloom.operators.extraction import (
     add_stand_in_extraction,
     is_answer,
 )
+from leadloom.operators.pages import with_texts
 from leadloom.operators.search import add_prompt, add_search_plan, join_results, stand_in_results
 from leadloom.operators.upsert import add_missing_columns
 from leadloom.plans.enrichment import (
@@ -75,11 +76,16 @@ searched as (
 
 
 def leads_with_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_sites(profile_leads(lead_table(spark, sf_dir)), parsed_sites(spark, sf_dir))
+    """Leads with the record of their site, texts left out."""
+    sites, _ = parsed_sites(spark, sf_dir)
+    return attach_sites(profile_leads(lead_table(spark, sf_dir)), sites)
 
 
-def searched_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_search(leads_with_sites(spark, sf_dir))
+def searched_leads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(leads with narrow site records and search results, pages with texts)."""
+    sites, pages = parsed_sites(spark, sf_dir)
+    located = attach_sites(profile_leads(lead_table(spark, sf_dir)), sites)
+    return attach_search(located), pages
 
 
 @query(with_ctes(BASE, """
@@ -133,7 +139,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _json_results_sql(column: str) -> str:
+def json_results_sql(column: str) -> str:
     item = " || ',\n' || ".join(
         f"'    \"{f}\": ' || to_json(r.{f})::varchar" for f in ("title", "link", "snippet")
     )
@@ -143,7 +149,7 @@ def _json_results_sql(column: str) -> str:
     )
 
 
-_ANSWER_TEXT = PROMPT["answer"].replace("<TAXONOMY>", str(TAXONOMY))
+ANSWER_TEXT = PROMPT["answer"].replace("<TAXONOMY>", str(TAXONOMY))
 
 
 @query(with_ctes(PLANNED, f"""
@@ -165,14 +171,15 @@ select email, concat_ws('\n', {quoted(PROMPT["context"])},
  || '\n\n' || case when len(company_results) = 0 and len(person_results) = 0
   then {quoted(PROMPT["snippets_absent"])}
   else {quoted(PROMPT["snippets"])} || '\n  Company results:\n'
-   || {_json_results_sql("company_results")} || '\n  Person results:\n'
-   || {_json_results_sql("person_results")} end
- || '\n\n' || {quoted(_ANSWER_TEXT)} as prompt
+   || {json_results_sql("company_results")} || '\n  Person results:\n'
+   || {json_results_sql("person_results")} end
+ || '\n\n' || {quoted(ANSWER_TEXT)} as prompt
 from searched
 """))
 def prompt_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = add_missing_columns(searched_leads(spark, sf_dir), {"notes": "string"})
-    return add_prompt(leads, TAXONOMY).select("email", "prompt")
+    leads, pages = searched_leads(spark, sf_dir)
+    known = add_missing_columns(with_texts(leads, pages), {"notes": "string"})
+    return add_prompt(known, TAXONOMY).select("email", "prompt")
 
 
 # Model answers of all kinds: good, off the vocabulary, numbers as text, out of range, missing keys,
@@ -278,14 +285,15 @@ select email, company_website, company_description, company_linkedin, person_lin
 from picked
 """))
 def evidence_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = add_stand_in_extraction(searched_leads(spark, sf_dir), TAXONOMY)
+    leads, _ = searched_leads(spark, sf_dir)
+    picked = add_stand_in_extraction(leads, TAXONOMY)
     return picked.select("email", *[f"extracted.{c}" for c in (
         "company_website", "company_description", "company_linkedin", "person_linkedin",
         "industry", "company_size", "industry_confidence", "relevance_score",
     )])
 
 
-def _json(value: str) -> str:
+def json_text(value: str) -> str:
     return f"coalesce(to_json({value})::varchar, 'null')"
 
 
@@ -295,31 +303,32 @@ recorded as (
   '{{"snippets":{{"company_results":' || to_json(company_results)::varchar
   || ',"person_results":' || to_json(person_results)::varchar || '}}'
   || case when scraped then ',"scraped":{{"page_id":' || page_id
-   || ',"status":"ok","final_url":' || {_json("final_url")} || ',"title":' || {_json("title")}
-   || ',"description":' || {_json("description")} || ',"text":' || {_json("text")}
+   || ',"status":"ok","final_url":' || {json_text("final_url")} || ',"title":' || {json_text("title")}
+   || ',"description":' || {json_text("description")} || ',"text":' || {json_text("text")}
    || ',"social_links":{{' || coalesce((
      select string_agg('"' || platform || '":"' || url || '"', ',' order by platform)
      from socials where socials.page_id = picked.page_id), '')
-   || '}},"about_url":' || {_json("about_url")} || ',"about_text":null,"error":null}}' else '' end
-  || ',"profile":{{"country":' || {_json("country")} || ',"country_code":'
-  || {_json("country_code")} || ',"search_locale":' || {_json("search_locale")}
-  || ',"language":' || {_json("language")} || '}}'
-  || ',"search_plan":{{"company_query":' || {_json("company_query")} || ',"person_query":'
-  || {_json("person_query")} || ',"params":{{' || concat_ws(',',
+   || '}},"about_url":' || {json_text("about_url")} || ',"about_text":null,"error":null}}' else '' end
+  || ',"profile":{{"country":' || {json_text("country")} || ',"country_code":'
+  || {json_text("country_code")} || ',"search_locale":' || {json_text("search_locale")}
+  || ',"language":' || {json_text("language")} || '}}'
+  || ',"search_plan":{{"company_query":' || {json_text("company_query")} || ',"person_query":'
+  || {json_text("person_query")} || ',"params":{{' || concat_ws(',',
    '"gl":"' || search_locale || '"', '"hl":"' || language || '"') || '}}}}'
-  || ',"extracted_fields":{{"industry":' || {_json("picked_industry")}
+  || ',"extracted_fields":{{"industry":' || {json_text("picked_industry")}
   || ',"industry_confidence":' || industry_confidence || ',"sub_category":null,"company_size":'
-  || {_json("company_size")} || ',"relevance_score":' || picked_relevance
-  || ',"company_website":' || {_json("company_website")} || ',"company_linkedin":'
-  || {_json("company_linkedin")} || ',"person_linkedin":' || {_json("person_linkedin")}
-  || ',"company_description":' || {_json("company_description")} || '}}}}' as enrichment_raw
+  || {json_text("company_size")} || ',"relevance_score":' || picked_relevance
+  || ',"company_website":' || {json_text("company_website")} || ',"company_linkedin":'
+  || {json_text("company_linkedin")} || ',"person_linkedin":' || {json_text("person_linkedin")}
+  || ',"company_description":' || {json_text("company_description")} || '}}}}' as enrichment_raw
  from picked
 )"""
 
 
 @query(with_ctes(RECORDED, "select email, enrichment_raw from recorded"))
 def evidence_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = add_stand_in_extraction(searched_leads(spark, sf_dir), TAXONOMY)
+    leads, pages = searched_leads(spark, sf_dir)
+    picked = with_texts(add_stand_in_extraction(leads, TAXONOMY), pages)
     return picked.select("email", enrichment_record().alias("enrichment_raw"))
 
 
@@ -339,7 +348,8 @@ def enrichment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "leads")
     write_snapshot(profile_leads(lead_table(spark, sf_dir)).drop("language", "profile"), folder)
     stored = read_table(spark, folder, columns)
-    enriched = enrich_leads(stored, parsed_sites(spark, sf_dir), TAXONOMY, as_of())
+    sites, pages = parsed_sites(spark, sf_dir)
+    enriched = enrich_leads(stored, sites, TAXONOMY, as_of(), pages=pages)
     return enriched.select(
         "email", "industry", "relevance_score", "company_website",
         F.length("enrichment_raw").cast("bigint").alias("evidence_chars"),

@@ -32,6 +32,8 @@ from leadloom.plans.sql import (
     quoted_list,
     with_ctes,
 )
+from leadloom.session import shared_folder
+from leadloom.sources.tables import write_snapshot
 
 USER_AGENT = "LeadLoomBot/1.0"
 
@@ -82,7 +84,7 @@ def _unescaped_sql(column: str) -> str:
 
 SITES = f"""{LINKS},
 socials as (
- select page_id, platform, arg_min(url, pos) as url
+ select page_id, platform, arg_min(url, pos) as url, min(pos) as pos
  from (select *, {_PLATFORM} as platform from links) where platform is not null
  group by page_id, platform
 ),
@@ -121,8 +123,12 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, PAGES_MARKED)
 
 
-def parsed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_records(parse_pages(marked_pages(spark, sf_dir)))
+def parsed_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(site records without texts, stored pages with theirs): pages are parsed once and written."""
+    folder = shared_folder(spark, "pages")
+    write_snapshot(parse_pages(marked_pages(spark, sf_dir)), folder)
+    pages = spark.read.parquet(folder)
+    return site_records(pages, texts=False), pages
 
 
 @query(with_ctes(SITES, "select page_id, title, description, text from native"))
@@ -184,7 +190,7 @@ def page_text_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same pages plus, for each, the about page it links to.
-_WITH_ABOUT_PAGES = f"""
+WITH_ABOUT_PAGES = f"""
 select page_id, url, html from ({PAGES_MARKED}) as pages_marked
 union all
 select page_id + 1000000000 as page_id,
@@ -197,8 +203,13 @@ where page_id % 5 = 0
 """
 
 
+def with_spark_names(text: str) -> str:
+    """The text with the one function that the two dialects name differently."""
+    return text.replace("strpos(substring(url, 9), '/')", "locate('/', substring(url, 9))")
+
+
 @query(f"""
-with {SITES.replace(PAGES_MARKED, _WITH_ABOUT_PAGES.replace("substring(", "substr("))},
+with {SITES.replace(PAGES_MARKED, WITH_ABOUT_PAGES)},
 merged as (
  select s.page_id, a.page_id as about_id, s.about_url, coalesce(a.text, '') as about_text
  from sites s left join sites a on a.url_norm = {canonical_url_sql("s.about_url")}
@@ -216,10 +227,7 @@ from merged m left join kept using (page_id) group by m.page_id, about_url, abou
 """)
 def site_with_about(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with the text of their about page; profiles of the home page win."""
-    pages = derived(
-        spark, sf_dir, _WITH_ABOUT_PAGES.replace("strpos(substring(url, 9), '/')",
-                                                 "locate('/', substring(url, 9))"), ("pages",)
-    )
+    pages = derived(spark, sf_dir, with_spark_names(WITH_ABOUT_PAGES), ("pages",))
     sites = add_about_pages(site_records(parse_pages(pages)))
     return sites.select(
         "page_id", "about_url", "about_text", entries_text("social_links").alias("social_links")

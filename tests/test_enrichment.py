@@ -13,6 +13,14 @@ from leadloom.operators.extraction import (
     add_extraction,
     add_stand_in_extraction,
 )
+from leadloom.operators.pages import (
+    SITE_FIELDS,
+    add_about_pages,
+    fetched_pages,
+    parse_pages,
+    site_records,
+    with_texts,
+)
 from leadloom.operators.search import (
     add_prompt,
     add_search_plan,
@@ -20,6 +28,7 @@ from leadloom.operators.search import (
     quoted_term,
     stand_in_results,
 )
+from leadloom.plans.catalogue import QUERIES
 from leadloom.plans.enrichment import enrich_leads, enrichment_record
 
 TAXONOMY = list(DEFAULT_TAXONOMY)
@@ -258,3 +267,64 @@ def test_enrichment_run_updates_the_cohort_only(spark):
     assert found["b@x.dz"].company_website is None
     everyone = enrich_leads(stored, sites, TAXONOMY, now, run_type="full")
     assert everyone.where("updated_at is null").count() == 0
+
+
+def test_failed_fetches_and_about_pages(spark):
+    """Every outcome on its way into the site record, narrow and whole; answers written by hand."""
+    home = "<title>T</title><body>Home <a href='/about'>About</a><a href='https://x.com/h'>X</a>"
+    about = (
+        "<body>About us <a href='https://x.com/late'>X</a>"
+        "<a href='https://www.instagram.com/i'>I</a>"
+    )
+    rows = [
+        (1, "https://a.in", home, 200, "text/html", None, True),
+        (2, "https://a.in/about", about, 200, "text/html", None, True),
+        (3, "https://b.in", home, 404, "text/html", None, True),
+        (4, "https://c.in", home, None, None, "timeout", True),
+        (5, "https://d.in", home, None, None, "ConnectError", None),
+        (6, "https://e.in", home, 200, "text/html", None, False),
+        (7, "https://f.in", "%PDF", 200, "application/pdf", None, True),
+        (8, "https://g.in", home, 200, "text/html", None, True),
+        (9, "https://g.in/about", about, 500, "text/html", None, True),
+        (10, "https://a.in/", "again", 200, "text/html", None, True),
+    ]
+    fetches = spark.createDataFrame(
+        rows, "page_id long, url string, html string, status_code int, content_type string, "
+        "error string, robots_allowed boolean"
+    )
+    told = fetched_pages(fetches)
+    pages = parse_pages(told).join(told.select("page_id", "status", "error"), "page_id")
+    narrow = add_about_pages(site_records(pages, texts=False))
+    assert "text" not in narrow.columns and "about_text" not in narrow.columns
+    whole = with_texts(narrow.select(F.struct("*").alias("site")), pages).select("site.*")
+    assert whole.columns == ["page_id", *SITE_FIELDS]
+    found = {r.page_id: r for r in whole.collect()}
+    assert {i: (r.status, r.error) for i, r in found.items()} == {
+        1: ("ok", None), 2: ("ok", None), 3: ("http_error", "http_error"),
+        4: ("timeout", "timeout"), 5: ("network_error", "network_error"),
+        6: ("blocked_by_robots", None), 7: ("not_html", "not_html"), 8: ("ok", None),
+        9: ("http_error", "http_error"),
+    }
+    first = found[1]
+    assert (first.title, first.text, first.about_url) == (
+        "T", "Home About X", "https://a.in/about")
+    assert first.about_text == "About us X I"
+    assert list(first.social_links.items()) == [
+        ("twitter", "https://x.com/h"), ("instagram", "https://www.instagram.com/i")]
+    assert found[8].about_text == "" and found[8].about_url == "https://g.in/about"
+    for i in (3, 4, 5, 6, 7, 9):
+        r = found[i]
+        assert (r.title, r.text, r.about_url, r.about_text, r.social_links) == (
+            None, None, None, None, {})
+    assert found[6].final_url is None and found[3].final_url == "https://b.in"
+
+
+def test_texts_are_joined_last(spark):
+    """Whole texts are read by one scan, behind all other joins."""
+    plan = QUERIES["prompt_column"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan" in line and "text:string" in line]
+    assert len(scans) == 1
+    narrow = QUERIES["page_join"](spark, "/root/testdata/sf0.001")
+    text = narrow._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in text.splitlines() if "FileScan" in x and "text:string" in x]
