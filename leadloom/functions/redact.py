@@ -62,5 +62,93 @@ def mask_text(text: str | None, keys: frozenset[str]) -> str | None:
     """The same for JSON text; text that is no JSON is passed on."""
     try:
         return json.dumps(mask_value(json.loads(text), keys), ensure_ascii=False)
+    except RecursionError:
+        return mask_nested_text(text, keys)
     except (TypeError, ValueError):
         return text
+
+
+_TOKEN = re.compile(r'[ \t\n\r]*("(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s"\[\]{},:]+)', re.DOTALL)
+_END = re.compile(r"[ \t\n\r]*$")
+
+
+def mask_nested_text(text: str, keys: frozenset[str]) -> str:
+    """`mask_text` for any depth: containers that are open stand on a stack of their own."""
+    try:
+        return "".join(_written(_parsed(text), keys))
+    except ValueError:
+        return text
+
+
+def _parsed(text: str):
+    """The value of a JSON text: scalars, lists and dicts, the last of repeated keys counting."""
+    stack: list[tuple[list | dict, str | None]] = []  # containers, the key whose value is next
+    place, wanted, done = 0, "value", None
+    while not _END.match(text, place):
+        token = _TOKEN.match(text, place)
+        if not token:
+            raise ValueError("no JSON")
+        place, token = token.end(), token[1]
+        closes = token in "]}" and stack and wanted in ("first", "next") and (
+            (token == "}") == isinstance(stack[-1][0], dict)
+        )
+        if closes:
+            value = stack.pop()[0]
+        elif wanted == "next":
+            if token != "," or not stack:
+                raise ValueError("no JSON")
+            wanted = "key" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        elif wanted == "colon":
+            if token != ":":
+                raise ValueError("no JSON")
+            wanted = "value"
+            continue
+        elif stack and isinstance(stack[-1][0], dict) and wanted in ("first", "key"):
+            if not token.startswith('"'):
+                raise ValueError("no JSON")
+            stack[-1] = stack[-1][0], json.loads(token)
+            wanted = "colon"
+            continue
+        elif token in "[{":
+            stack.append(([] if token == "[" else {}, None))
+            wanted = "first"
+            continue
+        else:
+            value = json.loads(token)
+        wanted = "next"
+        if not stack:
+            done = (value,)
+        elif isinstance(stack[-1][0], list):
+            stack[-1][0].append(value)
+        else:
+            stack[-1][0][stack[-1][1]] = value
+    if stack or done is None:
+        raise ValueError("no JSON")
+    return done[0]
+
+
+def _written(value, keys: frozenset[str]):
+    """Pieces of the text of a value, secret keys masked.  The stack holds what is still to write:
+    text as it is, values in a list of one."""
+    todo: list = [[value]]
+    while todo:
+        piece = todo.pop()
+        if isinstance(piece, str):
+            yield piece
+            continue
+        (value,) = piece
+        if isinstance(value, dict):
+            parts: list = ["{"]
+            for i, (key, inner) in enumerate(value.items()):
+                parts += [", "] * (i > 0) + [json.dumps(key, ensure_ascii=False) + ": "]
+                parts.append([MASK_TEXT if key.lower() in keys else inner])
+            parts.append("}")
+        elif isinstance(value, list):
+            parts = ["["]
+            for i, inner in enumerate(value):
+                parts += [", "] * (i > 0) + [[inner]]
+            parts.append("]")
+        else:
+            parts = [json.dumps(value, ensure_ascii=False)]
+        todo += reversed(parts)

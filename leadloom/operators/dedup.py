@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.operators.joins import NULL_SPLITS, ROWS_PER_TASK
+# Groups that the rows of one key are dealt to before they are ranked.
+SALTS = 1024
 
 
 def first_rows(df: DataFrame, key: str = "email", order: list[str] | None = None) -> DataFrame:
@@ -28,47 +29,41 @@ def mark_duplicates(
     order: list[str],
     key: str = "email",
     stored: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Every row with its outcome (`new`, `duplicate`, `skipped`), `is_duplicate` and
     `duplicate_of` (the e-mail it repeats).
 
-    The first position of each key comes from a map-side combined aggregate.  Keys with more than
-    `rows_per_task` rows, at most `rows / rows_per_task` of them, are broadcast; their rows and rows
-    without a key stay spread over all tasks.  The other keys are joined on the key.  `stored` holds
-    known keys; a key that is stored makes all its rows duplicates.
+    The input is read once.  Rows of a key are dealt to `salts` groups by a hash of their position,
+    and only the first row of each group can be the first of the key, so the second step ranks at
+    most `salts` rows of a key, whatever share of all rows it holds; all other rows, and those
+    without a key, stay spread.  `stored` holds known keys; a key that is stored makes all its rows
+    duplicates.
     """
-    position = F.struct(*order)
-    firsts = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(position).alias("_first"), F.count("*").alias("_n"))
-    )
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    within = Window.partitionBy(key, salt).orderBy(*order)
+    ahead = F.col(key).isNotNull() & (F.row_number().over(within) == 1)
+    led = df.withColumn("_ahead", ahead)
+    across = Window.partitionBy(
+        F.when(F.col("_ahead"), F.col(key)), F.when(~F.col("_ahead"), F.xxhash64(*order))
+    ).orderBy(*order)
+    rows = led.withColumn("_new", F.col("_ahead") & (F.row_number().over(across) == 1))
     if stored is not None:
-        # a stored key keeps its row count but has no first row here
-        known = stored.select(key).distinct().withColumn("_known", F.lit(True))
-        firsts = firsts.join(known, key, "left").withColumn(
-            "_first", F.when(F.col("_known").isNull(), F.col("_first"))
+        known = stored.select(F.col(key).alias("_key")).distinct().withColumns({
+            "_split": F.lit(0).cast("long"), "_known": F.lit(True),
+        })
+        probe = rows.withColumns({
+            "_key": F.when(F.col("_new"), F.col(key)),
+            "_split": F.when(F.col("_new"), 0).otherwise(F.xxhash64(*order)).cast("long"),
+        })
+        rows = probe.join(known, ["_key", "_split"], "left").withColumn(
+            "_new", F.col("_new") & F.col("_known").isNull()
         )
-    hot = firsts.where(F.col("_n") > rows_per_task).select(
-        key, F.struct("_first").alias("_hot")
-    )
-    rest = firsts.where(F.col("_n") <= rows_per_task).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_split"), F.col("_first")
-    )
-    settled = F.col(key).isNull() | F.col("_hot").isNotNull()
-    rows = df.join(F.broadcast(hot), key, "left").withColumns({
-        "_key": F.when(~settled, F.col(key)),
-        "_split": F.when(settled, F.pmod(F.xxhash64(*order), F.lit(NULL_SPLITS)).cast("int"))
-        .otherwise(0),
-    })
-    placed = rows.join(rest, ["_key", "_split"], "left")
-    is_first = F.coalesce(
-        position == F.coalesce(F.col("_hot._first"), F.col("_first")), F.lit(False)
+    outcome = F.when(F.col(key).isNull(), "skipped").when(F.col("_new"), "new").otherwise(
+        "duplicate"
     )
-    outcome = F.when(F.col(key).isNull(), "skipped").when(is_first, "new").otherwise("duplicate")
     return (
-        placed.withColumn("outcome", outcome)
+        rows.withColumn("outcome", outcome)
         .withColumn("is_duplicate", F.col("outcome") == "duplicate")
         .withColumn("duplicate_of", F.when(F.col("outcome") == "duplicate", F.col(key)))
         .select(*df.columns, "outcome", "is_duplicate", "duplicate_of")

@@ -10,6 +10,7 @@ from leadloom.plans import (  # noqa: F401
     lead_queries,
     page_queries,
     run_queries,
+    store_queries,
     upload_queries,
 )
 from leadloom.plans.registry import ORACLES, QUERIES

@@ -32,6 +32,8 @@ from leadloom.plans.sql import (
     quoted,
     with_ctes,
 )
+from leadloom.session import shared_folder
+from leadloom.sources.tables import BUCKETS, read_bucketed, write_bucketed
 
 
 @query(with_ctes(LEAD_ROWS, """
@@ -238,8 +240,11 @@ select row_id, source_file, email from incoming
 where email is not null and place = 1 and not known
 """))
 def new_leads_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored e-mails are dealt to buckets once; only the incoming rows move."""
     rows = lead_rows(spark, sf_dir).select("row_id", "source_file", "email")
-    return new_leads(rows, ORDER, _stored_leads(spark, sf_dir))
+    folder = shared_folder(spark, "bucketed-emails")
+    write_bucketed(_stored_leads(spark, sf_dir), folder, "email", BUCKETS)
+    return new_leads(rows, ORDER, read_bucketed(spark, folder, "email", BUCKETS))
 
 
 @query(with_ctes(_OUTCOME, """

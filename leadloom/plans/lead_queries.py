@@ -26,7 +26,14 @@ from leadloom.plans.leads import lead_table
 from leadloom.plans.registry import query, time_text
 from leadloom.plans.sql import GEO, LEADS, QUALITY, quoted_list, with_ctes
 from leadloom.session import shared_folder
-from leadloom.sources.tables import LEAD_COLUMNS, export_rows, write_export
+from leadloom.sources.tables import (
+    BUCKETS,
+    LEAD_COLUMNS,
+    export_rows,
+    read_bucketed,
+    write_bucketed,
+    write_export,
+)
 
 
 def as_of():
@@ -425,9 +432,13 @@ select email, id, case when enriched_at is null then 'Packaging' else industry e
 from profiled
 """))
 def upsert_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes for the leads not enriched yet are written over the stored table."""
-    stored = add_missing_columns(
-        lead_table(spark, sf_dir).withColumn("updated_at", F.col("created_at")),
+    """Changes for the leads not enriched yet are written over the stored table, which is dealt to
+    buckets by e-mail: only the changes move."""
+    folder = shared_folder(spark, "bucketed-leads")
+    leads = lead_table(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    write_bucketed(leads, folder, "email", BUCKETS)
+    stored = read_bucketed(
+        spark, folder, "email", BUCKETS,
         {c: LEAD_COLUMNS[c] for c in ("company_size", "company_website")},
     )
     changes = needs_enrichment(stored).select(

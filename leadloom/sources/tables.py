@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.constants import EXPORT_COLUMNS
 from leadloom.operators.upsert import add_missing_columns
 
+# Buckets of the lead table: set once for a table, by the size that it is going to have.
+BUCKETS = 16
 # Columns of the lead table and their types, in order.
 LEAD_COLUMNS = {
     "id": "bigint", "name": "string", "email": "string", "phone": "string",
@@ -43,6 +47,30 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A new version of a table in a new folder, dealt to `buckets` files by the key once and for all:
+    joins on the key then leave its rows where they are."""
+    spark, name = df.sparkSession, f"leadloom_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    dealt.option("path", path).mode("errorifexists").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # its files stay, they lie in a folder of their own
+
+
+def read_bucketed(
+    spark: SparkSession, path: str, key: str, buckets: int, columns: dict[str, str] | None = None
+) -> DataFrame:
+    """The rows that `write_bucketed` wrote with the same key and number of buckets."""
+    name = f"leadloom_{uuid.uuid4().hex}"
+    fields = spark.read.parquet(path).schema
+    spark.sql(
+        f"create table {name} ({fields.toDDL()}) using parquet clustered by (`{key}`) "
+        f"sorted by (`{key}`) into {int(buckets)} buckets location '{path}'"
+    )
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the plan knows the files and their buckets by now
+    return add_missing_columns(table, columns) if columns else table
+
+
 def export_rows(df: DataFrame) -> DataFrame:
     """The export columns, newest first.  The key ends the sort order, so rows of one time stamp
     are still spread over the sort's range partitions."""

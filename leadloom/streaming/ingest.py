@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from leadloom.operators.ingest import clean_leads, ingest_outcome, new_leads
 from leadloom.sources.files import ROW_ORDER, read_csv_files, readable_path
@@ -105,6 +108,33 @@ def first_arrivals_within(
     )
 
 
+def first_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row per key over the whole stream: of the batch that brings a key first, the row that
+    comes first by `order`; rows without a key are left out.
+
+    What is kept of a key is a mark in the state store, so a batch looks up its own keys and reads
+    nothing of the batches before it.
+    """
+    schema = rows.schema
+    known = StructType([StructField("seen", BooleanType())])
+
+    def step(group, frames, state):
+        best = None
+        for frame in frames:
+            if not state.exists and len(frame):
+                first = frame.sort_values(order, kind="stable").head(1)
+                best = first if best is None else (
+                    pd.concat([best, first]).sort_values(order, kind="stable").head(1)
+                )
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    return rows.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
+        step, schema, known, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 class ProgressRows(StreamingQueryListener):
     """Keeps the row counts of finished batches for a progress display."""
 

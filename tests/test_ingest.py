@@ -26,6 +26,7 @@ from leadloom.operators.ingest import (
     with_upload_id,
 )
 from leadloom.operators.joins import lookup_join
+from leadloom.operators.upsert import upsert_by_key
 from leadloom.sources.files import (
     ROW_ORDER,
     list_files,
@@ -35,6 +36,7 @@ from leadloom.sources.files import (
     split_header,
     unique_headers,
 )
+from leadloom.sources.tables import read_bucketed, write_bucketed
 
 
 def test_header_mapping():
@@ -285,10 +287,10 @@ def _hot_rows(spark, n=6000):
     )
 
 
-@pytest.mark.parametrize("rows_per_task", [50, 1_000_000])
-def test_marks_do_not_depend_on_splits(spark, rows_per_task):
+@pytest.mark.parametrize("salts", [1, 1024])
+def test_marks_do_not_depend_on_splits(spark, salts):
     rows = _hot_rows(spark).repartition(7)
-    marked = mark_duplicates(rows, ["source_file", "row_id"], rows_per_task=rows_per_task)
+    marked = mark_duplicates(rows, ["source_file", "row_id"], salts=salts)
     assert marked.count() == 6000
     new = {(r.row_id, r.email) for r in marked.where("outcome = 'new'").collect()}
     firsts = {}
@@ -312,7 +314,7 @@ def test_hot_address_stays_small_before_the_shuffle(spark):
 def test_marks_against_stored(spark):
     rows = _hot_rows(spark)
     stored = spark.sql("select 'hot@x.com' email")
-    marked = mark_duplicates(rows, ["row_id"], stored=stored, rows_per_task=100)
+    marked = mark_duplicates(rows, ["row_id"], stored=stored, salts=8)
     assert marked.where("email = 'hot@x.com' and outcome <> 'duplicate'").count() == 0
 
 
@@ -338,3 +340,32 @@ def test_upload_ids(spark):
 
 def test_header_key_column(values):
     assert values(header_key, ["E-Mail ID", "PIN_Code", "Ünï"]) == ["emailid", "pincode", "n"]
+
+
+def test_joins_leave_bucketed_rows_where_they_are(spark, tmp_path):
+    """The stored side is scanned and joined without an exchange; only the changes move."""
+    rows = spark.range(500).select(
+        F.concat("id", F.lit("@x.in")).alias("email"), F.col("id").alias("n"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    path = f"{tmp_path}/leads"
+    write_bucketed(rows, path, "email", 16)
+    changes = rows.where("n % 7 = 0").select("email", (F.col("n") + 1000).alias("n"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = read_bucketed(spark, path, "email", 16, {"late": "string"})
+        updated = upsert_by_key(stored, changes, F.expr("timestamp '2024-02-01 00:00:00'"))
+        fresh = new_leads(changes, ["n"], stored)
+        for frame, exchanges in ((updated, 1), (fresh, 2)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= exchanges, plan
+            branch = next(
+                line for line in plan.splitlines() if "FileScan" in line and "Bucketed: true" in line
+            )
+            assert branch
+        found = {r.email: r.n for r in updated.collect()}
+        assert found == {f"{i}@x.in": i + 1000 * (i % 7 == 0) for i in range(500)}
+        assert fresh.count() == 0 and "late" in updated.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -83,13 +83,13 @@ def test_window_counts(spark, kind):
     assert {r.id: r.hits for r in found} == expected
 
 
-def test_registered_hot_key_query(spark):
-    from leadloom.plans.catalogue import QUERIES
-
-    sf_dir = "/root/testdata/sf0.001"
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+def test_admission_of_keys_that_are_always_busy(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        "event_type", "event_id", "ts"
+    )
+    rows = events.select(
         "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"
     )
-    expected = by_the_rule([tuple(r) for r in events.collect()], 5, 3_600_000_000)
-    found = QUERIES["throttle_hot_keys"](spark, sf_dir).collect()
+    expected = by_the_rule([tuple(r) for r in rows.collect()], 5, 3_600_000_000)
+    found = admit_hits(events, "event_type", "ts", "event_id", 5, 3600).collect()
     assert {r.event_id: r.admitted for r in found} == expected
