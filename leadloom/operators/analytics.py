@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.constants import FACET_COLUMNS, LIST_COLUMNS, RISKY_STATUSES, SORT_COLUMNS
@@ -35,10 +35,14 @@ def filter_leads(df: DataFrame, search: str | None = None, **equals: str | None)
 def sort_leads(
     df: DataFrame, sort: str = "created_at", order: str = "desc", tie_break: str = "id"
 ) -> DataFrame:
+    return df.orderBy(*order_columns(sort, order, tie_break))
+
+
+def order_columns(sort: str, order: str, tie_break: str = "id") -> list[Column]:
     if sort not in SORT_COLUMNS or order not in ("asc", "desc"):
         raise ValueError(f"cannot sort by {sort} {order}")
     column = F.col(sort).asc_nulls_first() if order == "asc" else F.col(sort).desc_nulls_last()
-    return df.orderBy(column, F.col(tie_break))
+    return [column, F.col(tie_break)]
 
 
 def lead_page(

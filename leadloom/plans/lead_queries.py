@@ -26,6 +26,7 @@ from leadloom.plans.leads import lead_table
 from leadloom.plans.registry import query, time_text
 from leadloom.plans.sql import GEO, LEADS, QUALITY, quoted_list, with_ctes
 from leadloom.session import shared_folder
+from leadloom.operators.snapshots import search_stored, stored_page, write_zones
 from leadloom.sources.tables import (
     BUCKETS,
     LEAD_COLUMNS,
@@ -367,6 +368,44 @@ def lead_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.withColumn("created_at", time_text("created_at"))
 
 
+def _stored_list(spark: SparkSession, sf_dir: str) -> str:
+    """The leads by falling relevance, stored in zones."""
+    folder = shared_folder(spark, "lead-list")
+    write_zones(lead_table(spark, sf_dir), folder, zones=32, sort="relevance_score")
+    return folder
+
+
+@query(with_ctes(LEADS, f"""
+select {", ".join(_LIST)}, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at, total
+from (
+ select *, count(*) over () as total,
+  row_number() over (order by relevance_score desc nulls last, id) as place
+ from leads
+) where place between 51 and 75 or place > (total - 1) // 25 * 25
+"""))
+def lead_pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third and the last page of the stored list: each reads the zones that it lies in."""
+    folder = _stored_list(spark, sf_dir)
+    columns = (*_LIST, "created_at")
+    third = stored_page(spark, folder, 3, sort="relevance_score", columns=columns)
+    last = (third.first().total - 1) // 25 + 1
+    pages = third.unionByName(
+        stored_page(spark, folder, last, sort="relevance_score", columns=columns)
+    )
+    return pages.withColumn("created_at", time_text("created_at"))
+
+
+@query(with_ctes(LEADS, f"""
+select {", ".join(_LIST)} from leads
+where (name ilike '%customer#%123%' or email ilike '%customer#%123%'
+  or company_name ilike '%customer#%123%') and email_status = 'valid'
+"""))
+def lead_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of a search with a wildcard, by the index of letter runs."""
+    folder = _stored_list(spark, sf_dir)
+    return search_stored(spark, folder, " customer#%123 ", email_status="valid").select(*_LIST)
+
+
 _DETAIL = [*_LIST, "pincode", "website_csv", "email_sub_status", "email_activity_score"]
 
 

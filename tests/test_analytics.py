@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from leadloom.constants import DEFAULT_TAXONOMY, EXPORT_COLUMNS, LIST_COLUMNS
 from leadloom.operators import analytics, runlog
+from leadloom.operators.analytics import filter_leads, sort_leads
+from leadloom.operators.snapshots import (
+    search_stored,
+    stored_page,
+    term_grams,
+    write_zones,
+    zones_with,
+)
 from leadloom.operators.taxonomy import (
     clean_taxonomy,
     default_taxonomy,
@@ -281,3 +289,35 @@ def test_deep_masking(spark):
     assert runlog.mask_json_column(rows, "request").first().request == (
         '{"a": {"token": "***REDACTED***"}}'
     )
+
+
+def test_stored_pages_and_search(spark, tmp_path):
+    """Pages of any depth read a few zones; the index names zones and loses no hit."""
+    rows = spark.range(3000).select(
+        "id", F.concat(F.lit("Name "), F.col("id") * 7919 % 3000).alias("name"),
+        F.when(F.col("id") % 5 > 0, F.concat("id", F.lit("_x%@Mail.in"))).alias("email"),
+        F.when(F.col("id") % 9 == 0, "ÄB Co").alias("company_name"),
+        F.when(F.col("id") % 4 > 0, F.col("id") % 10 / 10).alias("relevance_score"),
+        F.when(F.col("id") % 2 == 0, "x").alias("city"),
+    )
+    path = f"{tmp_path}/list"
+    write_zones(rows, path, zones=40, sort="relevance_score")
+    columns = ("id", "relevance_score")
+    every = [r.id for r in sort_leads(rows, "relevance_score").select("id").collect()]
+    counts = {r.zone: (r.n, r.before) for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert sum(n for n, _ in counts.values()) == 3000 and len(counts) > 20
+    for page in (1, 2, 60, 119, 120):
+        frame = stored_page(spark, path, page, 25, sort="relevance_score", columns=columns)
+        found = frame.collect()
+        assert [r.id for r in found] == every[(page - 1) * 25 : page * 25]
+        assert {r.total for r in found} == {3000}
+        start = (page - 1) * 25
+        read = [n for n, before in counts.values() if before < start + 25 and before + n > start]
+        assert sum(read) < 400, (page, read)
+    assert stored_page(spark, path, 121, 25, sort="relevance_score", columns=columns).count() == 0
+    for term in ("name 123", "12%_x%@mail", " 99", "äb c", "a_l.in", "%", "nothing like it", "\\x"):
+        want = {r.id for r in filter_leads(rows, search=term, city="x").select("id").collect()}
+        hits = search_stored(spark, path, term, city="x")
+        assert {r.id for r in hits.select("id").collect()} == want, term
+    assert zones_with(spark, path, "name 2997") and len(zones_with(spark, path, "name 2997")) < 5
+    assert term_grams(" ab%cdef_gh ") == ["cde", "def"] and zones_with(spark, path, "a%b") is None
