@@ -209,7 +209,9 @@ def redact_log_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_ctes(f"run_log as ({RUN_LOG})", """
 select event_id, run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') as ts, event, stage, email,
- '***REDACTED***' as token
+ '***REDACTED***' as token, '***REDACTED***' as list_of_secrets, '***REDACTED***' as nested_secret,
+ 'n' || event_id as note, '***REDACTED***' as header_secret, stage as header_plain,
+ '***REDACTED***' as second_secret, event_id % 10 as second_value
 from run_log
 """))
 def runlog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +219,20 @@ def runlog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = run_log(spark, sf_dir).select(
         iso_utc("ts").alias("ts"), "run_id", "event", "stage", "email", "event_id",
         F.concat(F.lit("t"), "event_id").alias("token"),
+        F.struct(
+            F.array("email", F.lit("s")).alias("Token"),
+            F.struct(
+                F.struct(F.col("event_id").alias("deep")).alias("API_KEY"),
+                F.concat(F.lit("n"), "event_id").alias("note"),
+            ).alias("inner"),
+            F.create_map(F.lit("Authorization"), F.lit("b"), F.lit("x"), F.col("stage"))
+            .alias("headers"),
+            F.array(
+                F.struct(F.lit("p").alias("api_key"), F.lit(0).alias("value")),
+                F.struct(F.lit("q").alias("api_key"), (F.col("event_id") % 10).cast("int")
+                         .alias("value")),
+            ).alias("calls"),
+        ).alias("detail"),
     )
     folder = shared_folder(spark, "runlog")
     append_run_log(events, folder)
@@ -224,6 +240,12 @@ def runlog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_run_log(spark, folder).select(
         F.try_variant_get(entry, "$.event_id", "bigint").alias("event_id"), "run_id", "ts", "event",
         "stage", "email", F.try_variant_get(entry, "$.token", "string").alias("token"),
+        *(F.try_variant_get(entry, f"$.detail.{path}", kind).alias(name) for name, path, kind in (
+            ("list_of_secrets", "Token", "string"), ("nested_secret", "inner.API_KEY", "string"),
+            ("note", "inner.note", "string"), ("header_secret", "headers.Authorization", "string"),
+            ("header_plain", "headers.x", "string"), ("second_secret", "calls[1].api_key", "string"),
+            ("second_value", "calls[1].value", "bigint"),
+        )),
     )
 
 

@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom.functions.markup import read_page
 from leadloom.operators.pages import (
     about_link,
     add_about_pages,
@@ -166,3 +167,10 @@ def test_robots_hosts_match_in_any_case(spark):
     rules = robots_rules(spark.sql("select 'a.com' host, 'User-agent: *\nDisallow: /' body"), "x")
     pages = spark.sql("select 'https://A.com/b' url")
     assert with_robots_verdict(pages, rules).select(F.col("robots_allowed")).first()[0] is False
+
+
+@pytest.mark.parametrize("section", ["<![foo[ bar ]]>", "<![if !IE]>", "<![CDATA[ x ]]>"])
+def test_pages_go_on_behind_marked_sections(section):
+    page = read_page(f"<p>x</p>{section}<p>rest <a href='/y'>of page</a></p>", "https://a.in", None)
+    assert page["text"].startswith("x") and page["text"].endswith("rest of page")
+    assert [link["url"] for link in page["links"]] == ["https://a.in/y"]
