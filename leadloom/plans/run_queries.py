@@ -392,7 +392,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return clean_leads(rows).withColumns({"upload": upload, "row_id": row_id})
 
     run_to_end(stream_leads(
-        upload_stream(spark, incoming, files_per_batch=1_000_000), f"{folder}/leads",
+        upload_stream(spark, incoming), f"{folder}/leads",
         f"{folder}/uploads", f"{folder}/rows", f"{folder}/rejects", f"{folder}/checkpoint",
         prepare=cleaned, order=["upload", "row_id"], file="upload",
     ))

@@ -16,7 +16,7 @@ from leadloom.plans.leads import ORDER, clean_table, lead_rows, raw_leads
 from leadloom.plans.registry import entries_text, query, time_text
 from leadloom.plans.sql import GEO, LEAD_ROWS, LEADS_CLEAN, QUALITY, with_ctes
 from leadloom.session import shared_folder
-from leadloom.sources.tables import LEAD_COLUMNS, append_rows, read_table, write_snapshot
+from leadloom.sources.tables import LEAD_COLUMNS, append_rows, read_table
 from leadloom.streaming.ingest import (
     first_in_order,
     run_to_end,
