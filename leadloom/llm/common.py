@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import mmap
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -110,12 +111,15 @@ def word_hashes(
     return mix(found)
 
 
-def give_back() -> None:
-    """Return freed memory to the system.  Python workers outlive their tasks, and what they keep
-    counts against the executor."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):  # only one C library has this
-        ctypes.CDLL(None).malloc_trim(0)
+def give_back(above: int = 256 << 20) -> None:
+    """Return freed memory to the system if the worker holds more than `above` bytes.  Python workers
+    outlive their tasks, and what they keep counts against the executor."""
+    with suppress(OSError, AttributeError):  # only some systems tell, and one C library can do it
+        with open("/proc/self/statm") as file:
+            resident = int(file.read().split()[1]) * mmap.PAGESIZE
+        if resident > above:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -268,7 +268,6 @@ def _rows(table: pa.Table) -> Iterator[dict]:
 
 
 def _table(rows: list[dict], types: list[tuple]) -> pa.Table:
-    give_back()  # every step of a group ends here or in `with_cuts`
     return pa.Table.from_pylist(rows, pa.schema(types))
 
 
@@ -400,6 +399,7 @@ def removed_bytes(
         return _table(rows, PIECES)
 
     def sort_pieces(key, table):
+        give_back()  # what earlier steps left in this worker
         rows = list(_rows(table))
         places: dict[bytes, int] = {}
         members, least = [], []
@@ -485,7 +485,6 @@ def removed_bytes(
         )
         del edge, stop
         kept = raw[~gone]
-        give_back()
         lost = np.zeros(len(starts), np.int64)
         np.add.at(lost, home + 1, end - begin)
         offsets = (starts - np.cumsum(lost)).astype(np.int32)
