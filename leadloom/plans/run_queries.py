@@ -203,7 +203,10 @@ def redact_log_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('{"outer": ['), request, F.lit('], "Token": '), request, F.lit("}")
         ))
     )
-    rows = run_log(spark, sf_dir).select("event_id", nested.alias("request"))
+    # the texts are far larger than the rows they are made from: these are spread over all tasks first
+    rows = run_log(spark, sf_dir).repartition("event_id").select(
+        "event_id", nested.alias("request")
+    )
     return runlog.mask_json_column(rows, "request")
 
 

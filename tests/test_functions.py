@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +303,36 @@ def test_masking_of_deep_broken_and_repeated_json():
     ]
     for text in texts:
         assert mask_nested_text(text, keys) == mask_text(text, keys), text
+
+
+def test_deep_json_is_masked_part_by_part():
+    """Not token by token: the calls of a text grow with its parts."""
+    keys = frozenset(("token",))
+    deep = 5000
+    text = '{"a":[' * deep + '{"token":[1]}' + "]}" * deep
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        masked = mask_nested_text(text, keys)
+    finally:
+        sys.setprofile(None)
+    assert masked == '{"a": [' * deep + '{"token": "***REDACTED***"}' + "]}" * deep
+    assert calls < 2 * deep
+    # texts that hold what parts are marked with, keys written with escapes, parts that are dropped
+    inner = '["0.1", 0.1, 0.11, "-", "--", "]\\"[", {"t\\u006fken": 1}]'
+    shown = '["0.1", 0.1, 0.11, "-", "--", "]\\"[", {"token": "***REDACTED***"}]'
+    for opened, closed in (("[", "]"), ('{"-": ', "}"), ("[0.1, ", ', "-"]')):
+        assert mask_nested_text(opened * deep + inner + closed * deep, keys) == (
+            opened * deep + shown + closed * deep
+        )
+    dropped = "[" * deep + "1" + "]" * deep
+    assert mask_nested_text(f'{{"token": {dropped}, "a": {dropped}, "a": 2}}', keys) == (
+        '{"token": "***REDACTED***", "a": 2}'
+    )
+    broken = dropped.replace("1", "1 [2]")
+    assert mask_nested_text(broken, keys) == broken
