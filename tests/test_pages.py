@@ -6,6 +6,8 @@ import itertools
 from urllib.robotparser import RobotFileParser
 
 import pytest
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from leadloom.functions.markup import read_page
@@ -174,3 +176,24 @@ def test_pages_go_on_behind_marked_sections(section):
     page = read_page(f"<p>x</p>{section}<p>rest <a href='/y'>of page</a></p>", "https://a.in", None)
     assert page["text"].startswith("x") and page["text"].endswith("rest of page")
     assert [link["url"] for link in page["links"]] == ["https://a.in/y"]
+
+
+def test_parsed_pages_go_back_part_by_part(spark, monkeypatch):
+    """A task holds the objects of few pages, however many an Arrow batch has."""
+    body = "<title>T</title><p>" + "<a href='/x'>word</a> " * 10_000
+    rows = [(i, "https://a.b/", None if i % 7 == 3 else f"{i}{body}") for i in range(40)]
+    rows.insert(5, (40, "https://a.b/", "<p>" + "long " * 500_000))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = parse_pages(pages).select("page_id", "title", "text", F.size("links").alias("n"))
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, function, schema: function)
+    batch = pa.record_batch(list(zip(*rows)), names=["page_id", "url", "html"])
+    sizes = dict(zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(2)).to_pylist()))
+    parts = list(parse_pages(pages)(iter([batch, batch.slice(0, 0)])))
+    got = [r for part in parts for r in part.to_pylist()]
+    assert [r["page_id"] for r in got] == [r[0] for r in rows]
+    for part in parts:
+        own = [sizes[i] or 0 for i in part.column(0).to_pylist()]
+        assert sum(own[:-1]) <= 1 << 20
+    assert {(r["page_id"], r["title"], r["text"], len(r["links"])) for r in got} == {
+        tuple(r) for r in whole.collect()
+    }
