@@ -17,6 +17,9 @@ last sweep left behind: after each sweep they send the tables of every context t
 bucket of that context and get the sum back.  Probabilities are averaged over the sweeps after the
 burn-in.
 
+Disk.  Every step is written, and the shuffle files and rows behind it go as soon as nothing reads
+them; the result reads blocks and their answers only.
+
 Traffic.  Blocks of documents send every distinct word and (context, word) once and get its seats
 back, so a word in a third of all tokens costs one row per block.  The driver holds hot words (at most
 1 / HOT_SHARE) and two sums per sweep.
@@ -36,10 +39,11 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import (
     blocks_of,
     by_bucket,
+    drop_stored,
     mix,
     pack,
     pack_sorted,
-    stored,
+    stored_alone,
     unpack,
     unpack_sorted,
     word_hashes,
@@ -589,12 +593,12 @@ def sum_contexts(key, table):
     return pa.Table.from_pylist(found, _SCHEMA)
 
 
-def _step(rows: list[DataFrame], function, purpose: str | None = None) -> DataFrame:
+def _step(rows: list[DataFrame], function, purpose: str) -> DataFrame:
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
     found = every.groupBy("place").applyInArrow(function, ROWS)
-    return stored(found, purpose) if purpose else found
+    return stored_alone(found, purpose)
 
 
 def _kind(frame: DataFrame, *kinds: str) -> DataFrame:
@@ -602,8 +606,8 @@ def _kind(frame: DataFrame, *kinds: str) -> DataFrame:
 
 
 def train(words: DataFrame, contexts: DataFrame, shared: Restaurants, buckets: int):
-    """Run the sweeps: the seats after each and the tables of all contexts; `shared` gets the sums for
-    the root."""
+    """Run the sweeps: the seats after each sampled one and the tables of all contexts; `shared` gets
+    the sums for the root."""
     model = _kind(words, "bucket")
     few = model.mapInArrow(small_groups, "i1 long, i2 long, r1 long, r2 long").agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("i1", "i2", "r1", "r2"))
@@ -625,14 +629,17 @@ def train(words: DataFrame, contexts: DataFrame, shared: Restaurants, buckets: i
         root = _kind(seats[-1], "seats").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
         shared.swept.append((np.zeros(0), root.x or 0.0, root.y or 0.0))
         sums.append(_step([contexts, _kind(seats[-1], "tables")], sum_contexts, "lm-sums"))
-    return seats, sums
+        if 0 < sweep <= BURN_IN + 1:  # nothing reads a sweep before the samples twice
+            drop_stored(seats[sweep - 1], sums[sweep - 1])
+    return seats[BURN_IN + 1 :], sums[BURN_IN + 1 :]
 
 
-def _tagged(frames: list[DataFrame], kind: str) -> list[DataFrame]:
-    """The rows of that kind of the sampled sweeps, in their order."""
+def _tagged(frames: list[DataFrame], kind: str, wanted: str) -> list[DataFrame]:
+    """The rows of that kind of the sampled sweeps, in their order, with the wanted columns."""
+    others = {c: F.lit(None).cast("binary") for c in "abcde" if c not in wanted}
     return [
-        _kind(frame, kind).withColumn("source", F.lit(i).cast("long"))
-        for i, frame in enumerate(frames[BURN_IN + 1 :])
+        _kind(frame, kind).withColumns({"source": F.lit(i).cast("long"), **others})
+        for i, frame in enumerate(frames)
     ]
 
 
@@ -738,6 +745,35 @@ def probabilities(
     return count, own / (CONTEXT_STRENGTH + count[context]) / SAMPLES
 
 
+def squeezed(frame: DataFrame) -> DataFrame:
+    """Compressed bytes in all binary columns: planes of numbers lose less to a shuffle's own codec."""
+    places = [i for i, f in enumerate(frame.schema) if f.dataType.simpleString() == "binary"]
+
+    def shrunk(data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        size = len(data).to_bytes(8, "little")
+        return size + pa.compress(data, codec="zstd", asbytes=True) if data else size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            for i in places:
+                own = pa.array([shrunk(v) for v in batch.column(i).to_pylist()], pa.binary())
+                batch = batch.set_column(i, batch.schema.field(i).name, own)
+            yield batch
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def loosened(row: dict) -> dict:
+    """A row of `squeezed` as it was."""
+    def whole(data: bytes) -> bytes:
+        size = int.from_bytes(data[:8], "little")
+        return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+    return {k: whole(v) if isinstance(v, bytes) else v for k, v in row.items()}
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -754,16 +790,17 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
         F.coalesce(train_rows, F.lit(False)).alias("train"),
     )
-    counted = stored(word_counts(rows, "train"), "word-counts")
+    counted = stored_alone(word_counts(rows, "train"), "word-counts")
     sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     all_tokens, all_words = sums.n or 0, sums.v
     # at most 1 / HOT_SHARE words have this share
     frequent = counted.where(F.col("n") >= F.lit(max(all_tokens * HOT_SHARE, 1.0))).collect()
     hot = np.sort(np.array([r.word for r in frequent], np.int64).view(np.uint64))
+    drop_stored(counted)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells, buckets = -(-size // CELL_BYTES) or 1, -(-size // BUCKET_BYTES) or 1
 
-    blocks = stored(block_rows(rows, "train"), "lm-blocks")
+    blocks = stored_alone(block_rows(rows, "train"), "lm-blocks")
     merged = _step([asked(blocks, entry_rows, hot, cells)], merge_cells(buckets), "lm-cells")
     words = _step([_kind(merged, "busy")], make_buckets(buckets), "lm-buckets")
     contexts = _step(
@@ -773,20 +810,28 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
     shared = Restaurants(all_words, all_tokens, none, none)
     seats, totals = train(words, contexts, shared, buckets)
 
-    tables = _step([_kind(words, "seat"), *_tagged(seats, "seats")], sampled_tables)
-    of_entries = _step([_kind(merged, "index", "counts"), tables], answer_entries(shared))
+    # each answer is written before the next one is asked for, so that the rows behind it can go
+    tables = _step(
+        [_kind(words, "seat"), *_tagged(seats, "seats", "a")], sampled_tables, "lm-tables"
+    )
     of_words = _step(
-        [asked(blocks, word_rows, buckets), _kind(words, "bucket"), *_tagged(seats, "seats"),
-         _kind(contexts, "context"), *_tagged(totals, "total")],
-        answer_words(shared),
+        [asked(blocks, word_rows, buckets), _kind(words, "bucket"),
+         *_tagged(seats, "seats", "cd"), _kind(contexts, "context"),
+         *_tagged(totals, "total", "a")],
+        answer_words(shared), "lm-words",
+    )
+    drop_stored(words, contexts, *seats, *totals)
+    of_entries = _step(
+        [_kind(merged, "index", "counts"), tables], answer_entries(shared), "lm-entries"
     )
+    drop_stored(merged, tables)
 
     def total(key, left, right):
         """Sums over the tokens of each document."""
         answers: dict[str, list[dict]] = {}
         for r in sorted(right.to_pylist(), key=lambda r: r["place"]):
-            answers.setdefault(r["kind"], []).append(r)
-        row = left.to_pylist()[0]
+            answers.setdefault(r["kind"], []).append(loosened(r))
+        row = loosened(left.to_pylist()[0])
         held_words, word, sizes = _block(row)
         index, home, context, _ = arrange(held_words, word, sizes, hot, cells)
         count, chance = probabilities(answers, home, context, shared)
@@ -805,9 +850,8 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
         })
 
     answers = of_entries.unionByName(of_words).withColumnRenamed("source", "block")
-    scored = blocks.groupBy("block").cogroup(
-        answers.select("block", "kind", "place", "a", "b", "c").groupBy("block")
-    ).applyInArrow(total, SCORES)
+    answers = squeezed(answers.select("block", "kind", "place", "a", "b", "c"))
+    scored = squeezed(blocks).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known",
         F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import sys
+import tempfile
 from collections import Counter
 from pathlib import Path
 
@@ -22,6 +24,7 @@ sys.path.insert(0, str(ROOT))
 
 from leadloom.llm import (  # noqa: E402
     collision_dedup,
+    common,
     components,
     decontaminate,
     hpylm,
@@ -451,6 +454,26 @@ def test_language_model(spark, docs):
     assert all(r.train_tokens == 0 for r in hpylm.score(docs, F.lit(False)).collect())
 
 
+def test_language_model_keeps_no_rows_of_past_steps(spark, docs, tmp_path, monkeypatch):
+    """What only earlier steps read is gone when the scores are asked for: rows and shuffle files."""
+    def shuffled():
+        return {p.name for root in scratch for p in Path(root).rglob("shuffle_*.data")}
+
+    scratch = [p for p in Path(tempfile.gettempdir()).glob("blockmgr-*") if p.is_dir()]
+    before = shuffled()
+    numbers = itertools.count()
+    monkeypatch.setattr(
+        common, "shared_folder", lambda _, purpose: f"{tmp_path}/{purpose}-{next(numbers)}"
+    )
+    scored = hpylm.score(docs, F.lit(True))
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left == {"lm-blocks", "lm-words", "lm-entries"}
+    assert scored.count() == scored.distinct().count() == len(TEXTS) + 1
+    # aggregates on the way to the driver leave small ones; the steps leave none
+    assert len(shuffled() - before) < 40
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_language_model_is_a_distribution():
     """Over all words and one unseen, behind a context and without."""
     draw = np.random.default_rng(0)
