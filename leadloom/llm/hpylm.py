@@ -40,6 +40,7 @@ from leadloom.llm.common import (
     blocks_of,
     by_bucket,
     drop_stored,
+    give_back,
     mix,
     pack,
     pack_sorted,
@@ -248,6 +249,7 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
                 found[np.repeat(chosen.astype(bool), np.diff(first))], return_counts=True
             )
             yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": counts})
+            give_back()
 
     return (
         docs.select("text", train).mapInArrow(run, "word long, n long")
@@ -354,6 +356,7 @@ def block_rows(docs: DataFrame, train: str) -> DataFrame:
                 ("block", pa.int64()),
                 *((n, pa.binary()) for n in ("docs", "held", "sizes", "words", "tokens")),
             ]))
+            give_back()
 
     return docs.select("doc_id", "text", train).mapInArrow(run, BLOCKS)
 
@@ -394,6 +397,7 @@ def asked(blocks: DataFrame, rows_of, *options) -> DataFrame:
         for row in (r for b in batches for r in b.to_pylist()):
             for found in rows_of(row, *options):
                 yield pa.RecordBatch.from_pylist([found], _SCHEMA)
+            give_back()
 
     return blocks.mapInArrow(run, ROWS)
 
@@ -597,7 +601,14 @@ def _step(rows: list[DataFrame], function, purpose: str) -> DataFrame:
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
-    found = every.groupBy("place").applyInArrow(function, ROWS)
+
+    def run(key, table):
+        rows = function(key, table)
+        del table
+        give_back()
+        return rows
+
+    found = every.groupBy("place").applyInArrow(run, ROWS)
     return stored_alone(found, purpose)
 
 
@@ -761,6 +772,7 @@ def squeezed(frame: DataFrame) -> DataFrame:
                 own = pa.array([shrunk(v) for v in batch.column(i).to_pylist()], pa.binary())
                 batch = batch.set_column(i, batch.schema.field(i).name, own)
             yield batch
+        give_back()
 
     return frame.mapInArrow(run, frame.schema)
 
@@ -840,6 +852,8 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
         first = np.cumsum(sizes) - sizes
         ids = unpack(row["docs"][: 8 * len(sizes)], np.int64)
         missing = unpack(row["docs"][8 * len(sizes) :], np.uint8).astype(bool)
+        del answers, left, right
+        give_back()
         return pa.Table.from_pydict({
             "doc_id": pa.array(ids, mask=missing),
             "held_out": pa.array(unpack(row["held"], np.uint8).astype(bool)),
