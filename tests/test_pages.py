@@ -21,6 +21,7 @@ from leadloom.operators.pages import (
     parse_pages,
     site_records,
     social_links,
+    write_parsed,
 )
 from leadloom.operators.robots import robots_rules, with_robots_verdict
 
@@ -197,3 +198,19 @@ def test_parsed_pages_go_back_part_by_part(spark, monkeypatch):
     assert {(r["page_id"], r["title"], r["text"], len(r["links"])) for r in got} == {
         tuple(r) for r in whole.collect()
     }
+
+
+def test_pages_are_parsed_and_written_in_small_batches(spark, tmp_path):
+    """A worker gets few pages at once, and the session keeps its own batches."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = spark.range(0, 3000, 1, 1)
+    write_parsed(rows.mapInArrow(sizes, "n long"), str(tmp_path / "parsed"))
+    found = [r.n for r in spark.read.parquet(str(tmp_path / "parsed")).collect()]
+    assert sum(found) == 3000 and max(found) <= 256
+    assert spark.conf.get(setting) == before
