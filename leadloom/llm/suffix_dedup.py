@@ -47,8 +47,9 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 19
 # Different pieces of an anchor, beside one per block, that may go to one bucket.
 WIDE_PIECES = 4096
-# Text that is looked at at once; positions in it take the low bits below the hash.
-STEP = (1 << 20) - 1024
+# Text that is looked at at once, so little that its hashes stay in a core's cache; positions in it
+# take the low bits below the hash.
+STEP = 1 << 16
 PLACE = np.uint64((1 << 20) - 1)
 _ODD = mix(np.arange(41, 45, dtype=np.uint64)) | np.uint64(1)
 _ODDS = mix(np.arange(61, 72, dtype=np.uint64)) | np.uint64(1)
@@ -110,6 +111,21 @@ def piece_hashes(raw: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.n
     return mix(found)
 
 
+def new_pieces(
+    raw: np.ndarray, keys: np.ndarray, marks: np.ndarray, firsts: np.ndarray, sizes: np.ndarray
+) -> np.ndarray:
+    """Which of the pieces, in the order of keys and hashes, have other bytes than the one before."""
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]) | (sizes[1:] != sizes[:-1])
+    words = _words(raw, 0, max(len(raw) - 7, 0))
+    alike = np.flatnonzero(~fresh)
+    for j in range(-(-int(sizes[alike].max(initial=0)) // 8)):
+        shift = np.minimum(8 * j, sizes[alike] - 8)
+        other = words[firsts[alike] + shift] != words[firsts[alike - 1] + shift]
+        fresh[alike[other]] = True
+    return fresh
+
+
 def block_anchors(ids: np.ndarray, raw, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchors of a block, ascending, whether several documents hold them, and how many
     different pieces each has."""
@@ -150,6 +166,30 @@ def single_windows(
     )
 
 
+def direct_order(padded: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The places `first` of a text of `n` bytes in the order of the 56 bytes that begin there: by the
+    first 8, then those that are still equal by the next few, which share a number with the rank."""
+    column = _words(padded, 0, n)[first].byteswap()
+    order = np.argsort(column)
+    first, column = first[order], column[order]
+    fresh = np.ones(len(first), bool)
+    fresh[1:] = column[1:] != column[:-1]
+    tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+    at = 8
+    while at < 56 and len(tied):
+        own = first[tied]
+        rank = np.cumsum(fresh[tied]).astype(np.uint64)
+        taken = min((64 - int(rank[-1]).bit_length()) // 8, 56 - at)
+        column = _words(padded, at, n)[own].byteswap() >> np.uint64(64 - 8 * taken)
+        column |= rank << np.uint64(8 * taken)
+        order = np.argsort(column)
+        first[tied], column = own[order], column[order]
+        fresh[tied[1:]] = column[1:] != column[:-1]
+        tied = tied[~fresh[tied] | ~np.append(fresh[tied[1:]], True)]
+        at += taken
+    return first
+
+
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The `wanted` places of `text` (a mask) in the order of the suffixes that begin there, as far
     as their first 56 bytes tell.
@@ -166,7 +206,6 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     change = np.where(step != 0, every, np.int32(n - 1))
     change = np.minimum.accumulate(change[::-1])[::-1]
     larger = step[change] < 0
-    larger[n - 1] = False  # the end is sorted directly
     direct = np.where(larger, np.int32(n - 1), every)
     direct = np.minimum.accumulate(direct[::-1])[::-1]
     del change, every
@@ -178,13 +217,13 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     needed = np.cumsum(marks[:n], dtype=np.int32) > 0
     del direct, marks
 
-    first = np.flatnonzero(needed & ~larger).astype(np.int32)
-    columns = [_words(padded, 8 * j, n)[first].byteswap() for j in range(7)]
-    first = first[np.lexsort(columns[::-1])]
-    del columns
-    limits = np.searchsorted(text[first], np.arange(257))
+    first = direct_order(padded, np.flatnonzero(needed & ~larger).astype(np.int32), n)
+    limits = np.searchsorted(text[first], np.arange(256, dtype=np.uint8)).tolist()
+    limits.append(len(first))
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if larger[n - 1] and needed[n - 1]:  # the end of the text comes before all of it
+        waiting[text[n - 1]].append(np.array([n - 1], np.int32))
     ordered = []
     for byte in range(256):
         row = waiting[byte]
@@ -199,10 +238,11 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         before = done[done > 0] - 1
         before = before[larger[before] & needed[before] & (text[before] > byte)]
         before = before[np.argsort(text[before], kind="stable")]
-        cuts = np.searchsorted(text[before], np.arange(byte + 1, 257))
-        for larger_byte in np.unique(text[before]):
-            a, b = cuts[larger_byte - byte - 1], cuts[larger_byte - byte]
-            waiting[larger_byte].append(before[a:b])
+        sizes = np.bincount(text[before], minlength=256)
+        ends = np.cumsum(sizes)
+        for larger_byte in np.flatnonzero(sizes):
+            end = ends[larger_byte]
+            waiting[larger_byte].append(before[end - sizes[larger_byte] : end])
         waiting[byte] = []
     places = np.concatenate(ordered)
     return places[wanted[places]]
@@ -351,7 +391,8 @@ def removed_bytes(
 
     def shared_runs(ids, raw, starts, told: list[dict]):
         """Runs around shared anchors, those of wide ones window by window, in the order of their
-        keys, with text and document."""
+        keys and pieces: key, first window, windows and document of each; where a new piece begins,
+        and the least document of each piece."""
         marks = {r["bucket"]: r for r in told if r["marks"] is not None}
         keys, firsts, counts = anchor_runs(raw, starts)
         every, index = np.unique(keys, return_inverse=True)
@@ -366,35 +407,31 @@ def removed_bytes(
         keys, firsts, counts = keys[chosen], firsts[chosen], counts[chosen]
         if wide.any():
             keys, firsts, counts = single_windows(raw, keys, firsts, counts, wide)
-        chosen = np.argsort(keys, kind="stable")
+        sizes = counts + MATCH_BYTES - 1
+        marks = piece_hashes(raw, firsts, sizes)
+        chosen = np.lexsort((marks, keys))
         keys, firsts, counts = keys[chosen], firsts[chosen], counts[chosen]
-        text_of = np.searchsorted(starts, firsts, "right") - 1
-        return keys, firsts, counts, text_of, ids[text_of]
-
-    def distinct_pieces(raw, firsts, counts, docs, part: slice):
-        """Pieces of a bucket without repeats, the least document of each, and which piece each run
-        is."""
-        whole = raw.tobytes() if len(raw) < (64 << 20) else memoryview(raw)
-        places: dict[bytes, int] = {}
-        which = np.empty(part.stop - part.start, np.int64)
-        spans = zip(firsts[part].tolist(), counts[part].tolist(), strict=True)
-        for i, (a, c) in enumerate(spans):
-            which[i] = places.setdefault(bytes(whole[a : a + c + MATCH_BYTES - 1]), len(places))
-        least = np.full(len(places), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, docs[part])
-        return list(places), least, which
+        fresh = new_pieces(raw, keys, marks[chosen], firsts, sizes[chosen])
+        docs_of = ids[np.searchsorted(starts, firsts, "right") - 1]
+        heads = np.flatnonzero(fresh)
+        least = np.minimum.reduceat(docs_of, heads) if len(heads) else docs_of
+        return keys, firsts, counts, docs_of, heads, least
 
     def send_pieces(key, left, right):
         rows = []
         if left.num_rows and right.num_rows:
             ids, raw, starts = block_of(in_order(left))
-            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, list(_rows(right)))
-            for bucket, part in by_bucket(keys, buckets):
-                pieces, least, _ = distinct_pieces(raw, firsts, counts, docs_of, part)
+            keys, firsts, counts, _, heads, least = shared_runs(
+                ids, raw, starts, list(_rows(right))
+            )
+            whole, begins = memoryview(raw), firsts[heads]
+            sizes = counts[heads] + MATCH_BYTES - 1
+            for bucket, part in by_bucket(keys[heads], buckets):
+                spans = zip(begins[part].tolist(), sizes[part].tolist(), strict=True)
                 rows.append({
-                    "block": key[0].as_py(), "bucket": bucket, "text": b"".join(pieces),
-                    "sizes": pack(np.array([len(p) for p in pieces], np.uint8)),
-                    "docs": pack(least),
+                    "block": key[0].as_py(), "bucket": bucket,
+                    "text": b"".join([whole[a : a + n] for a, n in spans]),
+                    "sizes": pack(sizes[part].astype(np.uint8)), "docs": pack(least[part]),
                 })
         return _table(rows, PIECES)
 
@@ -449,21 +486,22 @@ def removed_bytes(
         ids, raw, starts = block_of(left)
         told = list(_rows(right))
         masks = {r["bucket"]: r["masks"] for r in told if r["masks"] is not None}
-        change = np.zeros(len(raw) + 1, np.int32)
+        hit = np.zeros(len(raw), bool)  # windows that go
         if masks:
-            keys, firsts, counts, _, docs_of = shared_runs(ids, raw, starts, told)
-            for bucket, part in by_bucket(keys, buckets):
-                _, least, which = distinct_pieces(raw, firsts, counts, docs_of, part)
-                mask = unpack(masks[bucket], np.uint32)[which]
-                # beside earlier documents elsewhere, the least one of this block comes first
-                every = (np.uint64(1) << counts[part].astype(np.uint64)) - np.uint64(1)
-                mask = np.where(docs_of[part] > least[which], every.astype(np.uint32), mask)
-                for j in range(MATCH_BYTES - ANCHOR_BYTES + 1):
-                    hit = firsts[part][(mask >> np.uint32(j)) & np.uint32(1) == 1] + j
-                    np.add.at(change, hit, 1)
-                    np.add.at(change, hit + MATCH_BYTES, -1)
-        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
-        del change
+            keys, firsts, counts, docs_of, heads, least = shared_runs(ids, raw, starts, told)
+            which = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(keys)))
+            mask = np.concatenate([
+                unpack(masks[bucket], np.uint32) for bucket, _ in by_bucket(keys[heads], buckets)
+            ])[which]
+            # beside earlier documents elsewhere, the least one of this block comes first
+            every = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
+            mask = np.where(docs_of > least[which], every.astype(np.uint32), mask)
+            for j in range(MATCH_BYTES - ANCHOR_BYTES + 1):
+                hit[firsts[(mask >> np.uint32(j)) & np.uint32(1) == 1] + j] = True
+        before = np.cumsum(hit, dtype=np.int32)
+        gone = before > 0
+        gone[MATCH_BYTES:] = before[MATCH_BYTES:] > before[:-MATCH_BYTES]
+        del before, hit
         if whole_characters:
             widen(gone, raw, starts)
         return with_cuts(left, raw, starts, gone)

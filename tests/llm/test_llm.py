@@ -161,6 +161,44 @@ def test_suffix_order():
         assert sorted(got) == np.flatnonzero(wanted).tolist() and keys == sorted(keys)
 
 
+def test_suffix_order_of_a_text_that_ends_in_one_letter():
+    for raw in (b"a" * 200, b"xyz" * 30 + b"-" * 120, b"zb\x00" * 40 + b"\x00" * 80):
+        wanted = np.arange(len(raw)) < len(raw) - 49
+        got = suffix_dedup.suffix_order(np.frombuffer(raw, np.uint8), wanted)
+        keys = [(raw + bytes(72))[i : i + 56] for i in got]
+        assert sorted(got) == np.flatnonzero(wanted).tolist() and keys == sorted(keys)
+
+
+def test_suffix_dedup_looks_at_a_block_as_a_whole(spark):
+    """The work of a block does not grow with the number of buckets, nor do its texts get copied."""
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefgh", k=7)) for _ in range(400)]
+    rows = [(i, " ".join(draw.choices(words, k=60))) for i in range(60)]
+    rows += [(60 + i, rows[i][1][50:300] + "-" * 60 + rows[2 * i][1][9:200]) for i in range(30)]
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    starts = np.cumsum([0, *(len(t) for _, t in rows)])
+    keys, firsts, counts = suffix_dedup.anchor_runs(raw, starts)
+    sizes = counts + 49
+    marks = suffix_dedup.piece_hashes(raw, firsts, sizes)
+    order = np.lexsort((marks, keys))
+    parts = [c[order] for c in (keys, marks, firsts, sizes)]
+    pieces = {raw[a : a + n].tobytes() for a, n in zip(firsts, sizes)}
+    assert suffix_dedup.new_pieces(raw, *parts).sum() == len(pieces) < len(keys)
+    # hashes that are all equal join no pieces of other bytes
+    alike = np.zeros(len(keys), np.uint64)
+    fresh = suffix_dedup.new_pieces(raw, alike, alike, *parts[2:])
+    assert len(pieces) <= fresh.sum() <= len(keys)
+    assert len({raw[a : a + n].tobytes() for a, n in zip(parts[2][fresh], parts[3][fresh])}) == len(pieces)
+
+    for buckets in (300, 1 << 20):
+        found = suffix_dedup.digests(suffix_dedup.removed_bytes(
+            spark.createDataFrame(rows, "doc_id long, text string"),
+            block_bytes=5000, bucket_bytes=buckets,
+        )).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+        assert got == brute_repeats(rows)
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
