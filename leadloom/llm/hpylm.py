@@ -18,7 +18,7 @@ bucket of that context and get the sum back.  Probabilities are averaged over th
 burn-in.
 
 Disk.  Every step is written, and the shuffle files and rows behind it go as soon as nothing reads
-them; the result reads blocks and their answers only.
+them; the result reads blocks and their answers only, which are compressed where they are made.
 
 Traffic.  Blocks of documents send every distinct word and (context, word) once and get its seats
 back, so a word in a third of all tokens costs one row per block.  The driver holds hot words (at most
@@ -257,6 +257,8 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
     )
 
 
+# Before the kind of a row whose binary cells are compressed.
+SQUEEZED = "squeezed "
 # Rows between the steps: what they are, where they go, whom they are from, and packed numbers.
 ROWS = (
     "kind string, place int, source long, a binary, b binary, c binary, d binary, e binary, "
@@ -269,9 +271,11 @@ _SCHEMA = pa.schema([
 
 
 def _rows(table: pa.Table | pa.RecordBatch) -> dict[str, list[dict]]:
-    """The rows by kind, each kind in the order of its sources."""
+    """The rows by kind, each kind in the order of its sources; squeezed ones as they were."""
     found: dict[str, list[dict]] = {}
     for row in table.to_pylist():
+        if row["kind"].startswith(SQUEEZED):
+            row = loosened(row) | {"kind": row["kind"].removeprefix(SQUEEZED)}
         found.setdefault(row["kind"], []).append(row)
     for rows in found.values():
         rows.sort(key=lambda r: (r["source"] is not None, r["source"]))
@@ -328,13 +332,36 @@ def arrange(
     return rank[index], home[order], context[order], cell[order]
 
 
+def squeezed(row: dict) -> dict:
+    """Compressed bytes in all binary cells of a row: planes of numbers lose less to the codec of a
+    shuffle, and neither the JVM nor its way to Python holds the rows in full."""
+
+    codec = pa.Codec("zstd", compression_level=3)
+
+    def shrunk(data: bytes) -> bytes:
+        size = len(data).to_bytes(8, "little")
+        return size + codec.compress(data, asbytes=True) if data else size
+
+    return {k: shrunk(v) if isinstance(v, bytes) else v for k, v in row.items()}
+
+
+def loosened(row: dict) -> dict:
+    """A row of `squeezed` as it was."""
+
+    def whole(data: bytes) -> bytes:
+        size = int.from_bytes(data[:8], "little")
+        return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+    return {k: whole(v) if isinstance(v, bytes) else v for k, v in row.items()}
+
+
 BLOCKS = (
     "block long, docs binary, held binary, sizes binary, words binary, tokens binary"
 )
 
 
 def block_rows(docs: DataFrame, train: str) -> DataFrame:
-    """One row per block: its documents as numbers of the block's distinct words."""
+    """One row per block, `squeezed`: its documents as numbers of the block's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, starts in blocks_of(batches, 1, BLOCK_BYTES):
@@ -352,7 +379,7 @@ def block_rows(docs: DataFrame, train: str) -> DataFrame:
                 "sizes": pack(np.diff(first).astype(np.int64)),
                 "words": pack_sorted(words), "tokens": _u32(word),
             }
-            yield pa.RecordBatch.from_pylist([row], pa.schema([
+            yield pa.RecordBatch.from_pylist([squeezed(row)], pa.schema([
                 ("block", pa.int64()),
                 *((n, pa.binary()) for n in ("docs", "held", "sizes", "words", "tokens")),
             ]))
@@ -391,12 +418,13 @@ def word_rows(row: dict, buckets: int) -> Iterator[dict]:
 
 
 def asked(blocks: DataFrame, rows_of, *options) -> DataFrame:
-    """What blocks ask for."""
+    """What blocks ask for, `squeezed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            for found in rows_of(row, *options):
-                yield pa.RecordBatch.from_pylist([found], _SCHEMA)
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            for found in rows_of(loosened(one.to_pylist()[0]), *options):
+                own = squeezed(found) | {"kind": SQUEEZED + found["kind"]}
+                yield pa.RecordBatch.from_pylist([own], _SCHEMA)
             give_back()
 
     return blocks.mapInArrow(run, ROWS)
@@ -597,7 +625,10 @@ def sum_contexts(key, table):
     return pa.Table.from_pylist(found, _SCHEMA)
 
 
-def _step(rows: list[DataFrame], function, purpose: str) -> DataFrame:
+def _step(
+    rows: list[DataFrame], function, purpose: str, compressed: bool = False
+) -> DataFrame:
+    """The rows that a function makes of those of each place, written; `squeezed` on request."""
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
@@ -605,6 +636,8 @@ def _step(rows: list[DataFrame], function, purpose: str) -> DataFrame:
     def run(key, table):
         rows = function(key, table)
         del table
+        if compressed:
+            rows = pa.Table.from_pylist([squeezed(r) for r in rows.to_pylist()], _SCHEMA)
         give_back()
         return rows
 
@@ -756,36 +789,6 @@ def probabilities(
     return count, own / (CONTEXT_STRENGTH + count[context]) / SAMPLES
 
 
-def squeezed(frame: DataFrame) -> DataFrame:
-    """Compressed bytes in all binary columns: planes of numbers lose less to a shuffle's own codec."""
-    places = [i for i, f in enumerate(frame.schema) if f.dataType.simpleString() == "binary"]
-
-    def shrunk(data: bytes | None) -> bytes | None:
-        if data is None:
-            return None
-        size = len(data).to_bytes(8, "little")
-        return size + pa.compress(data, codec="zstd", asbytes=True) if data else size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            for i in places:
-                own = pa.array([shrunk(v) for v in batch.column(i).to_pylist()], pa.binary())
-                batch = batch.set_column(i, batch.schema.field(i).name, own)
-            yield batch
-        give_back()
-
-    return frame.mapInArrow(run, frame.schema)
-
-
-def loosened(row: dict) -> dict:
-    """A row of `squeezed` as it was."""
-    def whole(data: bytes) -> bytes:
-        size = int.from_bytes(data[:8], "little")
-        return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
-
-    return {k: whole(v) if isinstance(v, bytes) else v for k, v in row.items()}
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -830,11 +833,12 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
         [asked(blocks, word_rows, buckets), _kind(words, "bucket"),
          *_tagged(seats, "seats", "cd"), _kind(contexts, "context"),
          *_tagged(totals, "total", "a")],
-        answer_words(shared), "lm-words",
+        answer_words(shared), "lm-words", compressed=True,
     )
     drop_stored(words, contexts, *seats, *totals)
     of_entries = _step(
-        [_kind(merged, "index", "counts"), tables], answer_entries(shared), "lm-entries"
+        [_kind(merged, "index", "counts"), tables], answer_entries(shared), "lm-entries",
+        compressed=True,
     )
     drop_stored(merged, tables)
 
@@ -864,8 +868,8 @@ def score(docs: DataFrame, train_rows: Column, doc_id: str = "doc_id", text: str
         })
 
     answers = of_entries.unionByName(of_words).withColumnRenamed("source", "block")
-    answers = squeezed(answers.select("block", "kind", "place", "a", "b", "c"))
-    scored = squeezed(blocks).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, SCORES)
+    answers = answers.select("block", "kind", "place", "a", "b", "c")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known",
         F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -656,3 +656,18 @@ def test_registered_queries(spark):
     every = {r.doc_id for r in docs.select("doc_id").collect()}
     assert kept == every - copies - leaks
     assert out.where("text <> decoded").count() == 0
+
+
+def test_rows_of_the_language_model_are_compressed_where_they_are_made(spark):
+    """Blocks leave their task compressed and come back as they were."""
+    rows = spark.createDataFrame(
+        [(i, "one word after the other word " * 400, True) for i in range(50)],
+        "doc_id long, text string, train boolean",
+    )
+    blocks = [r.asDict() for r in hpylm.block_rows(rows, "train").collect()]
+    tokens = 50 * (6 * 400 + 1)
+    assert sum(len(b["tokens"]) for b in blocks) < tokens
+    whole = [{k: bytes(v) if isinstance(v, bytearray) else v for k, v in b.items()} for b in blocks]
+    assert sum(len(hpylm.loosened(b)["tokens"]) for b in whole) == 4 * tokens
+    row = {"block": 3, "a": b"", "b": bytes(9), "c": None}
+    assert hpylm.loosened(hpylm.squeezed(row)) == row
