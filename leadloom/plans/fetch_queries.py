@@ -13,6 +13,7 @@ from leadloom.operators.pages import (
     parse_pages,
     site_records,
     with_texts,
+    write_parsed,
 )
 from leadloom.operators.search import add_prompt
 from leadloom.operators.upsert import add_missing_columns
@@ -104,7 +105,7 @@ def fetched_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     told = fetched_pages(fetches)
     parsed = parse_pages(told).join(told.select("page_id", "status", "error"), "page_id")
     folder = shared_folder(spark, "fetched")
-    write_snapshot(parsed, folder)
+    write_parsed(parsed, folder)
     pages = spark.read.parquet(folder)
     return add_about_pages(site_records(pages, texts=False)), pages
 

@@ -214,3 +214,19 @@ def test_pages_are_parsed_and_written_in_small_batches(spark, tmp_path):
     found = [r.n for r in spark.read.parquet(str(tmp_path / "parsed")).collect()]
     assert sum(found) == 3000 and max(found) <= 256
     assert spark.conf.get(setting) == before
+
+
+def test_large_pages_are_parsed_and_written_in_batches_of_few_bytes(spark, tmp_path):
+    """A batch ends at some MB, however large its pages are, and the session keeps its own limit."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    pages = spark.range(0, 600, 1, 1).selectExpr("id", "repeat('<p>text</p>', 10000) as html")
+    write_parsed(pages.mapInArrow(sizes, "n long, size long"), str(tmp_path / "parsed"))
+    found = spark.read.parquet(str(tmp_path / "parsed")).collect()
+    assert sum(r.n for r in found) == 600 and max(r.size for r in found) <= 5 << 20
+    assert spark.conf.get(setting, None) == before
