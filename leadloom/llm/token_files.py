@@ -160,7 +160,8 @@ def documents_in_files(scanned: DataFrame) -> DataFrame:
         (F.col("open_before") + F.when(F.col("mark").isNull(), F.col("run_open")).otherwise(0))
         .alias("open"),
     )
-    joined = scanned.join(placed, ["path", "block"])
+    # shuffled: gaps take many times the room of their files, by which Spark would broadcast them
+    joined = scanned.join(placed.hint("merge"), ["path", "block"])
     found = joined.select(
         "path", "documents", "open", F.posexplode("gaps").alias("place", "gap")
     ).select(
@@ -196,6 +197,7 @@ def count_tokens(
         "path", F.concat(F.lit(f"{folder}/"), F.regexp_extract("path", "[^/]+$", 0))
     ).join(names.select("path").distinct(), "path", "left_semi")
     scanned = stored(scan_blocks(listed, end_id, block_bytes), "token-blocks")
-    return documents_in_files(scanned).join(names, ["path", "number"]).select(
+    # shuffled: the names' files hold each path once, rows in memory hold it each
+    return documents_in_files(scanned).join(names.hint("merge"), ["path", "number"]).select(
         "doc_id", "n_tokens"
     )

@@ -56,6 +56,12 @@ def docs(spark):
     )
 
 
+def joins(frame, key):
+    """The kinds of the joins by `key` in the plan of `frame`."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return re.findall(rf"(\w+Join) \[[^\]]*\b{key}#", plan)
+
+
 def test_sentencepiece(docs):
     library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
     found = sentencepiece_codec.encode_texts(docs, queries.PIECE_MODEL).collect()
@@ -320,6 +326,15 @@ def test_token_counts(docs, monkeypatch, block, run):
     ).count() == 0
 
 
+def test_documents_of_token_files_are_not_broadcast(docs):
+    """Spark goes by the compressed files: in them a path, or a row of like gaps, takes a few bytes."""
+    found = token_files.count_tokens(
+        docs, queries.BYTE_RANKS, queries.byte_pattern(), queries.BYTE_END
+    )
+    assert joins(found, "number") == ["SortMergeJoin"]
+    assert set(joins(found, "block")) == {"SortMergeJoin"}
+
+
 def test_html():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>"
