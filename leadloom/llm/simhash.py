@@ -150,12 +150,15 @@ def links(bits: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """All pairs u < v of the distinct fingerprints `bits` at most `max_bits` apart, each once.
 
     Smaller fingerprints wait at home, larger ones come to all anchors in reach; a join on the anchor
-    compares them, and adaptive execution splits an anchor with many.
+    compares them, and adaptive execution splits an anchor with many.  Both sides are shuffled: Spark
+    takes the guests for as many as the fingerprints, dozens of times too few, and would broadcast
+    them.
     """
     homes = at_anchors(bits, 0).withColumnRenamed("bits", "u")
     guests = at_anchors(bits, max_bits).withColumnRenamed("bits", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
-    return homes.join(guests, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v")
+    met = homes.join(guests.hint("merge"), "anchor")
+    return met.where((F.col("u") < F.col("v")) & near).select("u", "v")
 
 
 def near_duplicates(
@@ -187,7 +190,8 @@ def near_duplicates(
     placed = stored(
         grouped.join(names, "root").select("bits", "component_id"), "fingerprint-components"
     )
-    return marked.join(placed, "bits").select(
+    # as many rows on either side as the input has: shuffled, however small the files are
+    return marked.join(placed.hint("merge"), "bits").select(
         "doc_id",
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         "component_id",

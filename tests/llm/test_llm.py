@@ -255,6 +255,13 @@ def test_simhash_links_are_complete(spark):
     assert got == want and len(want) >= 600
 
 
+def test_simhash_guests_are_not_broadcast(spark, docs):
+    """Each fingerprint goes to dozens of anchors, but Spark counts one row."""
+    few = spark.range(100).select(F.xxhash64("id").alias("bits"))
+    assert joins(simhash.links(few), "anchor") == ["SortMergeJoin"]
+    assert joins(simhash.near_duplicates(docs), "bits") == ["SortMergeJoin"]
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, n) for n in range(101, 300)]
