@@ -262,6 +262,24 @@ def test_simhash_guests_are_not_broadcast(spark, docs):
     assert joins(simhash.near_duplicates(docs), "bits") == ["SortMergeJoin"]
 
 
+def test_pipeline_dedup_broadcasts_no_guests(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    found = simhash.near_duplicates(docs).collect()
+    kinds = []
+
+    def walked(links):
+        kinds.extend(joins(links, "anchor"))
+        return components.components(links)
+
+    monkeypatch.setattr(simhash, "components", walked)
+    kept = corpus_pipeline.simhash_dedup(spark, docs, SF_DIR).collect()
+    assert kinds == ["SortMergeJoin"]
+    assert {r.doc_id for r in kept} == {
+        r.doc_id for r in found if r.doc_id is None or r.doc_id == r.component_id
+    }
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, n) for n in range(101, 300)]
